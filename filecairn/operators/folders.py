@@ -46,27 +46,27 @@ def direct_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def subtree_totals(files: DataFrame) -> DataFrame:
-    """Bytes and files at any depth below each directory.
+def rollups(files: DataFrame) -> DataFrame:
+    """The four rollups of every directory: what lies directly in it and at any depth below.
 
     Files are summed per directory first, so only directories are repeated per ancestor.
     """
-    return (
-        direct_totals(files)
-        .select(F.explode(ancestors(F.col("path"))).alias("path"), "size", "number_files")
-        .groupBy("path")
-        .agg(F.sum("size").alias("subtree_size"), F.sum("number_files").alias("subtree_files"))
+    spread = direct_totals(files).select(
+        F.explode(ancestors(F.col("path"))).alias("at"), "path", "size", "number_files"
+    )
+    own = F.col("at") == F.col("path")
+    return spread.groupBy(F.col("at").alias("path")).agg(
+        F.sum(F.when(own, F.col("size"))).alias("size"),
+        F.sum(F.when(own, F.col("number_files"))).alias("number_files"),
+        F.sum("size").alias("subtree_size"),
+        F.sum("number_files").alias("subtree_files"),
     )
 
 
 def with_rollups(folders: DataFrame, files: DataFrame) -> DataFrame:
     """Folder table with all four rollups filled, 0 where nothing lies below."""
     kept = [c for c in folders.columns if c not in ROLLUPS]
-    joined = (
-        folders.select(*kept)
-        .join(direct_totals(files), "path", "left")
-        .join(subtree_totals(files), "path", "left")
-    )
+    joined = folders.select(*kept).join(rollups(files), "path", "left")
     return joined.select(*kept, *[F.coalesce(c, F.lit(0)).alias(c) for c in ROLLUPS])
 
 
