@@ -86,7 +86,8 @@ def duplicate_members(
 ) -> DataFrame:
     """One row per file of a duplicate group: by hash, or by hash and size from ``min_size``."""
     if min_size is None:
-        groups = duplicate_groups(files).select("hash_value", "file_count", "total_size")
+        # Only the count is needed, so the hot-key lookup shares this aggregation.
+        groups = duplicate_groups(files).select("hash_value", "file_count")
     else:
         groups = groups_by_hash_and_size(files, min_size)
         files = files.filter(F.col("size") >= min_size)
@@ -114,15 +115,15 @@ def nested_members(
     group = ["hash_value", "size"] if by_size else ["hash_value"]
     file = F.struct("path", *[c for c in MEMBER if c != "path"])
 
-    def nest(rows: DataFrame) -> DataFrame:
+    def nest(rows: DataFrame, total: Column) -> DataFrame:
         return rows.groupBy(*group, "page").agg(
             F.first("file_count").alias("file_count"),
-            F.first("total_size").alias("total_size"),
+            total.alias("total_size"),
             F.sort_array(F.collect_list(file)).alias("files"),
         )
 
-    first_page = F.lit(1).cast("long")
-    small = nest(members.filter(F.col("file_count") <= page_size).withColumn("page", first_page))
+    whole = members.filter(F.col("file_count") <= page_size)
+    small = nest(whole.withColumn("page", F.lit(1).cast("long")), F.sum("size"))
     large = members.filter(F.col("file_count") > page_size)
     if large.isEmpty():
         return small
@@ -130,14 +131,14 @@ def nested_members(
         "_key", group_key(by_size)
     )
     starts = placed.groupBy("_key").agg(
-        F.min("_position").alias("_start"), F.count("*").alias("file_count")
+        F.min("_position").alias("_start"),
+        F.count("*").alias("file_count"),
+        F.sum("size").alias("_total"),
     )
-    rows = placed.withColumnRenamed("file_count", "_members")
-    paged = salted_join(rows, starts, "_key", "inner", F.col("path")).drop("file_count", "_key")
+    rows = placed.drop("file_count", "total_size")
+    paged = salted_join(rows, starts, "_key", "inner", F.col("path"))
     page = F.floor((F.col("_position") - F.col("_start")) / page_size) + 1
-    return small.unionByName(
-        nest(paged.withColumnRenamed("_members", "file_count").withColumn("page", page.cast("long")))
-    )
+    return small.unionByName(nest(paged.withColumn("page", page.cast("long")), F.first("_total")))
 
 
 def mark_duplicates(
