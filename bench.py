@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.inventory import content_files, folder_table, second_scan, with_folder_id
+from checks.inventory import ROOT_DEPTH, content_files, second_scan, with_folder_id
 from filecairn.operators import candidates as cand
 from filecairn.operators import duplicates as dup
 from filecairn.operators import folders as fold
@@ -67,9 +67,9 @@ def main() -> None:
 
     timed("scan_and_hash", lambda: write_table(
         with_folder_id(cand.with_content_hashes(content)), path, "files"))
-    timed("folders", lambda: write_table(folder_table(spark, sf_dir), path, "folders"))
-    tables = read_snapshot(spark, path)
-    files, folders = tables["files"], tables["folders"]
+    files = read_snapshot(spark, path)["files"]
+    timed("folders", lambda: write_table(fold.folders_of(files, ROOT_DEPTH), path, "folders"))
+    folders = read_snapshot(spark, path)["folders"]
     unhashed = files.withColumn("hash_value", F.lit(None).cast("string"))
 
     queries = {

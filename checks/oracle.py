@@ -373,6 +373,7 @@ SELECT path, size FROM merged
 WHERE size > 0 AND hash_value IS NULL
   AND size IN (SELECT size FROM merged WHERE size > 0 GROUP BY size HAVING count(*) > 1)"""),
     "hashed_files": with_(HASHED, HASHES),
+    "hashed_files_listed": with_(HASHED, HASHES),
     "hashed_files_unbounded": with_(HASHED, HASHES),
     "hash_write_back": with_(HASHED, "SELECT id, path, size, hash_value FROM hashed"),
     "hash_outcomes": with_(HASHED, """
@@ -504,6 +505,10 @@ SELECT d.id, d.path, d.name, d.tag, p.path AS parent_path, p.name AS parent_name
 FROM folders d LEFT JOIN folders p ON d.parent_path = p.path"""),
     "folder_rollup_direct": with_(FOLDERS + "," + ROLLED, "SELECT path, size, number_files FROM rolled"),
     "folder_rollup_subtree": with_(FOLDERS + "," + ROLLED, "SELECT path, subtree_size, subtree_files FROM rolled"),
+    "files_in_folders": with_(FOLDERS, """
+SELECT f.id, f.path, d.id AS folder_row_id, d.name AS folder_name,
+       count(*) OVER (PARTITION BY f.dir_path) AS file_count
+FROM files f JOIN folders d ON f.dir_path = d.path"""),
     "files_without_folder": with_(FOLDERS + "," + SECOND, """
 SELECT dir_path, count(*) AS file_count FROM second
 WHERE dir_path NOT IN (SELECT path FROM folders) GROUP BY dir_path"""),

@@ -140,9 +140,14 @@ def hashed_files(spark, sf):
     return cand.hash_candidates(content_files(spark, sf))
 
 
+def hashed_files_listed(spark, sf):
+    """With a listing at hand: only candidates are hashed."""
+    return cand.hash_candidates(content_files(spark, sf), plain_files(spark, sf))
+
+
 def hashed_files_unbounded(spark, sf):
     """The way taken when the candidate sizes are too many to broadcast."""
-    return cand.hash_candidates(content_files(spark, sf), max_sizes=0)
+    return cand.hash_candidates(content_files(spark, sf), plain_files(spark, sf), max_sizes=0)
 
 
 def hash_write_back(spark, sf):
@@ -514,6 +519,11 @@ def folder_rollup_subtree(spark, sf):
     return rolled.select("path", "subtree_size", "subtree_files")
 
 
+def files_in_folders(spark, sf):
+    joined = fold.files_with_folder(plain_files(spark, sf), folder_table(spark, sf))
+    return joined.select("id", "path", "folder_row_id", "folder_name", "file_count")
+
+
 def files_without_folder(spark, sf):
     """Directories of the second scan that the first scan's folders do not list."""
     return fold.files_without_folder(second_scan(spark, sf), folder_table(spark, sf))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def parent_dir(path: Column) -> Column:
     """Directory part of an absolute path; a file directly under ``/`` has ``/``."""
-    cut = F.regexp_replace(path, "/[^/]*$", "")
+    cut = F.substring(path, F.lit(1), F.length(path) - F.length(base_name(path)) - 1)
     return F.when(cut == "", F.lit("/")).otherwise(cut)
 
 

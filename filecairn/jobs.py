@@ -32,6 +32,8 @@ from filecairn.operators.renderers import (
     basic_top_sheet,
     json_groups,
     json_head,
+    json_summary,
+    json_top_files,
     numbered_groups,
     summary_console,
     summary_duplicate_sheet,
@@ -56,6 +58,7 @@ from filecairn.operators.retention import (
 )
 from filecairn.operators.upserts import upsert_files, upsert_folders
 from filecairn.plans.cut import written
+from filecairn.plans.ordering import SMALL_LIMIT
 from filecairn.sources.content import hash_mounted
 from filecairn.sources.snapshots import read_snapshot, snapshot_path, write_snapshot
 from filecairn.sources.tables import DEFAULT_EXCLUDED
@@ -76,11 +79,13 @@ def scan(
     previous: str | None = None,
     include_hashed: bool | None = None,
     at: datetime | None = None,
+    cluster_by: str | None = "path",
 ) -> tuple[str, DataFrame]:
     """Take a snapshot of the roots, hash candidates, mark duplicates.
 
     Returns the snapshot path and the hash metrics. With ``previous`` the scan is
-    merged into that snapshot, and files hashed earlier count as size partners.
+    merged into that snapshot, and files hashed earlier count as size partners. The
+    file table is range-sorted by ``cluster_by``: by path, scopes read only their part.
     """
     if not roots:
         raise ValueError("no roots to scan")
@@ -104,7 +109,7 @@ def scan(
     }
     if old:
         tables["duplicate_runs"] = old["duplicate_runs"]
-    return write_snapshot(spark, tables, path), hash_metrics(hashes)
+    return write_snapshot(spark, tables, path, {"files": cluster_by}), hash_metrics(hashes)
 
 
 def rebuild(
@@ -142,9 +147,17 @@ def rebuild(
 
 
 def report_basic(
-    spark: SparkSession, snapshot: str, output: str, report_format: str = "console", top_n: int = TOP_N
-) -> None:
-    """Largest files and duplicate groups by hash, as console, html or sheet files."""
+    spark: SparkSession,
+    snapshot: str,
+    output: str | None = None,
+    report_format: str = "console",
+    top_n: int = TOP_N,
+) -> str:
+    """Largest files and duplicate groups by hash, as console, html or sheet files.
+
+    Returns the output path, by default the snapshot's name with ``_report``.
+    """
+    output = output or f"{snapshot.rstrip('/')}_report"
     files = read_snapshot(spark, snapshot)["files"]
     top = largest_files(files, top_n)
     members = duplicate_members(files)
@@ -157,6 +170,7 @@ def report_basic(
         _sheet(basic_duplicate_sheet(ordered_members(members)), f"{output}/Duplicate Files")
     else:
         raise ValueError(f"unsupported report format {report_format!r}")
+    return output
 
 
 def report_summary(
@@ -184,7 +198,12 @@ def report_summary(
     elif report_format == "html":
         write_lines(summary_html(figures, top, groups, members), output)
     elif report_format == "json":
-        json_head(figures, top).withColumn("generatedAt", now).write.json(f"{output}/report")
+        if top_n <= SMALL_LIMIT:
+            head = json_head(figures, top)
+        else:
+            head = json_summary(figures)
+            json_top_files(top).write.json(f"{output}/top_files")
+        head.withColumn("generatedAt", now).write.json(f"{output}/report")
         nested = json_groups(nested_members(members))
         nested.orderBy(F.desc("size"), "hash", "page").write.json(f"{output}/duplicates")
     elif report_format == "sheet":

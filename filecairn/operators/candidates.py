@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filecairn.functions.text import percent
+from filecairn.plans.cut import written
 from filecairn.plans.skew import ROWS_PER_SALT, fits, salted_join
 from filecairn.sources.content import content_hash
 
@@ -17,14 +18,18 @@ def open_files(files: DataFrame) -> DataFrame:
     return files.filter((F.col("size") > 0) & F.col("hash_value").isNull())
 
 
+def shared_sizes(files: DataFrame) -> DataFrame:
+    """Sizes held by more than one file."""
+    return files.groupBy("size").agg(F.count("*").alias("file_count")).filter("file_count > 1")
+
+
 def candidate_sizes(files: DataFrame, include_hashed: bool = False) -> DataFrame:
     """Sizes shared by more than one open file.
 
     ``include_hashed`` also counts files hashed earlier, so that a new file of the
     size of a known one is a candidate in an incremental run.
     """
-    counted = files.filter(F.col("size") > 0) if include_hashed else open_files(files)
-    return counted.groupBy("size").agg(F.count("*").alias("file_count")).filter("file_count > 1")
+    return shared_sizes(files.filter(F.col("size") > 0) if include_hashed else open_files(files))
 
 
 def candidate_files(
@@ -43,24 +48,30 @@ def candidate_count(files: DataFrame, include_hashed: bool = False) -> DataFrame
 
 
 def hash_candidates(
-    files: DataFrame, include_hashed: bool = False, max_sizes: int = MAX_BROADCAST_SIZES
+    files: DataFrame, listing: DataFrame | None = None, max_sizes: int = MAX_BROADCAST_SIZES
 ) -> DataFrame:
     """Hash the candidates of a table that has a ``content`` column.
 
-    Content never goes through a shuffle. Up to ``max_sizes`` candidate sizes are
-    broadcast to the content scan; beyond that every open file is hashed first and
-    only ids, sizes and hashes are joined.
+    Content never goes through a shuffle and is read once. With a stored ``listing``
+    (the same files without content) the candidate sizes are known beforehand: up to
+    ``max_sizes`` of them are broadcast to the content scan, so only candidates are
+    hashed. Otherwise every open file is hashed as it is read and ids, sizes and
+    hashes are joined.
     """
-    sizes = candidate_sizes(files.drop("content"), include_hashed)
     hashed = content_hash(F.col("content"), F.col("size")).alias("hash_value")
     no_error = F.lit(None).cast("string").alias("hash_error")
-    if fits(sizes, max_sizes):
-        chosen = open_files(files).join(F.broadcast(sizes), "size", "left_semi")
-        return chosen.select("id", "path", "size", hashed, no_error)
-    narrow = open_files(files).select("id", "path", "size", hashed, no_error)
-    return salted_join(narrow, sizes, "size", "left_semi", F.col("path")).select(
-        "id", "path", "size", "hash_value", "hash_error"
-    )
+    rows = open_files(files)
+    if listing is not None:
+        sizes = candidate_sizes(listing)
+        if fits(sizes, max_sizes):
+            rows = rows.join(F.broadcast(sizes), "size", "left_semi")
+            return rows.select("id", "path", "size", hashed, no_error)
+        narrow = rows.select("id", "path", "size", hashed, no_error)
+    else:
+        narrow = written(rows.select("id", "path", "size", hashed, no_error), "hashed")
+        sizes = shared_sizes(narrow)
+    kept = salted_join(narrow, sizes, "size", "left_semi", F.col("path"))
+    return kept.select("id", "path", "size", "hash_value", "hash_error")
 
 
 def write_back(files: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -76,23 +87,17 @@ def write_back(files: DataFrame, hashes: DataFrame) -> DataFrame:
     )
 
 
-def with_content_hashes(files: DataFrame, max_sizes: int = MAX_BROADCAST_SIZES) -> DataFrame:
-    """Candidate hashing and write-back in one pass over a content table.
+def with_content_hashes(files: DataFrame) -> DataFrame:
+    """Candidate hashing and write-back over a content table without a listing.
 
     Equal to ``write_back(files, hash_candidates(files))`` without the content
-    column; used where the hashes come from the same table as the inventory.
+    column. The content is read once, into a written table of the other columns.
     """
-    sizes = candidate_sizes(files.drop("content"))
     can_hash = (F.col("size") > 0) & F.col("hash_value").isNull()
     digest = F.when(can_hash, content_hash(F.col("content"), F.col("size")))
     kept = [c for c in files.columns if c != "content"]
-    if fits(sizes, max_sizes):
-        shared = F.broadcast(sizes.select("size", F.lit(True).alias("_shared")))
-        found = F.when(F.col("_shared"), digest)
-        joined = files.join(shared, "size", "left")
-        return joined.withColumn("hash_value", F.coalesce("hash_value", found)).select(*kept)
-    narrow = files.withColumn("_hash", digest).drop("content")
-    joined = salted_join(narrow, sizes, "size", "left", F.col("path"))
+    narrow = written(files.withColumn("_hash", digest).drop("content"), "listed")
+    joined = salted_join(narrow, candidate_sizes(narrow), "size", "left", F.col("path"))
     found = F.when(F.col("file_count").isNotNull(), F.col("_hash"))
     return joined.withColumn("hash_value", F.coalesce("hash_value", found)).select(*kept)
 

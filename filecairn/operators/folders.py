@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filecairn.functions.paths import ancestors, base_name, parent_dir, path_id
+from filecairn.plans.skew import ROWS_PER_SALT, salted_join
 from filecairn.schemas import ROLLUPS
 
 
@@ -70,6 +71,21 @@ def with_rollups(folders: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(*kept, *[F.coalesce(c, F.lit(0)).alias(c) for c in ROLLUPS])
 
 
+def files_with_folder(
+    files: DataFrame, folders: DataFrame, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """Each file beside the folder row of its directory, joined by path.
+
+    A directory of very many files is salted; files without a folder row drop out.
+    """
+    counts = files.groupBy("dir_path").agg(F.count("*").alias("file_count"))
+    known = folders.select(
+        F.col("path").alias("dir_path"), F.col("id").alias("folder_row_id"), F.col("name").alias("folder_name")
+    )
+    keyed = counts.join(known, "dir_path")
+    return salted_join(files, keyed, "dir_path", "inner", F.col("path"), rows_per_salt)
+
+
 def files_without_folder(files: DataFrame, folders: DataFrame) -> DataFrame:
     """Files whose directory has no folder row (the foreign key, checked by path)."""
     dirs = files.groupBy("dir_path").agg(F.count("*").alias("file_count"))

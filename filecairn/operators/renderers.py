@@ -280,18 +280,18 @@ def summary_html(summary: DataFrame, top: DataFrame, groups: DataFrame, members:
 # JSON documents. Key names are fixed values of the report format.
 
 
-def _json_file(tagged: bool = True) -> Column:
-    labels = [F.col("tag").alias("loaithumuc"), F.col("top_folder").alias("thumuc")] if tagged else []
+def _json_file() -> Column:
+    labels = [F.col("tag").alias("loaithumuc"), F.col("top_folder").alias("thumuc")]
     return F.struct("id", "path", "size", time_text(F.col("mtime")).alias("mtime"), *labels)
 
 
-def json_head(summary: DataFrame, top: DataFrame) -> DataFrame:
-    """One document: summary, metrics and the top files in rank order."""
-    files = top.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", _json_file().alias("file")))), lambda r: r["file"]
-        ).alias("topFiles")
-    )
+def json_top_files(top: DataFrame) -> DataFrame:
+    """One document per top file; for reports with too many for one document."""
+    return top.select("rank", _json_file().alias("file")).select("rank", "file.*")
+
+
+def json_summary(summary: DataFrame) -> DataFrame:
+    """One document: summary and metrics."""
     shown = F.struct(
         F.col("total_files").alias("totalFiles"),
         F.col("total_size").alias("totalSize"),
@@ -306,8 +306,15 @@ def json_head(summary: DataFrame, top: DataFrame) -> DataFrame:
         F.col("duplicate_files_ref").alias("duplicateFiles"),
         F.col("wasted_space").alias("duplicateSize"),
     )
+    return summary.select(shown.alias("summary"), metrics.alias("metrics"))
+
+
+def json_head(summary: DataFrame, top: DataFrame) -> DataFrame:
+    """One document: summary, metrics and the top files in rank order."""
+    ranked = F.sort_array(F.collect_list(F.struct("rank", _json_file().alias("file"))))
+    files = top.agg(F.transform(ranked, lambda r: r["file"]).alias("topFiles"))
     # Both sides are single rows.
-    return summary.join(F.broadcast(files)).select("topFiles", shown.alias("summary"), metrics.alias("metrics"))
+    return json_summary(summary).join(F.broadcast(files)).select("topFiles", "summary", "metrics")
 
 
 def json_groups(nested: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SALT = 1_000_000
-NULL_SALTS = 4096
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -28,13 +27,13 @@ def salted_join(
     its single ``keyed`` row repeated once per salt, so no task sees a whole hot key.
     The broadcast side lists only such hot keys: there are at most
     ``count(rows) / rows_per_salt`` of them. Rows without a key never match and are
-    spread as well.
+    spread over all tasks.
     """
     salts = F.ceil(F.col("file_count") / F.lit(rows_per_salt))
     hot = keyed.filter(F.col("file_count") > rows_per_salt).select(key, salts.alias("_salts"))
     spread = F.xxhash64(spread_by)
     salt = (
-        F.when(F.col(key).isNull(), F.pmod(spread, F.lit(NULL_SALTS)))
+        F.when(F.col(key).isNull(), spread)
         .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
         .otherwise(F.lit(0))
         .cast("long")

@@ -26,10 +26,16 @@ def write_table(df: DataFrame, path: str, table: str, cluster_by: str | None = N
     out.write.mode("errorifexists").parquet(f"{path}/{table}")
 
 
-def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> str:
+def write_snapshot(
+    spark: SparkSession,
+    tables: dict[str, DataFrame],
+    path: str,
+    cluster_by: dict[str, str | None] | None = None,
+) -> str:
     """Write a snapshot; tables not given are written empty."""
     for table in TABLES:
-        write_table(tables[table] if table in tables else empty(spark, table), path, table)
+        rows = tables[table] if table in tables else empty(spark, table)
+        write_table(rows, path, table, (cluster_by or {}).get(table))
     return path
 
 

@@ -49,14 +49,17 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _lister(exclude: frozenset[str], budget: int):
-    """List frontier directories depth-first; past ``budget`` entries the rest goes back."""
+    """List frontier directories depth-first; past ``budget`` entries the rest goes back.
+
+    What a task holds is bounded by the budget, also for directories of any size.
+    """
 
     def entries(first: str, tag: str, root_no: int) -> Iterator[tuple]:
         pending, seen = [first], 0
         while pending:
             folder = pending.pop()
             if seen >= budget:
-                yield ("todo", folder, None, None, tag, root_no, None)
+                yield ("todo", _text(folder), None, None, tag, root_no, None)
                 continue
             try:
                 with os.scandir(folder) as listing:
@@ -71,7 +74,10 @@ def _lister(exclude: frozenset[str], budget: int):
                         shown = (_text(item.path), info.st_size, info.st_mtime_ns // 1000, tag, root_no, None)
                         if stat.S_ISDIR(info.st_mode):
                             yield ("folder", *shown)
-                            pending.append(item.path)
+                            if seen < budget:
+                                pending.append(item.path)
+                            else:
+                                yield ("todo", *shown)
                         elif stat.S_ISREG(info.st_mode):
                             yield ("file", *shown)
             except OSError as problem:

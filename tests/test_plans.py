@@ -39,15 +39,21 @@ def exchanged(df):
 
 @pytest.mark.parametrize("max_sizes", [0, 1_000_000])
 def test_content_is_never_shuffled(spark, max_sizes):
+    hashed = cand.hash_candidates(content_files(spark, SMALL), plain_files(spark, SMALL), max_sizes)
+    shuffles = exchanged(hashed)
+    assert shuffles and not any({"content", "text", "html"} & columns for columns in shuffles)
+
+
+def test_content_is_read_once(spark):
     files = content_files(spark, SMALL)
-    for df in (cand.hash_candidates(files, max_sizes=max_sizes), cand.with_content_hashes(files, max_sizes)):
-        shuffles = exchanged(df)
-        assert shuffles and not any({"content", "text", "html"} & columns for columns in shuffles)
+    for df in (cand.hash_candidates(files), cand.with_content_hashes(files)):
+        assert "documents.parquet" not in plan(df)
 
 
-def test_content_paths_agree(spark):
+def test_write_back_equals_the_one_pass_form(spark):
     files = content_files(spark, SMALL)
-    assert sorted_rows(cand.with_content_hashes(files, 0)) == sorted_rows(cand.with_content_hashes(files))
+    stored = cand.write_back(files.drop("content"), cand.hash_candidates(files))
+    assert sorted_rows(cand.with_content_hashes(files)) == sorted_rows(stored)
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +135,17 @@ def test_hot_key_is_spread(spark, skewed):
     assert largest < 3000 / 8 * 1.6
 
 
+def test_files_with_folder(spark, hashed):
+    from filecairn.operators.folders import files_with_folder, folders_of
+
+    folders = folders_of(hashed, 3)
+    plain = files_with_folder(hashed, folders).select("path", "folder_name", "file_count")
+    assert plain.count() == 377
+    assert sorted_rows(plain) == sorted_rows(
+        files_with_folder(hashed, folders, 2).select("path", "folder_name", "file_count")
+    )
+
+
 def test_fits(spark):
     assert skew.fits(spark.range(5), 5) and not skew.fits(spark.range(6), 5)
 

@@ -157,6 +157,7 @@ def test_jobs_end_to_end(spark, tree, tmp_path):
         jobs.report_summary(spark, second, str(tmp_path / f"summary-{kind}"), kind, min_size=1)
     lines = [r[0] for r in spark.read.text(str(tmp_path / "summary-console")).collect()]
     assert "DUPLICATE FILES (1 groups):" in lines and "    Size: 10 B, Count: 3, Total: 30 B" in lines
+    assert jobs.report_basic(spark, first) == first + "_report"
     document = spark.read.json(str(tmp_path / "summary-json/report")).first()
     assert document["summary"]["duplicateFiles"] == 7 - 2
     nested = spark.read.json(str(tmp_path / "summary-json/duplicates")).first()
