@@ -81,7 +81,8 @@ def main() -> None:
         "mark_duplicates": lambda: dup.mark_duplicates(files, dup.duplicate_groups(files)),
         "summary": lambda: rep.summary(files),
         "top_files": lambda: rep.largest_files(files),
-        "console_report": lambda: out.basic_console(rep.largest_files(files), dup.duplicate_members(files)),
+        "console_report": lambda: out.basic_console(
+            rep.largest_files(files), dup.duplicate_groups(files), dup.duplicate_members(files)),
         "rollups": lambda: fold.with_rollups(folders, files),
         "upsert_files": lambda: ups.upsert_files(files, with_folder_id(second_scan(spark, sf_dir))),
         "run_batches": lambda: rebuild.batch_progress(dup.duplicate_groups(files)),

@@ -263,6 +263,8 @@ BROWSES = [
 MARKUP = "('<a href=\"' || path || '\">&''+</a>')"
 
 CONSOLE = [
+    line(0, 0, "'=== FILESYSTEM ANALYSIS REPORT ==='", ""),
+    line(0, 1, "'Generated: 2024-06-01 12:00:00'", ""),
     line(1, 0, "'SUMMARY:'", ""),
     line(1, 1, "'  Total Files:     ' || total_files", "FROM summary"),
     line(1, 2, f"'  Total Size:      ' || {bytes_text('total_size')}", "FROM summary"),
@@ -299,14 +301,31 @@ shown AS (
   UNION ALL SELECT 6, 'Average File Size', {average_file_size} FROM summary
 )""".format(**{c: bytes_text(c) for c in ("total_size", "wasted_space", "average_file_size")})
 
+def page(title: str) -> str:
+    return (f"'<!DOCTYPE html><html><head><meta charset=\"UTF-8\"><title>{title}</title></head>"
+            f"<body><h1>{title}</h1>'")
+
+
+def table(before: str, *headings: str) -> str:
+    return "'" + before + "<table><tr>" + "".join(f"<th>{h}</th>" for h in headings) + "</tr>'"
+
+
 HTML = [
-    line(1, 0, "'<div class=\"metric\">' || \"Metric\" || ': ' || \"Value\" || '</div>'",
+    line(0, 0, page("Filesystem Analysis Report"), ""),
+    line(1, 0, "'<h2>Summary</h2>'", ""),
+    line(2, 0, "'<div class=\"metric\">' || \"Metric\" || ': ' || \"Value\" || '</div>'",
          "FROM shown WHERE position < 6", "position"),
-    line(2, 0, html_row(templated("path"), bytes_text("size"), stamp("mtime")), "FROM top", "rank"),
-    line(3, 0, f"'<h3>Hash: ' || hash_value || ' (' || file_count || ' files, ' || {bytes_text('total_size')} || ' total)</h3>'",
-         "FROM large", "0", "hash_value", "-size"),
-    line(3, 1, html_row(templated("path"), bytes_text("h.size"), stamp("mtime")),
-         f"FROM {LARGE_MEMBERS}", "0", "h.hash_value", "-h.size", "path"),
+    line(3, 0, table("<h2>Top Largest Files</h2>", "Path", "Size", "Modified"), ""),
+    line(4, 0, html_row(templated("path"), bytes_text("size"), stamp("mtime")), "FROM top", "rank"),
+    line(5, 0, "'</table><h2>Duplicate Files</h2>'", ""),
+    line(6, 0, f"'<h3>Hash: ' || hash_value || ' (' || file_count || ' files, ' || {bytes_text('total_size')} || ' total)</h3>' || "
+               + table("", "Path", "Size", "Modified"),
+         "FROM numbered", "number", "hash_value"),
+    line(6, 1, html_row(templated("path"), bytes_text("h.size"), stamp("mtime")),
+         "FROM hashed h JOIN numbered n ON h.hash_value = n.hash_value AND h.size = n.size",
+         "number", "h.hash_value", "0", "path"),
+    line(6, 2, "'</table>'", "FROM numbered", "number", "hash_value"),
+    line(7, 0, "'</body></html>'", ""),
 ]
 
 BASIC_CONSOLE = [
@@ -319,12 +338,18 @@ BASIC_CONSOLE = [
 ]
 
 BASIC_HTML = [
-    line(1, 1, html_row("rank", "size", escaped("path"), escaped("filename"), rfc("mtime"),
+    line(0, 0, page("File Scan Report"), ""),
+    line(1, 0, table("<h2>Top 100 Largest Files</h2>", "Rank", "Size (Bytes)", "Path", "Filename",
+                     "Modified Time", "Hash Value", "Type"), ""),
+    line(2, 0, html_row("rank", "size", escaped("path"), escaped("filename"), rfc("mtime"),
                         "coalesce(hash_value, '')", escaped("tag")), "FROM top_all", "rank"),
-    line(2, 0, "'<tr class=\"hash-group\"><td colspan=\"7\">Hash: ' || hash_value || ' (Count: ' || file_count || ')</td></tr>'",
+    line(3, 0, table("</table><h2>Duplicate Files</h2>", "Hash Value", "Count", "File Path", "Filename",
+                     "Size (Bytes)", "Modified Time", "Type"), ""),
+    line(4, 0, "'<tr class=\"hash-group\"><td colspan=\"7\">Hash: ' || hash_value || ' (Count: ' || file_count || ')</td></tr>'",
          "FROM groups", "0", "hash_value"),
-    line(2, 1, html_row("''", "''", escaped("path"), escaped("filename"), "size", rfc("mtime"), escaped("tag")),
+    line(4, 1, html_row("''", "''", escaped("path"), escaped("filename"), "size", rfc("mtime"), escaped("tag")),
          f"FROM {MEMBERS}", "0", "h.hash_value", "-size", "path"),
+    line(5, 0, "'</table></body></html>'", ""),
 ]
 
 LEDGER = """
@@ -358,6 +383,9 @@ WHERE NOT list_has_any(list_slice(string_split(dir_path, '/'), 5, 100), ['fr', '
     "schema_upgrade_defaults": with_(FOLDERS, """
 SELECT path, name, tag, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS number_files,
        CAST(0 AS BIGINT) AS subtree_size, CAST(0 AS BIGINT) AS subtree_files FROM folders"""),
+    "colliding_ids": with_(FILES, """
+SELECT CAST('0x' || substr(md5(path), 1, 4) AS BIGINT) AS id, count(*) AS paths
+FROM files GROUP BY 1 HAVING count(*) > 1"""),
     "lookup_by_ids": with_(FILES, "SELECT id, path FROM files WHERE id IN (SELECT doc_id + 1000000000 FROM labels)"),
     "parse_times": with_(FILES, " UNION ALL ".join(spelled(i, f, s) for i, (f, s) in enumerate(SPELLINGS))),
     "candidate_sizes": with_(HASHED, "SELECT size, file_count FROM shared"),
@@ -453,7 +481,7 @@ SELECT rank AS "Rank", size AS "Size (Bytes)", path AS "Path", filename AS "File
 SELECT g.hash_value AS "Hash Value", g.file_count AS "Count", path AS "File Path", filename AS "Filename",
        size AS "Size (Bytes)", {rfc('mtime')} AS "Modified Time", tag AS "Type" FROM {MEMBERS}"""),
     "report_rows_console": with_(HASHED + "," + SUMMARY + "," + TOPS + "," + NUMBERED, " UNION ALL ".join(CONSOLE)),
-    "report_rows_html": with_(HASHED + "," + SUMMARY + "," + SUMMARY_ROWS + "," + TOPS, " UNION ALL ".join(HTML)),
+    "report_rows_html": with_(HASHED + "," + SUMMARY + "," + SUMMARY_ROWS + "," + TOPS + "," + NUMBERED, " UNION ALL ".join(HTML)),
     "report_rows_sheet": with_(HASHED, f"""
 SELECT g.hash_value AS "Hash", g.size AS "Size", g.file_count AS "Count", g.total_size AS "Total Size",
        CAST(1 AS BIGINT) AS "Page", string_agg(path, '; ' ORDER BY path) AS "Files"
@@ -491,6 +519,7 @@ SELECT (SELECT count(*) FROM folders WHERE {IN_SCOPE}) AS folders,
     "delete_filter_limited": with_(FILES, f"SELECT id, path FROM files WHERE {IN_FILTER} ORDER BY id LIMIT 500"),
     "delete_size_zero_selection": with_(FILES, "SELECT id, path FROM files WHERE size = 0"),
     "delete_filter_remaining": with_(FILES, f"SELECT id, path, size FROM files WHERE NOT {IN_FILTER}"),
+    "delete_filter_remaining_direct": with_(FILES, f"SELECT id, path, size FROM files WHERE NOT {IN_FILTER}"),
     "delete_dry_run_outcomes": with_(FILES, f"""
 SELECT count(*) AS db_deleted, CAST(0 AS BIGINT) AS disk_deleted, CAST(0 AS BIGINT) AS errors
 FROM files WHERE {IN_FILTER}"""),

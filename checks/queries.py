@@ -78,6 +78,13 @@ def schema_upgrade_defaults(spark, sf):
     return upgrade_folders(old).select("path", "name", "tag", *ROLLUPS)
 
 
+def colliding_ids(spark, sf):
+    """Ids cut to 16 bits of the path hash, so that some collide."""
+    files = plain_files(spark, sf)
+    short = F.conv(F.substring(F.md5("path"), 1, 4), 16, 10).cast("long")
+    return tables.colliding_ids(files.select(short.alias("id"), "path"))
+
+
 def lookup_by_ids(spark, sf):
     ids = table(spark, sf, "labels").select((F.col("doc_id") + 1000000000).alias("id"))
     return tables.lookup_ids(plain_files(spark, sf), ids).select("id", "path")
@@ -350,7 +357,7 @@ def scalar_texts(spark, sf):
 
 def _basic(spark, sf):
     files = hashed_inventory(spark, sf)
-    return rep.largest_files(files), dup.duplicate_members(files)
+    return rep.largest_files(files), dup.duplicate_groups(files), dup.duplicate_members(files)
 
 
 def report_console_basic(spark, sf):
@@ -358,15 +365,15 @@ def report_console_basic(spark, sf):
 
 
 def report_html_basic(spark, sf):
-    return out.basic_html(*_basic(spark, sf))
+    return out.basic_html(*_basic(spark, sf), TOP)
 
 
 def report_sheet_basic_top(spark, sf):
-    return out.basic_top_sheet(_basic(spark, sf)[0])
+    return out.basic_top_sheet(rep.largest_files(hashed_inventory(spark, sf)))
 
 
 def report_sheet_basic_duplicates(spark, sf):
-    return out.basic_duplicate_sheet(_basic(spark, sf)[1])
+    return out.basic_duplicate_sheet(dup.duplicate_members(hashed_inventory(spark, sf)))
 
 
 def _summary_parts(spark, sf):
@@ -377,7 +384,7 @@ def _summary_parts(spark, sf):
 
 
 def report_rows_console(spark, sf):
-    return out.summary_console(*_summary_parts(spark, sf))
+    return out.summary_console(*_summary_parts(spark, sf), now())
 
 
 def report_rows_html(spark, sf):
@@ -483,6 +490,12 @@ def delete_filter_remaining(spark, sf):
     return ret.without(files, gone).select("id", "path", "size")
 
 
+def delete_filter_remaining_direct(spark, sf):
+    """Without a limit the filter alone decides; no join."""
+    kept = ret.remaining_after_filter(plain_files(spark, sf), ret.deletion_filter(*FILTER))
+    return kept.select("id", "path", "size")
+
+
 def delete_dry_run_outcomes(spark, sf):
     files = plain_files(spark, sf)
     return ret.outcome_counts(ret.purge_files(ret.select_for_deletion(files, ret.deletion_filter(*FILTER))))

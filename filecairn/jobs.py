@@ -50,6 +50,7 @@ from filecairn.operators.retention import (
     outcome_counts,
     purge_files,
     purged,
+    remaining_after_filter,
     remaining_after_scope,
     scope_counts,
     select_for_deletion,
@@ -160,11 +161,12 @@ def report_basic(
     output = output or f"{snapshot.rstrip('/')}_report"
     files = read_snapshot(spark, snapshot)["files"]
     top = largest_files(files, top_n)
+    groups = duplicate_groups(files).select("hash_value", "file_count")
     members = duplicate_members(files)
     if report_format == "console":
-        write_lines(basic_console(top, members), output)
+        write_lines(basic_console(top, groups, members), output)
     elif report_format == "html":
-        write_lines(basic_html(top, members), output)
+        write_lines(basic_html(top, groups, members, top_n), output)
     elif report_format == "sheet":
         _sheet(basic_top_sheet(top).orderBy("Rank"), f"{output}/Top Largest Files")
         _sheet(basic_duplicate_sheet(ordered_members(members)), f"{output}/Duplicate Files")
@@ -191,12 +193,13 @@ def report_summary(
     figures = summary(files)
     groups = groups_by_hash_and_size(files, min_size)
     members = duplicate_members(files, min_size)
-    if report_format == "console":
+    if report_format in ("console", "html"):
         numbered = numbered_groups(groups)
         placed = members_of_groups(files, numbered)
-        write_lines(summary_console(figures, top, numbered, placed), output)
-    elif report_format == "html":
-        write_lines(summary_html(figures, top, groups, members), output)
+        if report_format == "console":
+            write_lines(summary_console(figures, top, numbered, placed, now), output)
+        else:
+            write_lines(summary_html(figures, top, numbered, placed), output)
     elif report_format == "json":
         if top_n <= SMALL_LIMIT:
             head = json_head(figures, top)
@@ -255,13 +258,19 @@ def delete(
             _write_remaining(spark, tables, output, at)
         return counts
     condition = deletion_filter(scope, size_zero, exts, match)
-    selection = written(select_for_deletion(files, condition, limit), "selection")
+    selection = select_for_deletion(files, condition, limit)
+    if limit or delete_disk:
+        selection = written(selection, "selection")
     write_deletion_list(deletion_list(selection), list_out, list_format)
     outcomes = purge_files(selection, dry_run=dry_run or not delete_disk)
     counts = outcome_counts(outcomes)
     if not dry_run:
-        gone = purged(outcomes) if delete_disk else selection
-        tables["files"] = without(files, gone)
+        if delete_disk:
+            tables["files"] = without(files, purged(outcomes))
+        elif limit:
+            tables["files"] = without(files, selection)
+        else:
+            tables["files"] = remaining_after_filter(files, condition)
         _write_remaining(spark, tables, output, at)
     return counts
 

@@ -125,10 +125,9 @@ def summary_duplicate_sheet(nested: DataFrame) -> DataFrame:
 # Console lines.
 
 
-def basic_console(top: DataFrame, members: DataFrame) -> DataFrame:
-    """Largest files, then each group with its files."""
+def basic_console(top: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Largest files, then each group by hash with its files."""
     sized = F.format_string("%-10d", F.col("size"))
-    groups = _groups_of(members)
     return _stack([
         _text(top, 1, 0, "--- Top Largest Files ---"),
         _line(
@@ -150,17 +149,17 @@ def basic_console(top: DataFrame, members: DataFrame) -> DataFrame:
     ])
 
 
-def _groups_of(members: DataFrame) -> DataFrame:
-    return members.groupBy("hash_value").agg(F.first("file_count").alias("file_count"))
-
-
 def numbered_groups(groups: DataFrame) -> DataFrame:
     """Groups by size descending with their 1-based number."""
     return positions(groups, [F.desc("size"), F.asc("hash_value")], "number")
 
 
 def summary_console(
-    summary: DataFrame, top: DataFrame, groups: DataFrame, members: DataFrame
+    summary: DataFrame,
+    top: DataFrame,
+    groups: DataFrame,
+    members: DataFrame,
+    generated_at: Column | None = None,
 ) -> DataFrame:
     """Summary, largest files and numbered groups with their files in path order.
 
@@ -176,7 +175,12 @@ def summary_console(
         spaced("Wasted Space:", "wasted_space"),
     ]
     number = F.col("number")
+    dated = []
+    if generated_at is not None:
+        dated = [_line(summary, 0, 1, F.concat(F.lit("Generated: "), time_text(generated_at)))]
     return _stack([
+        _text(summary, 0, 0, "=== FILESYSTEM ANALYSIS REPORT ==="),
+        *dated,
         _text(summary, 1, 0, "SUMMARY:"),
         *[_line(summary, 1, i, figure) for i, figure in enumerate(figures, start=1)],
         _line(top.agg(F.count("*").alias("n")), 2, 0, F.format_string("TOP %d LARGEST FILES:", "n")),
@@ -211,7 +215,10 @@ def summary_console(
     ])
 
 
-# HTML rows.
+# HTML pages. Titles and headings are fixed values of the report formats.
+BASIC_TOP_HEADINGS = ["Rank", "Size (Bytes)", "Path", "Filename", "Modified Time", "Hash Value", "Type"]
+BASIC_DUPLICATE_HEADINGS = ["Hash Value", "Count", "File Path", "Filename", "Size (Bytes)", "Modified Time", "Type"]
+SUMMARY_HEADINGS = ["Path", "Size", "Modified"]
 
 
 def _row(*cells: Column) -> Column:
@@ -219,22 +226,36 @@ def _row(*cells: Column) -> Column:
     return F.concat(F.lit("<tr>"), *opened, F.lit("</tr>"))
 
 
-def basic_html(top: DataFrame, members: DataFrame) -> DataFrame:
-    """Table rows of the two 7-column tables; all text escaped."""
+def _page_start(title: str) -> str:
+    return (
+        f'<!DOCTYPE html><html><head><meta charset="UTF-8"><title>{title}</title></head>'
+        f"<body><h1>{title}</h1>"
+    )
+
+
+def _table_start(headings: list[str]) -> str:
+    return "<table><tr>" + "".join(f"<th>{h}</th>" for h in headings) + "</tr>"
+
+
+def basic_html(top: DataFrame, groups: DataFrame, members: DataFrame, top_n: int) -> DataFrame:
+    """Page of two 7-column tables; all text escaped."""
     text = lambda c: escape_html(F.col(c))
     when = rfc3339_text(F.col("mtime"))
     blank = F.lit("")
     return _stack([
+        _text(top, 0, 0, _page_start("File Scan Report")),
+        _text(top, 1, 0, f"<h2>Top {top_n} Largest Files</h2>" + _table_start(BASIC_TOP_HEADINGS)),
         _line(
-            top, 1, 1,
+            top, 2, 0,
             _row(
                 F.col("rank"), F.col("size"), text("path"), text("filename"), when,
                 F.coalesce("hash_value", blank), text("tag"),
             ),
             place=F.col("rank"),
         ),
+        _text(top, 3, 0, "</table><h2>Duplicate Files</h2>" + _table_start(BASIC_DUPLICATE_HEADINGS)),
         _line(
-            _groups_of(members), 2, 0,
+            groups, 4, 0,
             F.format_string(
                 '<tr class="hash-group"><td colspan="7">Hash: %s (Count: %d)</td></tr>',
                 text("hash_value"), F.col("file_count"),
@@ -242,38 +263,51 @@ def basic_html(top: DataFrame, members: DataFrame) -> DataFrame:
             hash_value=F.col("hash_value"),
         ),
         _line(
-            members, 2, 1,
+            members, 4, 1,
             _row(blank, blank, text("path"), text("filename"), F.col("size"), when, text("tag")),
             hash_value=F.col("hash_value"), size_rank=-F.col("size"), path=F.col("path"),
         ),
+        _text(top, 5, 0, "</table></body></html>"),
     ])
 
 
 def summary_html(summary: DataFrame, top: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Summary figures, largest files, and a heading and rows for each group."""
+    """Page with the summary figures, the largest files, and a table for each group.
+
+    ``groups`` are numbered groups by hash and size, ``members`` their files.
+    """
     text = lambda c: escape_html(F.col(c), TEMPLATE_ESCAPES)
     when = time_text(F.col("mtime"))
     metric = F.concat(
         F.lit('<div class="metric">'), F.col("Metric"), F.lit(": "), F.col("Value"), F.lit("</div>")
     )
+    place = dict(place=F.col("number"), hash_value=F.col("hash_value"))
     return _stack([
+        _text(summary, 0, 0, _page_start("Filesystem Analysis Report")),
+        _text(summary, 1, 0, "<h2>Summary</h2>"),
         _line(
-            summary_sheet(summary).filter(F.col("Metric") != "Average File Size"), 1, 0, metric,
+            summary_sheet(summary).filter(F.col("Metric") != "Average File Size"), 2, 0, metric,
             place=F.col("position").cast("long"),
         ),
-        _line(top, 2, 0, _row(text("path"), format_bytes(F.col("size")), when), place=F.col("rank")),
+        _text(summary, 3, 0, "<h2>Top Largest Files</h2>" + _table_start(SUMMARY_HEADINGS)),
+        _line(top, 4, 0, _row(text("path"), format_bytes(F.col("size")), when), place=F.col("rank")),
+        _text(summary, 5, 0, "</table><h2>Duplicate Files</h2>"),
         _line(
-            groups, 3, 0,
-            F.format_string(
-                "<h3>Hash: %s (%d files, %s total)</h3>",
-                text("hash_value"), F.col("file_count"), format_bytes(F.col("total_size")),
+            groups, 6, 0,
+            F.concat(
+                F.format_string(
+                    "<h3>Hash: %s (%d files, %s total)</h3>",
+                    text("hash_value"), F.col("file_count"), format_bytes(F.col("total_size")),
+                ),
+                F.lit(_table_start(SUMMARY_HEADINGS)),
             ),
-            hash_value=F.col("hash_value"), size_rank=-F.col("size"),
+            **place,
         ),
         _line(
-            members, 3, 1, _row(text("path"), format_bytes(F.col("size")), when),
-            hash_value=F.col("hash_value"), size_rank=-F.col("size"), path=F.col("path"),
+            members, 6, 1, _row(text("path"), format_bytes(F.col("size")), when), **place, path=F.col("path")
         ),
+        _line(groups, 6, 2, F.lit("</table>"), **place),
+        _text(summary, 7, 0, "</body></html>"),
     ])
 
 

@@ -72,6 +72,11 @@ def remaining_after_scope(
     return files.filter(keep), folders.filter(keep)
 
 
+def remaining_after_filter(files: DataFrame, condition: Column) -> DataFrame:
+    """Files that do not pass the filters: no join where the whole selection goes."""
+    return files.filter(~F.coalesce(condition, F.lit(False)))
+
+
 def select_for_deletion(files: DataFrame, condition: Column, limit: int = 0) -> DataFrame:
     """Ids and paths to delete, in id order up to a limit (0 means no limit)."""
     chosen = files.filter(condition).select("id", "path")
@@ -79,7 +84,7 @@ def select_for_deletion(files: DataFrame, condition: Column, limit: int = 0) ->
 
 
 def without(files: DataFrame, selection: DataFrame) -> DataFrame:
-    """Files that are not selected."""
+    """Files that are not in a limited or purged selection."""
     return files.join(selection.select("id", "path"), ["id", "path"], "left_anti")
 
 

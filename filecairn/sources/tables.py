@@ -54,6 +54,11 @@ def lookup_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
     return files.join(ids.select("id"), "id", "left_semi")
 
 
+def colliding_ids(files: DataFrame) -> DataFrame:
+    """Ids that more than one path carries; ids derived from paths may collide."""
+    return files.groupBy("id").agg(F.count("*").alias("paths")).filter("paths > 1")
+
+
 def totals_by_tag(files: DataFrame) -> DataFrame:
     """File count and bytes per root tag."""
     return files.groupBy("tag").agg(

@@ -155,7 +155,15 @@ def test_jobs_end_to_end(spark, tree, tmp_path):
         jobs.report_basic(spark, second, str(tmp_path / f"basic-{kind}"), kind)
     for kind in ("console", "html", "sheet", "json"):
         jobs.report_summary(spark, second, str(tmp_path / f"summary-{kind}"), kind, min_size=1)
-    lines = [r[0] for r in spark.read.text(str(tmp_path / "summary-console")).collect()]
+    for page in ("basic-html", "summary-html"):
+        parts = sorted((tmp_path / page).glob("part-*"))
+        whole = "".join(p.read_text() for p in parts)
+        assert whole.startswith("<!DOCTYPE html>") and whole.rstrip().endswith("</html>")
+        assert whole.count("<table>") == whole.count("</table>") == 2
+    lines = [line for p in sorted((tmp_path / "summary-console").glob("part-*")) for line in p.read_text().splitlines()]
+    heads = [n for n, line in enumerate(lines) if line.isupper() or line.startswith(("TOP", "DUPLICATE"))]
+    assert [lines[n].split(" ")[0] for n in heads] == ["===", "SUMMARY:", "TOP", "DUPLICATE"]
+    assert lines[-3:] == sorted(lines[-3:]) and all(line.startswith("      - ") for line in lines[-3:])
     assert "DUPLICATE FILES (1 groups):" in lines and "    Size: 10 B, Count: 3, Total: 30 B" in lines
     assert jobs.report_basic(spark, first) == first + "_report"
     document = spark.read.json(str(tmp_path / "summary-json/report")).first()
