@@ -77,8 +77,8 @@ def main() -> None:
         "candidates": lambda: cand.candidate_files(unhashed).select("id", "path", "size"),
         "duplicate_groups": lambda: dup.duplicate_groups(files),
         "duplicate_members": lambda: dup.duplicate_members(files),
-        "nested_members": lambda: dup.nested_members(dup.duplicate_members(files, 1024)),
-        "mark_duplicates": lambda: dup.mark_duplicates(files, dup.duplicate_groups(files)),
+        "nested_members": lambda: dup.nested_members(files, dup.groups_by_hash_and_size(files, 1024)),
+        "mark_duplicates": lambda: dup.mark_duplicates(files, dup.duplicate_groups(files), complete=True),
         "summary": lambda: rep.summary(files),
         "top_files": lambda: rep.largest_files(files),
         "console_report": lambda: out.basic_console(

@@ -428,6 +428,7 @@ FROM {LARGE_MEMBERS} GROUP BY ALL"""),
     "duplicate_members_nested": nested(1000),
     "duplicate_members_paged": nested(2),
     "flagged_files": with_(HASHED, "SELECT id, path, coalesce(hash_value IN (SELECT hash_value FROM groups), FALSE) AS is_duplicate FROM hashed"),
+    "flagged_files_after": with_(HASHED, "SELECT id, path, coalesce(hash_value IN (SELECT hash_value FROM groups WHERE hash_value > '8'), FALSE) AS is_duplicate FROM hashed"),
     "reset_flags": with_(FILES, "SELECT id, path, FALSE AS is_duplicate FROM files"),
     "upsert_groups_scan": group_upsert("coalesce(o.first_seen, n.first_seen)"),
     "upsert_groups_rebuild": group_upsert("coalesce(n.first_seen, o.first_seen)"),

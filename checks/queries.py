@@ -193,8 +193,14 @@ def duplicate_groups_min_size(spark, sf):
     return dup.ordered_groups(groups)
 
 
+def _large(spark, sf):
+    """Files from the report's minimum size up, and their groups."""
+    files = hashed_inventory(spark, sf).filter(F.col("size") >= rep.MIN_DUPLICATE_SIZE)
+    return files, dup.groups_by_hash_and_size(files)
+
+
 def duplicate_group_ids(spark, sf):
-    nested = dup.nested_members(dup.duplicate_members(hashed_inventory(spark, sf), rep.MIN_DUPLICATE_SIZE))
+    nested = dup.nested_members(*_large(spark, sf))
     ids = F.array_join(F.array_sort("files.id").cast("array<string>"), ",")
     return nested.select("hash_value", "size", "file_count", "total_size", "page", ids.alias("ids"))
 
@@ -213,8 +219,8 @@ def duplicate_members_salted(spark, sf):
 
 
 def _nested(spark, sf, page_size):
-    members = dup.duplicate_members(hashed_inventory(spark, sf))
-    nested = dup.nested_members(members, by_size=False, page_size=page_size)
+    files = hashed_inventory(spark, sf)
+    nested = dup.nested_members(files, dup.duplicate_groups(files), page_size)
     return nested.select(
         "hash_value", "file_count", "total_size", "page", F.array_join("files.path", "; ").alias("paths")
     )
@@ -231,7 +237,15 @@ def duplicate_members_paged(spark, sf):
 
 def flagged_files(spark, sf):
     files = hashed_inventory(spark, sf)
-    return dup.mark_duplicates(files, dup.duplicate_groups(files)).select("id", "path", "is_duplicate")
+    marked = dup.mark_duplicates(files, dup.duplicate_groups(files), complete=True)
+    return marked.select("id", "path", "is_duplicate")
+
+
+def flagged_files_after(spark, sf):
+    """Flags of a rebuild from a given hash: the earlier groups stay unmarked here."""
+    files = hashed_inventory(spark, sf)
+    groups = dup.duplicate_groups(files, FROM_HASH)
+    return dup.mark_duplicates(files, groups).select("id", "path", "is_duplicate")
 
 
 def reset_flags(spark, sf):
@@ -258,7 +272,7 @@ def upsert_groups_rebuild(spark, sf):
 
 
 def run_progress(spark, sf):
-    return rebuild.progress(dup.duplicate_groups(hashed_inventory(spark, sf))).drop("first_seen")
+    return rebuild.progress(dup.duplicate_groups(hashed_inventory(spark, sf)))
 
 
 def run_batches(spark, sf):
@@ -392,8 +406,7 @@ def report_rows_html(spark, sf):
 
 
 def report_rows_sheet(spark, sf):
-    members = dup.duplicate_members(hashed_inventory(spark, sf), rep.MIN_DUPLICATE_SIZE)
-    return out.summary_duplicate_sheet(dup.nested_members(members))
+    return out.summary_duplicate_sheet(dup.nested_members(*_large(spark, sf)))
 
 
 def report_sheet_summary(spark, sf):
@@ -411,8 +424,7 @@ def report_json(spark, sf):
 
 
 def report_json_groups(spark, sf):
-    members = dup.duplicate_members(hashed_inventory(spark, sf), rep.MIN_DUPLICATE_SIZE)
-    docs = out.json_groups(dup.nested_members(members))
+    docs = out.json_groups(dup.nested_members(*_large(spark, sf)))
     return docs.withColumn("files", F.to_json("files"))
 
 

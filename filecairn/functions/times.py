@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted forms. A zone is optional after a space and required after "T".
-WITH_ZONE = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
-WITHOUT_ZONE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}([.,]\d+)?$"
+WITH_ZONE = r"^\d{4}-\d{2}-\d{2}[ T]\d{1,2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
+WITHOUT_ZONE = r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}:\d{2}([.,]\d+)?$"
 
 
 def parse_time(text: Column) -> Column:

@@ -104,7 +104,7 @@ def scan(
     groups = duplicate_groups(complete, now=now)
     merged = upsert_groups_scan(old["duplicate_groups"], groups, now) if old else groups.withColumn("last_updated", now)
     tables = {
-        "files": mark_duplicates(complete, groups),
+        "files": mark_duplicates(complete, groups, complete=True),
         "folders": with_rollups(folders, complete),
         "duplicate_groups": merged,
     }
@@ -135,7 +135,7 @@ def rebuild(
     note = f"snapshot={snapshot} reset={reset} from_hash={from_hash!r}"
     groups, run = rebuild_groups(tables["files"], work, run_id, from_hash, digits, now, note)
     files = reset_flags(tables["files"]) if reset else tables["files"]
-    tables["files"] = mark_duplicates(files, groups)
+    tables["files"] = mark_duplicates(files, groups, complete=not from_hash)
     tables["duplicate_groups"] = (
         groups.withColumn("last_updated", now)
         if reset
@@ -192,10 +192,10 @@ def report_summary(
     top = largest_files(files, top_n, nonempty=True)
     figures = summary(files)
     groups = groups_by_hash_and_size(files, min_size)
-    members = duplicate_members(files, min_size)
+    large_files = files.filter(F.col("size") >= min_size)
     if report_format in ("console", "html"):
         numbered = numbered_groups(groups)
-        placed = members_of_groups(files, numbered)
+        placed = members_of_groups(large_files, numbered, complete=True)
         if report_format == "console":
             write_lines(summary_console(figures, top, numbered, placed, now), output)
         else:
@@ -207,12 +207,12 @@ def report_summary(
             head = json_summary(figures)
             json_top_files(top).write.json(f"{output}/top_files")
         head.withColumn("generatedAt", now).write.json(f"{output}/report")
-        nested = json_groups(nested_members(members))
+        nested = json_groups(nested_members(large_files, groups))
         nested.orderBy(F.desc("size"), "hash", "page").write.json(f"{output}/duplicates")
     elif report_format == "sheet":
         _sheet(summary_sheet(figures, now).orderBy("position").drop("position"), f"{output}/Summary")
         _sheet(summary_top_sheet(top).orderBy(F.desc("Size"), "Path"), f"{output}/Top_Largest_Files")
-        duplicates = summary_duplicate_sheet(nested_members(members))
+        duplicates = summary_duplicate_sheet(nested_members(large_files, groups))
         _sheet(duplicates.orderBy(F.desc("Size"), "Hash", "Page"), f"{output}/Duplicate_Files")
     else:
         raise ValueError(f"unsupported report format {report_format!r}")
@@ -281,7 +281,7 @@ def _write_remaining(spark: SparkSession, tables: dict[str, DataFrame], output:
     kept = written(reset_flags(tables["files"]), "kept")
     groups = duplicate_groups(kept, now=now)
     known = tables["duplicate_groups"].join(groups.select("hash_value"), "hash_value", "left_semi")
-    tables["files"] = mark_duplicates(kept, groups)
+    tables["files"] = mark_duplicates(kept, groups, complete=True)
     tables["folders"] = with_rollups(tables["folders"], kept)
     tables["duplicate_groups"] = upsert_groups_scan(known, groups, now)
     write_snapshot(spark, tables, output)

@@ -37,7 +37,7 @@ def candidate_files(
 ) -> DataFrame:
     """Open files whose size is shared; a size held by very many files is salted."""
     sizes = candidate_sizes(files, include_hashed)
-    return salted_join(open_files(files), sizes, "size", "left_semi", F.col("path"), rows_per_salt)
+    return salted_join(open_files(files), sizes, "size", "left_semi", F.col("path"), sizes, rows_per_salt)
 
 
 def candidate_count(files: DataFrame, include_hashed: bool = False) -> DataFrame:
@@ -70,7 +70,7 @@ def hash_candidates(
     else:
         narrow = written(rows.select("id", "path", "size", hashed, no_error), "hashed")
         sizes = shared_sizes(narrow)
-    kept = salted_join(narrow, sizes, "size", "left_semi", F.col("path"))
+    kept = salted_join(narrow, sizes, "size", "left_semi", F.col("path"), sizes)
     return kept.select("id", "path", "size", "hash_value", "hash_error")
 
 
@@ -97,8 +97,9 @@ def with_content_hashes(files: DataFrame) -> DataFrame:
     digest = F.when(can_hash, content_hash(F.col("content"), F.col("size")))
     kept = [c for c in files.columns if c != "content"]
     narrow = written(files.withColumn("_hash", digest).drop("content"), "listed")
-    joined = salted_join(narrow, candidate_sizes(narrow), "size", "left", F.col("path"))
-    found = F.when(F.col("file_count").isNotNull(), F.col("_hash"))
+    shared = candidate_sizes(narrow).select("size", F.lit(True).alias("_shared"))
+    joined = salted_join(narrow, shared, "size", "left", F.col("path"))
+    found = F.when(F.col("_shared"), F.col("_hash"))
     return joined.withColumn("hash_value", F.coalesce("hash_value", found)).select(*kept)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filecairn.functions.times import first_seen_or
 from filecairn.plans.ordering import positions
-from filecairn.plans.skew import ROWS_PER_SALT, salted_join
+from filecairn.plans.skew import ROWS_PER_SALT, key_counts, salted_join
 
 PAGE_SIZE = 1000
 MEMBER = ["id", "path", "filename", "size", "mtime", "tag", "top_folder"]
@@ -67,18 +67,20 @@ def group_key(by_size: bool) -> Column:
 
 
 def members_of_groups(
-    files: DataFrame, groups: DataFrame, rows_per_salt: int = ROWS_PER_SALT
+    files: DataFrame, groups: DataFrame, complete: bool = False, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
     """One row per file of the given groups, with every group column.
 
-    Groups are by hash, or by hash and size if they have a size. A group of very many
-    files is salted.
+    Groups are by hash, or by hash and size if they have a size. A hash of very many
+    files is salted; ``complete`` says that the groups are all there are of these
+    files, so that their counts already tell which ones to salt.
     """
     by_size = "size" in groups.columns
     rows = hashed_files(files).withColumn("_key", group_key(by_size))
     shared = ["hash_value", "size"] if by_size else ["hash_value"]
     keyed = groups.withColumn("_key", group_key(by_size)).drop(*shared)
-    return salted_join(rows, keyed, "_key", "inner", F.col("path"), rows_per_salt).drop("_key")
+    counts = keyed if complete else None
+    return salted_join(rows, keyed, "_key", "inner", F.col("path"), counts, rows_per_salt).drop("_key")
 
 
 def duplicate_members(
@@ -91,7 +93,7 @@ def duplicate_members(
     else:
         groups = groups_by_hash_and_size(files, min_size)
         files = files.filter(F.col("size") >= min_size)
-    return members_of_groups(files, groups, rows_per_salt)
+    return members_of_groups(files, groups, True, rows_per_salt)
 
 
 def ordered_members(members: DataFrame) -> DataFrame:
@@ -104,30 +106,31 @@ def ordered_groups(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("size"), "hash_value")
 
 
-def nested_members(
-    members: DataFrame, by_size: bool = True, page_size: int = PAGE_SIZE
-) -> DataFrame:
+def nested_members(files: DataFrame, groups: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Group rows with their files nested in path order.
 
     An array holds at most ``page_size`` files. A larger group continues on further
     rows, ``page`` 1, 2, ... in path order, so no task ever holds a whole large group.
     """
-    group = ["hash_value", "size"] if by_size else ["hash_value"]
+    by_size = "size" in groups.columns
+    key = ["hash_value", "size"] if by_size else ["hash_value"]
+    groups = groups.select(*key, "file_count")
     file = F.struct("path", *[c for c in MEMBER if c != "path"])
 
     def nest(rows: DataFrame, total: Column) -> DataFrame:
-        return rows.groupBy(*group, "page").agg(
+        return rows.groupBy(*key, "page").agg(
             F.first("file_count").alias("file_count"),
             total.alias("total_size"),
             F.sort_array(F.collect_list(file)).alias("files"),
         )
 
-    whole = members.filter(F.col("file_count") <= page_size)
+    whole = members_of_groups(files, groups.filter(F.col("file_count") <= page_size))
     small = nest(whole.withColumn("page", F.lit(1).cast("long")), F.sum("size"))
-    large = members.filter(F.col("file_count") > page_size)
+    large = groups.filter(F.col("file_count") > page_size)
     if large.isEmpty():
         return small
-    placed = positions(large, [F.col(c) for c in (*group, "path")], "_position").withColumn(
+    members = members_of_groups(files, large).drop("file_count")
+    placed = positions(members, [F.col(c) for c in (*key, "path")], "_position").withColumn(
         "_key", group_key(by_size)
     )
     starts = placed.groupBy("_key").agg(
@@ -135,18 +138,22 @@ def nested_members(
         F.count("*").alias("file_count"),
         F.sum("size").alias("_total"),
     )
-    rows = placed.drop("file_count", "total_size")
-    paged = salted_join(rows, starts, "_key", "inner", F.col("path"))
+    paged = salted_join(placed, starts, "_key", "inner", F.col("path"), starts)
     page = F.floor((F.col("_position") - F.col("_start")) / page_size) + 1
     return small.unionByName(nest(paged.withColumn("page", page.cast("long")), F.first("_total")))
 
 
 def mark_duplicates(
-    files: DataFrame, groups: DataFrame, rows_per_salt: int = ROWS_PER_SALT
+    files: DataFrame, groups: DataFrame, complete: bool = False, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
-    """Set the flag of every file in a group; a set flag is never cleared."""
-    keyed = groups.select("hash_value", "file_count", F.lit(True).alias("_member"))
-    joined = salted_join(files, keyed, "hash_value", "left", F.col("path"), rows_per_salt)
+    """Set the flag of every file in a group; a set flag is never cleared.
+
+    ``complete`` says that the groups are all there are of these files.
+    """
+    keyed = groups.select("hash_value", "file_count")
+    counts = keyed if complete else key_counts(hashed_files(files), "hash_value")
+    member = keyed.select("hash_value", F.lit(True).alias("_member"))
+    joined = salted_join(files, member, "hash_value", "left", F.col("path"), counts, rows_per_salt)
     flag = F.coalesce("is_duplicate", F.lit(False)) | F.coalesce("_member", F.lit(False))
     return joined.withColumn("is_duplicate", flag).select(*files.columns)
 

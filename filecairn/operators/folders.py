@@ -83,7 +83,9 @@ def files_with_folder(
         F.col("path").alias("dir_path"), F.col("id").alias("folder_row_id"), F.col("name").alias("folder_name")
     )
     keyed = counts.join(known, "dir_path")
-    return salted_join(files, keyed, "dir_path", "inner", F.col("path"), rows_per_salt)
+    return salted_join(
+        files, keyed, "dir_path", "inner", F.col("path"), counts, rows_per_salt
+    )
 
 
 def files_without_folder(files: DataFrame, folders: DataFrame) -> DataFrame:

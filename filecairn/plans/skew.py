@@ -13,24 +13,36 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def key_counts(rows: DataFrame, key: str) -> DataFrame:
+    """Rows per key, as ``file_count``."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("file_count"))
+
+
 def salted_join(
     rows: DataFrame,
     keyed: DataFrame,
     key: str,
     how: str,
     spread_by: Column,
+    counts: DataFrame | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Join ``rows`` to ``keyed`` (unique ``key``, with ``file_count`` rows per key).
+    """Join ``rows`` to ``keyed``, whose ``key`` is unique.
 
     A key with more than ``rows_per_salt`` rows is spread over that many salts and
-    its single ``keyed`` row repeated once per salt, so no task sees a whole hot key.
-    The broadcast side lists only such hot keys: there are at most
-    ``count(rows) / rows_per_salt`` of them. Rows without a key never match and are
-    spread over all tasks.
+    its single ``keyed`` row repeated once per salt, so no task sees a whole hot key,
+    whether it has a partner or not. ``counts`` tells the rows per key if the caller
+    has them; it must list every hot key. The broadcast holds hot keys only: there are
+    at most ``count(rows) / rows_per_salt`` of them. Rows without a key never match
+    and are spread over all tasks.
     """
-    salts = F.ceil(F.col("file_count") / F.lit(rows_per_salt))
-    hot = keyed.filter(F.col("file_count") > rows_per_salt).select(key, salts.alias("_salts"))
+    if counts is None:
+        counts = key_counts(rows, key)
+    hot = F.broadcast(
+        counts.filter(F.col("file_count") > rows_per_salt).select(
+            key, F.ceil(F.col("file_count") / F.lit(rows_per_salt)).alias("_salts")
+        )
+    )
     spread = F.xxhash64(spread_by)
     salt = (
         F.when(F.col(key).isNull(), spread)
@@ -38,6 +50,7 @@ def salted_join(
         .otherwise(F.lit(0))
         .cast("long")
     )
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")
-    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    right = keyed.join(hot, key, "left").withColumn("_salt", each).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -36,7 +36,7 @@ def latest_runs(events: DataFrame) -> DataFrame:
 def progress(groups: DataFrame, prefix: int = 3) -> DataFrame:
     """Cumulative groups, files and bytes at each group in hash order."""
     return running_totals(
-        groups,
+        groups.select("hash_value", "file_count", "total_size"),
         "hash_value",
         {
             "processed_groups": F.lit(1).cast("long"),

@@ -76,6 +76,8 @@ def test_parse_time(spark):
         "2024-01-02 03:04:05Z": day + 11045000000,
         " 2024-01-02 03:04:05 ": day + 11045000000,
         "2024-01-02 03:04:05.25": day + 11045250000,
+        "2024-01-02 3:04:05": day + 11045000000,
+        "2024-01-02 03:04:05,25": day + 11045250000,
         "2024-01-02T03:04:05": None,
         "2024-01-02": None,
         "2024-13-02 03:04:05": None,

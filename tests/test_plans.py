@@ -116,17 +116,23 @@ def test_salting_keeps_results(spark, skewed):
     for run in (
         lambda n: cand.candidate_files(open_files, rows_per_salt=n).select("id"),
         lambda n: dup.duplicate_members(skewed, rows_per_salt=n).select("id", "hash_value", "file_count"),
-        lambda n: dup.mark_duplicates(skewed, groups, rows_per_salt=n).select("id", "is_duplicate"),
+        lambda n: dup.mark_duplicates(skewed, groups, True, n).select("id", "is_duplicate"),
+        lambda n: dup.mark_duplicates(skewed, groups.filter("hash_value > 'a'"), False, n).select("id", "is_duplicate"),
+        lambda n: dup.members_of_groups(skewed, groups.filter("file_count < 50"), False, n).select("id", "file_count"),
     ):
         assert sorted_rows(run(10)) == sorted_rows(run(1_000_000))
 
 
-def test_hot_key_is_spread(spark, skewed):
+@pytest.mark.parametrize("condition", ["true", "hash_value <> 'aaaa'"])
+def test_hot_key_is_spread(spark, skewed, condition):
+    """Also a hot key without a partner."""
     keyed = dup.duplicate_groups(skewed).select("hash_value", "file_count")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = skew.salted_join(skewed, keyed, "hash_value", "left", F.col("path"), 50)
+        joined = skew.salted_join(
+            skewed, keyed.filter(condition), "hash_value", "left", F.col("path"), rows_per_salt=50
+        )
         largest = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -142,7 +148,7 @@ def test_files_with_folder(spark, hashed):
     plain = files_with_folder(hashed, folders).select("path", "folder_name", "file_count")
     assert plain.count() == 377
     assert sorted_rows(plain) == sorted_rows(
-        files_with_folder(hashed, folders, 2).select("path", "folder_name", "file_count")
+        files_with_folder(hashed, folders, rows_per_salt=2).select("path", "folder_name", "file_count")
     )
 
 
@@ -167,7 +173,7 @@ def test_large_limits_avoid_one_task(spark, skewed, monkeypatch):
 
 @pytest.mark.parametrize("page_size", [1, 7, 100, 5000])
 def test_nested_pages_are_whole_and_ordered(spark, skewed, page_size):
-    nested = dup.nested_members(dup.duplicate_members(skewed), by_size=False, page_size=page_size)
+    nested = dup.nested_members(skewed, dup.duplicate_groups(skewed), page_size)
     pages = nested.select("hash_value", "page", "file_count", "files.path").collect()
     assert max(len(p["path"]) for p in pages) <= page_size
     found = {}
