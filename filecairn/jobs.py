@@ -101,7 +101,7 @@ def scan(
         include_hashed = old is not None
     hashes = written(hash_mounted(written(candidate_files(listed, include_hashed), "candidates")), "hashes")
     complete = written(write_back(listed, hashes), "hashed")
-    groups = duplicate_groups(complete, now=now)
+    groups = written(duplicate_groups(complete, now=now), "groups")
     merged = upsert_groups_scan(old["duplicate_groups"], groups, now) if old else groups.withColumn("last_updated", now)
     tables = {
         "files": mark_duplicates(complete, groups, complete=True),
@@ -279,7 +279,7 @@ def _write_remaining(spark: SparkSession, tables: dict[str, DataFrame], output:
     """Snapshot after a deletion: flags, groups and rollups follow the remaining files."""
     _, now = _stamp(at)
     kept = written(reset_flags(tables["files"]), "kept")
-    groups = duplicate_groups(kept, now=now)
+    groups = written(duplicate_groups(kept, now=now), "groups")
     known = tables["duplicate_groups"].join(groups.select("hash_value"), "hash_value", "left_semi")
     tables["files"] = mark_duplicates(kept, groups, complete=True)
     tables["folders"] = with_rollups(tables["folders"], kept)

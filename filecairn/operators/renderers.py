@@ -24,17 +24,25 @@ from filecairn.plans.ordering import positions
 LINE_ORDER = ["section", "place", "hash_value", "part", "size_rank", "path"]
 
 
-def _line(df: DataFrame, section: int, part: int, line: Column, **keys: Column) -> DataFrame:
-    """Line frame with absent sort columns neutral."""
+def _lines(df: DataFrame, section: int, parts: dict[int, Column], **keys: Column) -> DataFrame:
+    """Line frame with one line per part for each row; absent sort columns are neutral.
+
+    All parts come from one pass over the rows.
+    """
     neutral = {
         "place": F.lit(0).cast("long"),
         "hash_value": F.lit(""),
         "size_rank": F.lit(0).cast("long"),
         "path": F.lit(""),
     }
-    keyed = {**neutral, **keys}
-    columns = {"section": F.lit(section), "part": F.lit(part), **keyed}
-    return df.select(*[columns[c].alias(c) for c in LINE_ORDER], line.alias("line"))
+    keyed = {"section": F.lit(section), **neutral, **keys}
+    texts = F.array(*[F.struct(F.lit(n).alias("part"), text.alias("line")) for n, text in parts.items()])
+    rows = df.select(*[c.alias(n) for n, c in keyed.items()], F.inline(texts))
+    return rows.select(*LINE_ORDER, "line")
+
+
+def _line(df: DataFrame, section: int, part: int, line: Column, **keys: Column) -> DataFrame:
+    return _lines(df, section, {part: line}, **keys)
 
 
 def _text(df: DataFrame, section: int, part: int, text: str) -> DataFrame:
@@ -167,22 +175,23 @@ def summary_console(
     """
     counted = lambda label, c: F.format_string(f"  {label:<16} %d", c)
     spaced = lambda label, c: F.format_string(f"  {label:<16} %s", format_bytes(F.col(c)))
-    figures = [
-        counted("Total Files:", "total_files"),
-        spaced("Total Size:", "total_size"),
-        counted("Unique Files:", "unique_files"),
-        counted("Duplicate Files:", "duplicate_files_ref"),
-        spaced("Wasted Space:", "wasted_space"),
-    ]
-    number = F.col("number")
+    figures = {
+        0: F.lit("SUMMARY:"),
+        1: counted("Total Files:", "total_files"),
+        2: spaced("Total Size:", "total_size"),
+        3: counted("Unique Files:", "unique_files"),
+        4: counted("Duplicate Files:", "duplicate_files_ref"),
+        5: spaced("Wasted Space:", "wasted_space"),
+    }
+    place = dict(place=F.col("number"), hash_value=F.col("hash_value"))
     dated = []
     if generated_at is not None:
-        dated = [_line(summary, 0, 1, F.concat(F.lit("Generated: "), time_text(generated_at)))]
+        one = summary.sparkSession.range(1)
+        dated = [_line(one, 0, 1, F.concat(F.lit("Generated: "), time_text(generated_at)))]
     return _stack([
         _text(summary, 0, 0, "=== FILESYSTEM ANALYSIS REPORT ==="),
         *dated,
-        _text(summary, 1, 0, "SUMMARY:"),
-        *[_line(summary, 1, i, figure) for i, figure in enumerate(figures, start=1)],
+        _lines(summary, 1, figures),
         _line(top.agg(F.count("*").alias("n")), 2, 0, F.format_string("TOP %d LARGEST FILES:", "n")),
         _line(
             top, 2, 1,
@@ -195,22 +204,21 @@ def summary_console(
             groups.agg(F.count("*").alias("n")), 3, 0,
             F.format_string("DUPLICATE FILES (%d groups):", "n"),
         ),
-        _line(
-            groups, 4, 0, F.format_string("%2d. Hash: %s", number, hash_prefix(F.col("hash_value"))),
-            place=number, hash_value=F.col("hash_value"),
-        ),
-        _line(
-            groups, 4, 1,
-            F.format_string(
-                "    Size: %s, Count: %d, Total: %s",
-                format_bytes(F.col("size")), F.col("file_count"), format_bytes(F.col("total_size")),
-            ),
-            place=number, hash_value=F.col("hash_value"),
+        _lines(
+            groups, 4,
+            {
+                0: F.format_string("%2d. Hash: %s", F.col("number"), hash_prefix(F.col("hash_value"))),
+                1: F.format_string(
+                    "    Size: %s, Count: %d, Total: %s",
+                    format_bytes(F.col("size")), F.col("file_count"), format_bytes(F.col("total_size")),
+                ),
+                2: F.lit("    Files:"),
+            },
+            **place,
         ),
-        _line(groups, 4, 2, F.lit("    Files:"), place=number, hash_value=F.col("hash_value")),
         _line(
             members, 4, 3, F.concat(F.lit("      - "), truncate(F.col("path"), 46)),
-            place=number, hash_value=F.col("hash_value"), path=F.col("path"),
+            **place, path=F.col("path"),
         ),
     ])
 
@@ -292,21 +300,23 @@ def summary_html(summary: DataFrame, top: DataFrame, groups: DataFrame, members:
         _text(summary, 3, 0, "<h2>Top Largest Files</h2>" + _table_start(SUMMARY_HEADINGS)),
         _line(top, 4, 0, _row(text("path"), format_bytes(F.col("size")), when), place=F.col("rank")),
         _text(summary, 5, 0, "</table><h2>Duplicate Files</h2>"),
-        _line(
-            groups, 6, 0,
-            F.concat(
-                F.format_string(
-                    "<h3>Hash: %s (%d files, %s total)</h3>",
-                    text("hash_value"), F.col("file_count"), format_bytes(F.col("total_size")),
+        _lines(
+            groups, 6,
+            {
+                0: F.concat(
+                    F.format_string(
+                        "<h3>Hash: %s (%d files, %s total)</h3>",
+                        text("hash_value"), F.col("file_count"), format_bytes(F.col("total_size")),
+                    ),
+                    F.lit(_table_start(SUMMARY_HEADINGS)),
                 ),
-                F.lit(_table_start(SUMMARY_HEADINGS)),
-            ),
+                2: F.lit("</table>"),
+            },
             **place,
         ),
         _line(
             members, 6, 1, _row(text("path"), format_bytes(F.col("size")), when), **place, path=F.col("path")
         ),
-        _line(groups, 6, 2, F.lit("</table>"), **place),
         _text(summary, 7, 0, "</body></html>"),
     ])
 
@@ -347,8 +357,7 @@ def json_head(summary: DataFrame, top: DataFrame) -> DataFrame:
     """One document: summary, metrics and the top files in rank order."""
     ranked = F.sort_array(F.collect_list(F.struct("rank", _json_file().alias("file"))))
     files = top.agg(F.transform(ranked, lambda r: r["file"]).alias("topFiles"))
-    # Both sides are single rows.
-    return json_summary(summary).join(F.broadcast(files)).select("topFiles", "summary", "metrics")
+    return json_summary(summary).select(files.scalar().alias("topFiles"), "summary", "metrics")
 
 
 def json_groups(nested: DataFrame) -> DataFrame:

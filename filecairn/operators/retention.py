@@ -58,10 +58,11 @@ def deletion_filter(
 
 def scope_counts(files: DataFrame, folders: DataFrame, scope: str, match: str = "literal") -> DataFrame:
     """Dry run by path: folders and files that would go."""
-    n_files = files.filter(in_scope(scope, match)).agg(F.count("*").alias("files"))
-    n_folders = folders.filter(in_scope(scope, match)).agg(F.count("*").alias("folders"))
-    # Both sides are single rows.
-    return n_folders.join(F.broadcast(n_files))
+    hit = in_scope(scope, match)
+    return deletion_list(files.filter(hit), folders.filter(hit)).agg(
+        F.count_if(F.col("type") == "folder").alias("folders"),
+        F.count_if(F.col("type") == "file").alias("files"),
+    )
 
 
 def remaining_after_scope(
