@@ -258,6 +258,10 @@ BROWSES = [
         "by_total_size": "total_size DESC",
         "by_file_count": "file_count DESC",
     }),
+    *browse("runs", "latest", "CAST(id AS VARCHAR)", {
+        "by_status": "status",
+        "by_started_at": "started_at DESC",
+    }),
 ]
 
 MARKUP = "('<a href=\"' || path || '\">&''+</a>')"
@@ -362,6 +366,15 @@ cells AS (
   SELECT id, r, count(*) AS files, CAST(sum(size) AS BIGINT) AS size, max(hash_value) AS last_hash_value,
          row_number() OVER (PARTITION BY id ORDER BY r DESC) AS back
   FROM runs GROUP BY id, r
+),
+latest AS (
+  SELECT CAST(id AS BIGINT) AS id, TIMESTAMP '2024-06-01 00:00:00' AS started_at,
+         TIMESTAMP '2024-06-01 01:00:00' AS finished_at, 'done' AS status,
+         CAST(sum(files) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS size, max(last_hash_value) AS last_hash_value
+  FROM cells WHERE id <> 2 GROUP BY id
+  UNION ALL
+  SELECT CAST(id AS BIGINT), TIMESTAMP '2024-06-01 00:00:00', NULL, 'running', files, size, last_hash_value
+  FROM cells WHERE id = 2 AND back = 1
 )"""
 
 CANDIDATES = "SELECT id, path, size FROM hashed WHERE hash_value IS NOT NULL"
@@ -437,14 +450,7 @@ FROM {LARGE_MEMBERS} GROUP BY ALL"""),
 SELECT (processed_groups - 1) // 20 + 1 AS batch, max(processed_groups) AS processed_groups,
        max(processed_files) AS processed_files, max(processed_size) AS processed_size, max(hash_value) AS last_hash_value
 FROM progress GROUP BY batch"""),
-    "run_ledger_latest": with_(HASHED + "," + LEDGER, """
-SELECT CAST(id AS BIGINT) AS id, TIMESTAMP '2024-06-01 00:00:00' AS started_at,
-       TIMESTAMP '2024-06-01 01:00:00' AS finished_at, 'done' AS status,
-       CAST(sum(files) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS size, max(last_hash_value) AS last_hash_value
-FROM cells WHERE id <> 2 GROUP BY id
-UNION ALL
-SELECT CAST(id AS BIGINT), TIMESTAMP '2024-06-01 00:00:00', NULL, 'running', files, size, last_hash_value
-FROM cells WHERE id = 2 AND back = 1"""),
+    "run_ledger_latest": with_(HASHED + "," + LEDGER, "SELECT * FROM latest"),
     "upsert_files": with_(HASHED + "," + SECOND, """
 SELECT coalesce(o.id, n.id) AS id, coalesce(o.path, n.path) AS path, coalesce(o.dir_path, n.dir_path) AS dir_path,
        coalesce(o.filename, n.filename) AS filename, coalesce(o.file_ext, n.file_ext) AS file_ext,
@@ -507,7 +513,7 @@ SELECT g.hash_value AS hash, g.size, g.file_count AS count,
                                      loaithumuc := h.tag, thumuc := h.top_folder) ORDER BY h.path)) AS VARCHAR) AS files,
        g.total_size AS "totalSize", CAST(1 AS BIGINT) AS page
 FROM {LARGE_MEMBERS} GROUP BY g.hash_value, g.size, g.file_count, g.total_size"""),
-    "browse_orders": with_(HASHED_FOLDERS + "," + ROLLED, " UNION ALL ".join(BROWSES)),
+    "browse_orders": with_(HASHED_FOLDERS + "," + ROLLED + "," + LEDGER, " UNION ALL ".join(BROWSES)),
     "scope_files": with_(FILES, f"SELECT id, path FROM files WHERE {IN_SCOPE}"),
     "scope_files_like": with_(FILES, "SELECT id, path FROM files WHERE path ILIKE '/SHARE/corpus/doc_ments/%'"),
     "scope_folders": with_(FOLDERS, f"SELECT id, path FROM folders WHERE {IN_SCOPE}"),

@@ -429,7 +429,7 @@ def report_json_groups(spark, sf):
 
 
 def browse_orders(spark, sf):
-    """Top rows of every browse order of files, folders and groups."""
+    """Top rows of every browse order of files, folders, groups and runs."""
     files = plain_files(spark, sf)
     folders = fold.with_rollups(folder_table(spark, sf), files)
     groups = dup.duplicate_groups(hashed_inventory(spark, sf))
@@ -437,10 +437,11 @@ def browse_orders(spark, sf):
         (files, rep.FILE_ORDERS, "files", "path"),
         (folders, rep.FOLDER_ORDERS, "folders", "path"),
         (groups, rep.GROUP_ORDERS, "groups", "hash_value"),
+        (run_ledger_latest(spark, sf), rep.RUN_ORDERS, "runs", "id"),
     ]
     pages = [
         rep.browse(df, orders, name, key).select(
-            F.lit(shelf).alias("shelf"), F.lit(name).alias("browse"), "rank", F.col(key).alias("entry")
+            F.lit(shelf).alias("shelf"), F.lit(name).alias("browse"), "rank", F.col(key).cast("string").alias("entry")
         )
         for df, orders, shelf, key in shelves
         for name in orders

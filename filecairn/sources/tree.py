@@ -65,12 +65,12 @@ def _lister(exclude: frozenset[str], budget: int):
                 with os.scandir(folder) as listing:
                     for item in listing:
                         seen += 1
-                        if item.is_dir(follow_symlinks=False) and item.name in exclude:
-                            continue
                         try:
                             info = item.stat(follow_symlinks=False)
                         except OSError:
                             continue
+                        if stat.S_ISDIR(info.st_mode) and item.name in exclude:
+                            continue
                         shown = (_text(item.path), info.st_size, info.st_mtime_ns // 1000, tag, root_no, None)
                         if stat.S_ISDIR(info.st_mode):
                             yield ("folder", *shown)

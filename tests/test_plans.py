@@ -91,6 +91,17 @@ def test_snapshot_views(spark, snapshot):
     assert spark.sql("select count(*) from duplicate_runs").first()[0] == 0
 
 
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from filecairn.plans.cut import shared_folder
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
+
+
 # Skew and ordering
 
 
