@@ -95,12 +95,13 @@ def scan(
     files, folders = crawl(spark, roots, exclude)
     old = read_snapshot(spark, previous) if previous else None
     if old:
-        files, folders = upsert_files(old["files"], files), upsert_folders(old["folders"], folders)
-    listed = written(files, "listed")
+        files = written(upsert_files(old["files"], files), "listed")
+        folders = upsert_folders(old["folders"], folders)
     if include_hashed is None:
         include_hashed = old is not None
-    hashes = written(hash_mounted(written(candidate_files(listed, include_hashed), "candidates")), "hashes")
-    complete = written(write_back(listed, hashes), "hashed")
+    candidates = candidate_files(files, include_hashed).select("id", "path", "size")
+    hashes = written(hash_mounted(written(candidates, "candidates")), "hashes")
+    complete = written(write_back(files, hashes), "hashed")
     groups = written(duplicate_groups(complete, now=now), "groups")
     merged = upsert_groups_scan(old["duplicate_groups"], groups, now) if old else groups.withColumn("last_updated", now)
     tables = {
@@ -266,9 +267,9 @@ def delete(
     counts = outcome_counts(outcomes)
     if not dry_run:
         if delete_disk:
-            tables["files"] = without(files, purged(outcomes))
+            tables["files"] = written(without(files, purged(outcomes)), "kept")
         elif limit:
-            tables["files"] = without(files, selection)
+            tables["files"] = written(without(files, selection), "kept")
         else:
             tables["files"] = remaining_after_filter(files, condition)
         _write_remaining(spark, tables, output, at)
@@ -278,7 +279,7 @@ def delete(
 def _write_remaining(spark: SparkSession, tables: dict[str, DataFrame], output: str, at: datetime | None) -> None:
     """Snapshot after a deletion: flags, groups and rollups follow the remaining files."""
     _, now = _stamp(at)
-    kept = written(reset_flags(tables["files"]), "kept")
+    kept = reset_flags(tables["files"])
     groups = written(duplicate_groups(kept, now=now), "groups")
     known = tables["duplicate_groups"].join(groups.select("hash_value"), "hash_value", "left_semi")
     tables["files"] = mark_duplicates(kept, groups, complete=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from filecairn.functions.paths import parent_dir, path_id
-from filecairn.plans.cut import work_path
+from filecairn.plans.cut import work_path, written
 from filecairn.sources.tables import DEFAULT_EXCLUDED, describe, regular_files
 
 ENTRY = StructType([
@@ -154,7 +154,7 @@ def crawl(
     """Files and folders of all ``(root, tag)`` pairs as inventory frames."""
     entries = crawl_entries(spark, roots, exclude, budget, tasks).filter("kind != 'error'")
     if _overlap(roots):
-        entries = once_per_path(entries)
+        entries = written(once_per_path(entries), "entries")
     tops = [os.path.abspath(path) for path, _ in roots]
     mtime = F.timestamp_micros("mtime_us").alias("mtime")
     files = describe(regular_files(entries).select("path", "size", mtime, "tag")).select(
