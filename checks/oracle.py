@@ -457,6 +457,11 @@ SELECT coalesce(o.id, n.id) AS id, coalesce(o.path, n.path) AS path, coalesce(o.
        coalesce(n.size, o.size) AS size, coalesce(n.mtime, o.mtime) AS mtime, o.hash_value, FALSE AS is_duplicate,
        coalesce(o.tag, n.tag) AS tag, coalesce(o.top_folder, n.top_folder) AS top_folder
 FROM hashed o FULL JOIN second n ON o.path = n.path"""),
+    "stale_hashes": with_(HASHED + "," + SECOND, """
+SELECT id, path, size,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM second s WHERE s.path = h.path AND (s.size <> h.size OR s.mtime <> h.mtime))
+            THEN hash_value END AS hash_value
+FROM hashed h"""),
     "upsert_folders": with_(FOLDERS + "," + SECOND + ", extra AS (" + folders_from("(SELECT * FROM second WHERE tag = 'extra')") + ")", """
 SELECT id, CASE WHEN tag <> 'pages' AND parent_path IS NOT NULL
                 THEN CAST('0x' || substr(md5(parent_path), 1, 15) AS BIGINT) END AS parent_id,

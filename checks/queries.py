@@ -311,6 +311,12 @@ def upsert_files(spark, sf):
     return ups.upsert_files(old, new).drop("folder_id")
 
 
+def stale_hashes(spark, sf):
+    """Hashes left before a merge: none for files the second scan shows changed."""
+    old = hashed_inventory(spark, sf)
+    return ups.without_stale_hashes(old, second_scan(spark, sf)).select("id", "path", "size", "hash_value")
+
+
 def upsert_folders(spark, sf):
     old = folder_table(spark, sf).drop("parent_path")
     moved = old.filter("tag = 'pages'").withColumn("mtime", F.expr("mtime + interval 1 day")).withColumn(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filecairn.functions.paths import clean_scope, normalize_extensions
@@ -57,7 +57,7 @@ from filecairn.operators.retention import (
     without,
     write_deletion_list,
 )
-from filecairn.operators.upserts import upsert_files, upsert_folders
+from filecairn.operators.upserts import upsert_files, upsert_folders, without_stale_hashes
 from filecairn.plans.cut import written
 from filecairn.plans.ordering import SMALL_LIMIT
 from filecairn.sources.content import hash_mounted
@@ -85,7 +85,8 @@ def scan(
     """Take a snapshot of the roots, hash candidates, mark duplicates.
 
     Returns the snapshot path and the hash metrics. With ``previous`` the scan is
-    merged into that snapshot, and files hashed earlier count as size partners. The
+    merged into that snapshot: files hashed earlier count as size partners, changed
+    files are hashed again, and files no longer found stay until deleted. The
     file table is range-sorted by ``cluster_by``: by path, scopes read only their part.
     """
     if not roots:
@@ -95,7 +96,8 @@ def scan(
     files, folders = crawl(spark, roots, exclude)
     old = read_snapshot(spark, previous) if previous else None
     if old:
-        files = written(upsert_files(old["files"], files), "listed")
+        known = without_stale_hashes(old["files"], files)
+        files = written(reset_flags(upsert_files(known, files)), "listed")
         folders = upsert_folders(old["folders"], folders)
     if include_hashed is None:
         include_hashed = old is not None
@@ -103,17 +105,23 @@ def scan(
     hashes = written(hash_mounted(written(candidates, "candidates")), "hashes")
     complete = written(write_back(files, hashes), "hashed")
     groups = written(duplicate_groups(complete, now=now), "groups")
-    merged = upsert_groups_scan(old["duplicate_groups"], groups, now) if old else groups.withColumn("last_updated", now)
     tables = {
         "files": mark_duplicates(complete, groups, complete=True),
         "folders": with_rollups(folders, complete),
-        "duplicate_groups": merged,
+        "duplicate_groups": groups.withColumn("last_updated", now),
     }
     if old:
+        tables["duplicate_groups"] = _refreshed(old["duplicate_groups"], groups, now)
         tables["duplicate_runs"] = old["duplicate_runs"]
     return write_snapshot(spark, tables, path, {"files": cluster_by}), hash_metrics(hashes)
 
 
+def _refreshed(old: DataFrame, groups: DataFrame, now: Column) -> DataFrame:
+    """Current groups; those known before keep their first_seen."""
+    known = old.join(groups.select("hash_value"), "hash_value", "left_semi")
+    return upsert_groups_scan(known, groups, now)
+
+
 def rebuild(
     spark: SparkSession,
     snapshot: str,
@@ -281,8 +289,7 @@ def _write_remaining(spark: SparkSession, tables: dict[str, DataFrame], output:
     _, now = _stamp(at)
     kept = reset_flags(tables["files"])
     groups = written(duplicate_groups(kept, now=now), "groups")
-    known = tables["duplicate_groups"].join(groups.select("hash_value"), "hash_value", "left_semi")
     tables["files"] = mark_duplicates(kept, groups, complete=True)
     tables["folders"] = with_rollups(tables["folders"], kept)
-    tables["duplicate_groups"] = upsert_groups_scan(known, groups, now)
+    tables["duplicate_groups"] = _refreshed(tables["duplicate_groups"], groups, now)
     write_snapshot(spark, tables, output)

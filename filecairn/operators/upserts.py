@@ -28,6 +28,18 @@ def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert_by_path(old, new, FILE_REFRESHED)
 
 
+def without_stale_hashes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Known files that ``new`` shows with another size or mtime lose their hash.
+
+    Applied to the old side before a merge, so that changed content is hashed again.
+    """
+    seen = new.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    changed = (F.col("size") != F.col("_size")) | (F.col("mtime") != F.col("_mtime"))
+    kept = F.when(~F.coalesce(changed, F.lit(False)), F.col("hash_value"))
+    joined = old.join(seen, "path", "left").withColumn("hash_value", kept)
+    return joined.select(*old.columns)
+
+
 def upsert_folders(old: DataFrame, new: DataFrame) -> DataFrame:
     """Known folders keep id, tag and rollups."""
     return upsert_by_path(old, new, FOLDER_REFRESHED)

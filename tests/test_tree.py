@@ -189,6 +189,19 @@ def test_jobs_end_to_end(spark, tree, tmp_path):
     assert left["folders"].columns[-4:] == ROLLUPS
 
 
+def test_changed_file_is_hashed_again(spark, tree, tmp_path):
+    first, _ = jobs.scan(spark, [(str(tree), "T")], str(tmp_path / "out"))
+    put(tree, "a/.dot", b"other-byte")
+    os.utime(tree / "a/.dot", (1, 1))
+    second, metrics = jobs.scan(spark, [(str(tree), "T")], str(tmp_path / "out2"), previous=first)
+    assert metrics.first()["processed"] == 1
+    tables = read_snapshot(spark, second)
+    assert names(tables["files"].filter("is_duplicate"), tree) == {"a/.dot", "_u/b/z"}
+    group = tables["duplicate_groups"].collect()
+    assert [g["hash_value"] for g in group] == [hashlib.md5(b"other-byte").hexdigest()]
+    assert tables["files"].count() == len(EXPECTED)
+
+
 def test_snapshot_is_never_overwritten(spark, tree, tmp_path):
     first, _ = jobs.scan(spark, [(str(tree), "T")], str(tmp_path / "out"))
     with pytest.raises(Exception, match="already exists"):
