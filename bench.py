@@ -70,6 +70,8 @@ def main() -> None:
     files = read_snapshot(spark, path)["files"]
     timed("folders", lambda: write_table(fold.folders_of(files, ROOT_DEPTH), path, "folders"))
     folders = read_snapshot(spark, path)["folders"]
+    timed("second_listing", lambda: with_folder_id(second_scan(spark, sf_dir)).write.parquet(f"{base}/second"))
+    second = spark.read.parquet(f"{base}/second")
     unhashed = files.withColumn("hash_value", F.lit(None).cast("string"))
 
     queries = {
@@ -84,7 +86,7 @@ def main() -> None:
         "console_report": lambda: out.basic_console(
             rep.largest_files(files), dup.duplicate_groups(files), dup.duplicate_members(files)),
         "rollups": lambda: fold.with_rollups(folders, files),
-        "upsert_files": lambda: ups.upsert_files(files, with_folder_id(second_scan(spark, sf_dir))),
+        "upsert_files": lambda: ups.upsert_files(files, second),
         "run_batches": lambda: rebuild.batch_progress(dup.duplicate_groups(files)),
         "scope_counts": lambda: ret.scope_counts(files, folders, "/share/corpus/documents/src1"),
         "scoped_delete": lambda: ret.remaining_after_scope(files, folders, "/share/corpus/documents/src1")[0],
