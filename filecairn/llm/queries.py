@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 from filecairn.llm.common import read
 
 
+def op1_bm25_packing(spark, sf_dir):
+    from filecairn.llm.bm25_packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op2_factorization(spark, sf_dir):
+    from filecairn.llm.factorization import score_quality
+
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark, sf_dir):
     from filecairn.llm.mixing import mix
 
@@ -40,5 +52,5 @@ def op9_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_fingerprints, op7_sharding, op9_licenses, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_factorization, op3_mixing, op6_fingerprints, op7_sharding, op9_licenses, op10_hyperminhash)}
 ORACLE: dict[str, str] = {}
