@@ -25,6 +25,18 @@ def op3_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_impact_search(spark, sf_dir):
+    from filecairn.llm.impact_search import top_by_inner_product
+
+    return top_by_inner_product(read(spark, sf_dir, "embeddings"))
+
+
+def op5_sanitize(spark, sf_dir):
+    from filecairn.llm.sanitize import find_personal_data
+
+    return find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark, sf_dir):
     from filecairn.llm.fingerprints import fingerprint_documents
 
@@ -40,6 +52,12 @@ def op7_sharding(spark, sf_dir):
     )
 
 
+def op8_gru_language(spark, sf_dir):
+    from filecairn.llm.gru_language import predict
+
+    return predict(read(spark, sf_dir, "documents"))
+
+
 def op10_hyperminhash(spark, sf_dir):
     from filecairn.llm.hyperminhash import near_duplicates
 
@@ -52,5 +70,26 @@ def op9_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_factorization, op3_mixing, op6_fingerprints, op7_sharding, op9_licenses, op10_hyperminhash)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_factorization, op3_mixing, op4_impact_search, op5_sanitize,
+    op6_fingerprints, op7_sharding, op8_gru_language, op9_licenses, op10_hyperminhash)}
+ORACLE: dict[str, str] = {
+    "op4_impact_search": """
+        with good as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, c.vec_id,
+                   cast(coalesce(list_sum(list_transform(
+                       range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) as bigint) as score
+            from good q join good c on q.vec_id <> c.vec_id
+            where q.vec_id % 50 = 0
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+               vec_id, score
+        from scored
+        qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+    """,
+}
