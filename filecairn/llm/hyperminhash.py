@@ -20,7 +20,7 @@ REGISTERS = 128
 ROWS = 4  # registers in a band: 32 bands miss a pair of similarity 0.75 with probability 5e-6
 MANTISSA = 11  # with 5 bits of leading zeros a register has 16 bits, and a band is one long
 BLOCK = 1024
-SLACK = 5.0  # standard deviations below the threshold at which an estimate drops a pair
+SLACK = 4.0  # standard deviations below the threshold at which an estimate drops a pair
 MAX_BROADCAST_NODES = 200_000
 
 _A = np.random.default_rng(20240607).integers(0, 1 << 32, (REGISTERS, 1), dtype=np.uint32) | np.uint32(1)
@@ -158,9 +158,7 @@ def _linked(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch["set_a"], batch["set_b"]):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                keep.append(_is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     return run
@@ -186,24 +184,45 @@ def _sizes_allow(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _block_pairs(percent: int, most: int):
-    """Within each sorted group of a block pair: for every node its ``most`` likeliest partners in other components."""
-    def pairs(group: pd.DataFrame, estimate: Estimator, least: float) -> pd.DataFrame:
+def _is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _block_links(percent: int):
+    """Within each sorted group of a block pair: links between components, confirmed on full sets, likeliest first.
+
+    A pair whose components a link of this block has joined already is passed over.
+    """
+    def links(group: pd.DataFrame, estimate: Estimator, least: float) -> pd.DataFrame:
         left, right = group[group["first"]], group[group["second"]]
         rb = np.stack(right["bands"].to_numpy()).astype("<i8").view("<u2")
-        nb, cb, ib = right["n"].to_numpy(), right["comp"].to_numpy(), right["node"].to_numpy()
+        nb, cb, ib, sb = (right[c].to_numpy() for c in ("n", "comp", "node", "set"))
+        band, parent = group["band"].iloc[0], {}
         found_a, found_b = [], []
-        for node, comp, n, bands in zip(left["node"], left["comp"], left["n"], left["bands"]):
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for node, comp, n, bands, own in zip(left["node"], left["comp"], left["n"], left["bands"], left["set"]):
             can = np.flatnonzero((cb != comp) & _sizes_allow(nb, np.int64(n), percent))
+            same = rb[can] == np.asarray(bands).astype("<i8").view("<u2")
+            # A pair that shares several bands is looked at in the first of them only.
+            first = same.reshape(len(can), REGISTERS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
+            can, same = can[first], same[first]
             if not len(can):
                 continue
-            equal = (rb[can] == np.asarray(bands).astype("<i8").view("<u2")).sum(axis=1)
-            j = estimate(equal, nb[can], np.full(len(can), n))
-            best = np.lexsort((ib[can], -j))
-            best = best[j[best] >= least][:most]
-            for other in ib[can[best]]:
-                found_a.append(min(node, other))
-                found_b.append(max(node, other))
+            j = estimate(same.sum(axis=1), nb[can], np.full(len(can), n))
+            order = np.lexsort((ib[can], -j))
+            a = np.frombuffer(own, np.uint64)
+            for k in can[order[j[order] >= least]]:
+                x, y = root(int(comp)), root(int(cb[k]))
+                if x != y and _is_link(a, np.frombuffer(sb[k], np.uint64), percent):
+                    parent[max(x, y)] = min(x, y)
+                    found_a.append(min(node, ib[k]))
+                    found_b.append(max(node, ib[k]))
         return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,10 +234,10 @@ def _block_pairs(percent: int, most: int):
             change = (rest[["band", "key", "i", "j"]] != rest[["band", "key", "i", "j"]].shift()).any(axis=1)
             cuts = np.flatnonzero(change.to_numpy())
             for start, end in zip(cuts[:-1], cuts[1:]):
-                yield pairs(rest.iloc[start:end], estimate, least)
+                yield links(rest.iloc[start:end], estimate, least)
             rest = rest.iloc[cuts[-1] :]
         if rest is not None and len(rest):
-            yield pairs(rest, estimate, least)
+            yield links(rest, estimate, least)
 
     return run
 
@@ -247,10 +266,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_components(df: DataFrame, edges: DataFrame | None) -> DataFrame:
-    if edges is None:
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after more links; of the earlier links one edge per node, to its component, is enough."""
+    if links.isEmpty():
+        return labels
+    if labels is not None:
+        links = links.unionByName(labels.filter("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    return components(links)
+
+
+def _with_components(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
         return df.withColumn("comp", F.col("node"))
-    return df.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return df.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -262,11 +290,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets are one node, named by their least doc_id. Nodes that share a band are a bucket.
     First every bucket's pivot, the node that meets most others, is compared with the rest
-    of the bucket. Later rounds take the buckets that still hold several components
-    and compare across those: the likeliest partners of each node first, then all that
-    the estimate doesn't rule out. Pairs within a component need no link of their own, so the links are
+    of the bucket. Buckets that still hold several components are then compared across those,
+    block by block, in every pair that the estimate doesn't rule out. Pairs within a component need no link of their own, so the links are
     few even in a bucket of thousands of copies. Buckets over ``BLOCK`` nodes are compared block by block.
-    Estimates drop a pair only when it lies five standard deviations below the threshold.
+    Estimates drop a pair only when it lies four standard deviations below the threshold.
 
     Null and empty texts have no shingles, no links, and are kept. Rows that repeat an id
     share a component if their texts are linked; rows with a null id are named by the
@@ -287,12 +314,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Ids repeat only where the table repeats them; then the set's own hash names the node.
     unique = nodes.select("_id").groupBy("_id").count().filter("count > 1").isEmpty()
     nodes = nodes.withColumn("node", F.col("_id") if unique else F.col("_tie"))
-    links = _links(docs, nodes, sketched, percent, unique)
+    labels = _labels(docs, nodes, sketched, percent, unique)
     placed = nodes.select("h1", "h2", F.col("n").alias("n_shingles"), "node", "_id")
-    if links is None:
+    if labels is None:
         named = placed.withColumn("component_id", F.col("_id"))
     else:
-        joined = placed.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        joined = _with_components(placed, labels)
         if unique:
             named = joined.withColumn("component_id", F.col("comp"))
         else:
@@ -307,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, percent: int, unique: bool) -> DataFrame | None:
+def _labels(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, percent: int, unique: bool) -> DataFrame | None:
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(banded.join(sizes, ["band", "key"]), "members")
@@ -319,34 +346,26 @@ def _links(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, percent: int,
     ).distinct()
     info = written(nodes.join(meets, "node").select("node", "n", "bands"), "registers")
     side = lambda c: info.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"bands_{c}"))
-    tried = written(pairs, "pairs")
-    likely = written(tried.join(side("a"), "a").join(side("b"), "b").mapInPandas(_likely(percent), "a long, b long"), "likely")
+    pairs = written(pairs, "pairs")
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_likely(percent), "a long, b long"), "likely")
     if likely.isEmpty() and members.filter("size > 2").isEmpty():
         return None
     full = _full_sets(docs, sketched, nodes, meets, unique)
-    verified = _verified(likely, full, percent)
-    links = None if verified.isEmpty() else verified
-    for most in (4, 64, 1 << 30):
-        open_ = _with_components(members.filter("size > 2"), links)
-        several = open_.groupBy("band", "key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x != _y")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = open_.join(several.select("band", "key"), ["band", "key"]).join(info, "node")
-        rows = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).select(
-            "band", "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
-            "node", "comp", "n", "bands", "_own",
-        )
-        rows = rows.withColumn("first", F.col("_own") == F.col("i")).withColumn("second", F.col("_own") == F.col("j")).drop("_own")
-        grouped = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-        found = grouped.mapInPandas(_block_pairs(percent, most), "a long, b long").distinct()
-        fresh = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        tried = tried.unionByName(fresh)
-        more = _verified(fresh, full, percent)
-        if not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
-    return links
+    labels = _merged(None, _verified(likely, full, percent))
+    open_ = _with_components(members.filter("size > 2"), labels)
+    several = open_.groupBy("band", "key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x != _y")
+    rows = open_.join(several.select("band", "key"), ["band", "key"])
+    rows = rows.withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    # A large bucket is split into blocks; every pair of blocks meets once.
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).select(
+        "band", "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "comp", "_own"
+    )
+    rows = rows.withColumn("first", F.col("_own") == F.col("i")).withColumn("second", F.col("_own") == F.col("j")).drop("_own")
+    rows = rows.join(info, "node").join(full, "node")
+    grouped = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    more = written(grouped.mapInPandas(_block_links(percent), "a long, b long").distinct(), "links")
+    return _merged(labels, more)
 
 
 def _full_sets(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, meets: DataFrame, unique: bool) -> DataFrame:
