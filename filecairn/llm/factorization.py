@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, epo
     rows = rows.orderBy(F.xxhash64("ids", "x"), "quality").limit(most).toPandas()
     if not len(rows):
         return None
-    found = [(np.asarray(i), np.asarray(x, float), np.asarray(s)) for i, x, s in zip(rows["ids"], rows["x"], rows["stats"])]
+    found = [(np.asarray(i, np.int64), np.asarray(x, float), np.asarray(s)) for i, x, s in zip(rows["ids"], rows["x"], rows["stats"])]
     machine = Machine(np.stack([f[2] for f in found]))
     machine.fit(found, rows["quality"].to_numpy(float), epochs)
     return machine
