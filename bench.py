@@ -25,7 +25,7 @@ from filecairn.operators import renderers as out
 from filecairn.operators import reports as rep
 from filecairn.operators import retention as ret
 from filecairn.operators import upserts as ups
-from filecairn.sources.snapshots import read_snapshot, write_table
+from filecairn.sources.snapshots import read_table, write_table
 from filecairn.streaming import rebuild
 
 
@@ -67,9 +67,9 @@ def main() -> None:
 
     timed("scan_and_hash", lambda: write_table(
         with_folder_id(cand.with_content_hashes(content)), path, "files"))
-    files = read_snapshot(spark, path)["files"]
+    files = read_table(spark, path, "files")
     timed("folders", lambda: write_table(fold.folders_of(files, ROOT_DEPTH), path, "folders"))
-    folders = read_snapshot(spark, path)["folders"]
+    folders = read_table(spark, path, "folders")
     timed("second_listing", lambda: with_folder_id(second_scan(spark, sf_dir)).write.parquet(f"{base}/second"))
     second = spark.read.parquet(f"{base}/second")
     unhashed = files.withColumn("hash_value", F.lit(None).cast("string"))

@@ -112,7 +112,8 @@ def bytes_text(size: str) -> str:
 
 
 def cut(value: str, limit: int) -> str:
-    return f"CASE WHEN strlen({value}) > {limit} THEN substr({value}, 1, {limit - 3}) || '...' ELSE {value} END"
+    longest = f"list_max(list_filter(range(0, {limit - 2}), lambda k: strlen(left({value}, k)) <= {limit - 3}))"
+    return f"CASE WHEN strlen({value}) > {limit} THEN left({value}, {longest}) || '...' ELSE {value} END"
 
 
 def escaped(value: str, quote: str = "&quot;", plus: bool = False) -> str:

@@ -38,10 +38,10 @@ def top_folder(path: Column, depth: int = 4) -> Column:
     return F.coalesce(F.try_element_at(parts, F.lit(depth + 1)), F.element_at(parts, -1))
 
 
-def ancestors(dir_path: Column, min_depth: int = 1) -> Column:
+def ancestors(dir_path: Column, min_depth: int = 1, root: bool = False) -> Column:
     """Every prefix of a directory path that has at least ``min_depth`` components.
 
-    A directory shallower than that yields only itself.
+    A directory shallower than that yields only itself. ``root`` adds ``/``.
     """
     parts = components(dir_path)
     depth = F.size(parts)
@@ -49,7 +49,8 @@ def ancestors(dir_path: Column, min_depth: int = 1) -> Column:
         F.sequence(F.lit(min_depth), F.greatest(depth, F.lit(min_depth))),
         lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")),
     )
-    return F.when(depth >= min_depth, prefixes).otherwise(F.array(dir_path))
+    found = F.when(depth >= min_depth, prefixes).otherwise(F.array(dir_path))
+    return F.array_union(F.array(F.lit("/")), found) if root else found
 
 
 def path_id(path: Column) -> Column:

@@ -44,8 +44,10 @@ def format_bytes(size: Column) -> Column:
 
 
 def truncate(text: Column, limit: int) -> Column:
-    """Text of more than ``limit`` bytes cut to fit with ``...``, whole characters only."""
-    cut = F.concat(F.substring(text, 1, limit - 3), F.lit("..."))
+    """Text of more than ``limit`` bytes cut to at most ``limit`` with ``...``, whole characters only."""
+    fits = lambda n: F.octet_length(F.substring(text, F.lit(1), n)) <= limit - 3
+    longest = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(limit - 3)), fits))
+    cut = F.concat(F.substring(text, F.lit(1), longest), F.lit("..."))
     return F.when(F.octet_length(text) > limit, cut).otherwise(text)
 
 

@@ -31,7 +31,6 @@ from filecairn.operators.renderers import (
     basic_html,
     basic_top_sheet,
     json_groups,
-    json_head,
     json_summary,
     json_top_files,
     numbered_groups,
@@ -58,8 +57,7 @@ from filecairn.operators.retention import (
     write_deletion_list,
 )
 from filecairn.operators.upserts import upsert_files, upsert_folders, without_stale_hashes
-from filecairn.plans.cut import written
-from filecairn.plans.ordering import SMALL_LIMIT
+from filecairn.plans.cut import exists, written
 from filecairn.sources.content import hash_mounted
 from filecairn.sources.snapshots import read_snapshot, snapshot_path, write_snapshot
 from filecairn.sources.tables import DEFAULT_EXCLUDED
@@ -127,7 +125,7 @@ def rebuild(
     snapshot: str,
     output: str,
     work: str,
-    run_id: int = 1,
+    run_id: int | None = None,
     reset: bool = True,
     from_hash: str = "",
     digits: int = 0,
@@ -135,12 +133,17 @@ def rebuild(
 ) -> str:
     """Rebuild groups and flags from stored hashes into a new snapshot.
 
-    ``work`` keeps the finished hash ranges and the run ledger for a restart.
+    ``work`` keeps the finished hash ranges and the run ledger for a restart. Every run has an id
+    of its own unless ``run_id`` names the one to go on with, which must be of the same input.
     """
     if reset and from_hash:
         raise ValueError("a rebuild from a given hash must keep the earlier groups: use reset=False")
     _, now = _stamp(at)
     tables = read_snapshot(spark, snapshot)
+    if run_id is None:
+        run_id = (tables["duplicate_runs"].agg(F.max("id")).first()[0] or 0) + 1
+        while exists(spark, f"{work.rstrip('/')}/run={run_id}"):
+            run_id += 1
     note = f"snapshot={snapshot} reset={reset} from_hash={from_hash!r}"
     groups, run = rebuild_groups(tables["files"], work, run_id, from_hash, digits, now, note)
     files = reset_flags(tables["files"]) if reset else tables["files"]
@@ -210,12 +213,9 @@ def report_summary(
         else:
             write_lines(summary_html(figures, top, numbered, placed), output)
     elif report_format == "json":
-        if top_n <= SMALL_LIMIT:
-            head = json_head(figures, top)
-        else:
-            head = json_summary(figures)
-            json_top_files(top).write.json(f"{output}/top_files")
-        head.withColumn("generatedAt", now).write.json(f"{output}/report")
+        # One layout at every size: the head, and a folder each for the files and the groups.
+        json_top_files(top).write.json(f"{output}/top_files")
+        json_summary(figures).withColumn("generatedAt", now).write.json(f"{output}/report")
         nested = json_groups(nested_members(large_files, groups))
         nested.orderBy(F.desc("size"), "hash", "page").write.json(f"{output}/duplicates")
     elif report_format == "sheet":
@@ -256,6 +256,8 @@ def delete(
     """
     scope = clean_scope(scope)
     exts = normalize_extensions(extensions)
+    if not dry_run and exists(spark, output):
+        raise FileExistsError(f"nothing was removed: {output} exists already")
     tables = read_snapshot(spark, snapshot)
     files, folders = tables["files"], tables["folders"]
     if not (size_zero or exts):

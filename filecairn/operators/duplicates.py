@@ -150,10 +150,12 @@ def mark_duplicates(
 
     ``complete`` says that the groups are all there are of these files.
     """
-    keyed = groups.select("hash_value", "file_count")
-    counts = keyed if complete else key_counts(hashed_files(files), "hash_value")
-    member = keyed.select("hash_value", F.lit(True).alias("_member"))
-    joined = salted_join(files, member, "hash_value", "left", F.col("path"), counts, rows_per_salt)
+    keyed = groups.select(F.col("hash_value").alias("_key"), "file_count")
+    # An empty hash is no key: NULL, so that its rows are spread like those without a hash.
+    files_keyed = files.withColumn("_key", F.when(hash_present(F.col("hash_value")), F.col("hash_value")))
+    counts = keyed if complete else key_counts(files_keyed, "_key")
+    member = keyed.select("_key", F.lit(True).alias("_member"))
+    joined = salted_join(files_keyed, member, "_key", "left", F.col("path"), counts, rows_per_salt)
     flag = F.coalesce("is_duplicate", F.lit(False)) | F.coalesce("_member", F.lit(False))
     return joined.withColumn("is_duplicate", flag).select(*files.columns)
 

@@ -53,7 +53,7 @@ def rollups(files: DataFrame) -> DataFrame:
     Files are summed per directory first, so only directories are repeated per ancestor.
     """
     spread = direct_totals(files).select(
-        F.explode(ancestors(F.col("path"))).alias("at"), "path", "size", "number_files"
+        F.explode(ancestors(F.col("path"), root=True)).alias("at"), "path", "size", "number_files"
     )
     own = F.col("at") == F.col("path")
     return spread.groupBy(F.col("at").alias("path")).agg(

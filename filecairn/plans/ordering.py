@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filecairn.plans.cut import written
 
-SMALL_LIMIT = 100_000
+SMALL_LIMIT = 10_000
 _ROW_BITS = 33
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SALT = 1_000_000
+MAX_HOT_KEYS = 100_000
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -38,11 +39,12 @@ def salted_join(
     """
     if counts is None:
         counts = key_counts(rows, key)
-    hot = F.broadcast(
-        counts.filter(F.col("file_count") > rows_per_salt).select(
-            key, F.ceil(F.col("file_count") / F.lit(rows_per_salt)).alias("_salts")
-        )
+    hot = counts.filter(F.col("file_count") > rows_per_salt).select(
+        key, F.ceil(F.col("file_count") / F.lit(rows_per_salt)).alias("_salts")
     )
+    # From ROWS_PER_SALT up the list is short by its definition; with fewer rows per salt it is counted first.
+    if rows_per_salt >= ROWS_PER_SALT or fits(hot, MAX_HOT_KEYS):
+        hot = F.broadcast(hot)
     spread = F.xxhash64(spread_by)
     salt = (
         F.when(F.col(key).isNull(), spread)

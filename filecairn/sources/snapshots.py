@@ -5,11 +5,16 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filecairn.plans.cut import exists
 from filecairn.schemas import TABLES, conform, empty, upgrade_folders
 
 
+# Written after all tables; a folder without it is no snapshot.
+MARK = "commit"
+
+
 def snapshot_path(base: str, at: datetime) -> str:
     """Folder of the scan taken at a given time."""
     return f"{base.rstrip('/')}/scan_{at:%Y%m%d_%H%M%S}"
@@ -32,25 +37,36 @@ def write_snapshot(
     path: str,
     cluster_by: dict[str, str | None] | None = None,
 ) -> str:
-    """Write a snapshot; tables not given are written empty."""
+    """Write a snapshot; tables not given are written empty. The commit mark comes last."""
+    if exists(spark, path):
+        raise FileExistsError(f"a snapshot is never overwritten: {path}")
     for table in TABLES:
         rows = tables[table] if table in tables else empty(spark, table)
         write_table(rows, path, table, (cluster_by or {}).get(table))
+    spark.range(1).select(F.expr("uuid()").alias("commit_id")).coalesce(1).write.parquet(f"{path}/{MARK}")
     return path
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One table of a snapshot; missing rollup columns read as 0."""
+    """One table of a snapshot; an absent one is empty, and missing rollup columns read as 0.
+
+    A folder whose write did not finish is an error.
+    """
     where = f"{path}/{table}"
     if not exists(spark, where):
         return empty(spark, table)
+    if not exists(spark, f"{where}/_SUCCESS"):
+        raise FileNotFoundError(f"unfinished table {where}")
     if table == "folders":
         return upgrade_folders(spark.read.schema(TABLES[table]).parquet(where))
     return spark.read.schema(TABLES[table]).parquet(where)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All tables of a snapshot."""
+    """All tables of a committed snapshot; without its commit mark or its file table there is none."""
+    for needed in (MARK, "files"):
+        if not exists(spark, f"{path}/{needed}/_SUCCESS"):
+            raise FileNotFoundError(f"no complete snapshot at {path}: {needed} is missing")
     return {table: read_table(spark, path, table) for table in TABLES}
 
 

@@ -170,7 +170,7 @@ def crawl(
         path_id(F.col("path")).alias("id"),
         F.when(~F.col("path").isin(top), path_id(parent_dir(F.col("path")))).alias("parent_id"),
         "path",
-        F.substring_index("path", "/", -1).alias("name"),
+        F.when(F.col("path") == "/", "/").otherwise(F.substring_index("path", "/", -1)).alias("name"),
         mtime,
         "tag",
         *[F.lit(0).cast("long").alias(c) for c in ("size", "number_files", "subtree_size", "subtree_files")],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampType
 
-from filecairn.operators.duplicates import duplicate_groups, duplicate_totals, hashed_files
+from filecairn.operators.duplicates import duplicate_groups, hashed_files
 from filecairn.plans.cut import exists
 from filecairn.plans.ordering import running_totals
 from filecairn.schemas import DUPLICATE_RUNS
@@ -75,6 +75,25 @@ def _in_range(low: str, high: str | None) -> Column:
     return (hash_value >= low) & (hash_value < high) if high is not None else hash_value >= low
 
 
+def _manifest(hashed: DataFrame, from_hash: str, digits: int) -> str:
+    """What a run is of: the hashed files by number and checksum, and its arguments."""
+    row = hashed.agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("hash_value", "size").cast("decimal(20,0)")).alias("s")
+    ).first()
+    return f"files={row['n']} checksum={row['s']} from_hash={from_hash!r} digits={digits}"
+
+
+def _same_input(spark: SparkSession, base: str, manifest: str) -> None:
+    """Record what the run is of, or refuse a run folder of something else."""
+    where = f"{base}/manifest"
+    if not exists(spark, f"{where}/_SUCCESS"):
+        spark.createDataFrame([(manifest,)], "manifest string").write.mode("overwrite").parquet(where)
+        return
+    found = spark.read.schema("manifest string").parquet(where).first()[0]
+    if found != manifest:
+        raise ValueError(f"{base} holds a run of another input ({found}, now {manifest}): use another run id")
+
+
 def rebuild_groups(
     files: DataFrame,
     work: str,
@@ -87,28 +106,39 @@ def rebuild_groups(
     """Groups after ``from_hash``, range by range, and the ledger of the run.
 
     ``16 ** digits`` ranges, each one job that writes its own folder under ``work``;
-    calling again with the same arguments after a failure does only the ranges that
-    are missing. More ranges mean finer restarts, and one more read of the hash
-    column each unless the files are clustered by hash. The ledger gets an event at
-    the start, after each range, and at the end.
+    calling again with the same input and arguments after a failure does only the ranges
+    that are missing, and anything else under the same id is refused. With several ranges the
+    hash column is first written apart by range, so each job reads its own part only.
+    The ledger gets an event at the start, after each range, and at the end.
     """
     spark = files.sparkSession
     now = F.current_timestamp() if now is None else now
     base = f"{work.rstrip('/')}/run={run_id}"
     ledger = f"{base}/ledger"
     started = datetime.now(timezone.utc)
-    hashed = hashed_files(files, from_hash)
-    total = duplicate_totals(duplicate_groups(hashed)).first()["groups"]
-    state = dict(id=run_id, started_at=started, status="running", total_groups=total, note=note)
+    hashed = hashed_files(files, from_hash).select("hash_value", "size", "mtime")
+    _same_input(spark, base, _manifest(hashed, from_hash, digits))
+    state = dict(id=run_id, started_at=started, status="running", note=note)
     state |= dict(processed_groups=0, processed_files=0, processed_size=0)
     ledger_event(spark, **state).write.mode("append").parquet(ledger)
     status = "failed"
     try:
+        if digits:
+            parted = f"{base}/hashes-{digits}"
+            by = hashed.withColumn("range", F.substring("hash_value", 1, digits))
+            if not exists(spark, f"{parted}/_SUCCESS"):
+                by.repartition("range", F.pmod(F.xxhash64("hash_value"), F.lit(8))).write.mode("overwrite").partitionBy(
+                    "range"
+                ).parquet(parted)
+            hashed = spark.read.schema(by.schema).parquet(parted)
         for low, high in hash_ranges(digits):
             out = f"{base}/groups-{digits}/range={low or 'start'}"
             if not exists(spark, f"{out}/_SUCCESS"):
-                part = duplicate_groups(hashed.filter(_in_range(low, high)), now=now)
-                part.write.mode("overwrite").parquet(out)
+                part = hashed.filter(_in_range(low, high))
+                if digits:
+                    first = F.col("range") == low if low else (F.col("range") < high)
+                    part = part.filter(first | (F.col("range") > low) & (F.col("range") < high if high else F.lit(True)))
+                duplicate_groups(part, now=now).write.mode("overwrite").parquet(out)
             seen = spark.read.schema(PART_SCHEMA).parquet(out).agg(
                 F.count("*").alias("groups"),
                 F.coalesce(F.sum("file_count"), F.lit(0)).alias("files"),
@@ -120,6 +150,7 @@ def rebuild_groups(
             state["processed_size"] += seen["size"]
             state["last_hash_value"] = seen["last"] or state.get("last_hash_value")
             ledger_event(spark, **state).write.mode("append").parquet(ledger)
+        state["total_groups"] = state["processed_groups"]
         status = "done"
     finally:
         end = state | dict(status=status, finished_at=datetime.now(timezone.utc))

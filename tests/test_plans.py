@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from checks.inventory import NOW, content_files, hashed_inventory, plain_files
+from checks.inventory import NOW, content_files, hashed_inventory, plain_files, with_folder_id
 from filecairn.operators import candidates as cand
 from filecairn.operators import duplicates as dup
 from filecairn.operators import reports as rep
@@ -215,7 +215,10 @@ def test_rebuild_is_restartable(spark, hashed, tmp_path):
     want = dup.duplicate_groups(hashed).persist()
     work = str(tmp_path / "work")
     groups, run = rebuild.rebuild_groups(hashed, work, 1, digits=1)
-    again, _ = rebuild.rebuild_groups(hashed.filter("false"), work, 1, digits=1)
+    again, _ = rebuild.rebuild_groups(hashed, work, 1, digits=1)
+    for other in (dict(files=hashed.filter("false"), digits=1), dict(files=hashed, digits=1, from_hash="8"), dict(files=hashed)):
+        with pytest.raises(ValueError, match="another input"):
+            rebuild.rebuild_groups(other.pop("files"), work, 1, **other)
     names = ["hash_value", "file_count", "total_size"]
     assert sorted_rows(groups.select(names)) == sorted_rows(want.select(names)) == sorted_rows(again.select(names))
     state = rebuild.latest_runs(spark.read.schema(rebuild.EVENTS).parquet(f"{work}/run=1/ledger")).first()
@@ -266,6 +269,8 @@ def test_rebuild_job_twice_equals_once(spark, snapshot, tmp_path):
     drop = ["last_updated"]
     assert sorted_rows(a["duplicate_groups"].drop(*drop)) == sorted_rows(b["duplicate_groups"].drop(*drop))
     assert {r["id"]: r["status"] for r in b["duplicate_runs"].collect()} == {1: "done", 2: "done"}
+    fresh = jobs.rebuild(spark, twice, str(tmp_path / "fresh"), str(tmp_path / "w2"))
+    assert {r["id"] for r in snapshots.read_snapshot(spark, fresh)["duplicate_runs"].collect()} == {1, 2, 3}
     # Resuming by hand keeps the groups before the given hash.
     middle = jobs.rebuild(
         spark, once, str(tmp_path / "three"), str(tmp_path / "w3"), run_id=3, reset=False, from_hash="8"
@@ -381,3 +386,52 @@ def test_first_seen_falls_back_to_now(spark):
 def test_plain_inventory_has_unique_ids(spark):
     files = plain_files(spark, SMALL)
     assert files.select("id").distinct().count() == files.count()
+
+
+# Snapshots and deletion
+
+
+def test_missing_or_unfinished_snapshots_raise(spark, hashed, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, str(tmp_path / "mistyped"))
+    half = str(tmp_path / "half")
+    files = with_folder_id(hashed)
+    snapshots.write_table(files, half, "files")
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, half)
+    whole = snapshots.write_snapshot(spark, {"files": files}, str(tmp_path / "whole"))
+    assert snapshots.read_snapshot(spark, whole)["folders"].count() == 0
+    with pytest.raises(FileExistsError):
+        snapshots.write_snapshot(spark, {"files": files}, whole)
+
+
+def test_delete_removes_nothing_if_the_output_exists(spark, tmp_path):
+    from filecairn import jobs
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "a.tmp").write_text("x")
+    path, _ = jobs.scan(spark, [(str(tree), "T")], str(tmp_path / "scans"))
+    taken = tmp_path / "taken"
+    taken.mkdir()
+    with pytest.raises(FileExistsError):
+        jobs.delete(spark, path, str(taken), str(tree), extensions=".tmp", delete_disk=True)
+    assert (tree / "a.tmp").exists()
+
+
+def test_subtree_of_the_root(spark):
+    from filecairn.functions.paths import ancestors
+
+    got = spark.createDataFrame([("/a/b",), ("/",)], "p string").select(ancestors(F.col("p"), root=True).alias("a")).collect()
+    assert [r["a"] for r in got] == [["/", "/a", "/a/b"], ["/"]]
+
+
+def test_empty_hashes_are_spread(spark):
+    files = spark.range(4000).select(
+        "id", F.concat(F.lit("/f/"), "id").alias("path"), F.lit(1).cast("long").alias("size"),
+        F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("id") % 500).cast("string"))).alias("hash_value"),
+        F.lit(False).alias("is_duplicate"),
+    )
+    marked = dup.mark_duplicates(files, dup.duplicate_groups(files), complete=True, rows_per_salt=50)
+    assert marked.count() == 4000 and marked.filter("hash_value = '' and is_duplicate").count() == 0
+    assert marked.filter("is_duplicate").count() == 2000
