@@ -65,6 +65,15 @@ from filecairn.sources.tree import crawl
 from filecairn.streaming.rebuild import rebuild_groups
 
 
+BASIC_FORMATS = ("console", "html", "sheet")
+SUMMARY_FORMATS = ("console", "html", "json", "sheet")
+
+
+def _known_format(name: str, known: tuple[str, ...]) -> None:
+    if name not in known:
+        raise ValueError(f"unsupported report format {name!r} (use {', '.join(known)})")
+
+
 def _stamp(at: datetime | None):
     moment = at or datetime.now(timezone.utc)
     return moment, F.lit(moment).cast("timestamp")
@@ -170,6 +179,7 @@ def report_basic(
 
     Returns the output path, by default the snapshot's name with ``_report``.
     """
+    _known_format(report_format, BASIC_FORMATS)
     output = output or f"{snapshot.rstrip('/')}_report"
     files = read_snapshot(spark, snapshot)["files"]
     top = largest_files(files, top_n)
@@ -179,11 +189,9 @@ def report_basic(
         write_lines(basic_console(top, groups, members), output)
     elif report_format == "html":
         write_lines(basic_html(top, groups, members, top_n), output)
-    elif report_format == "sheet":
+    else:
         _sheet(basic_top_sheet(top).orderBy("Rank"), f"{output}/Top Largest Files")
         _sheet(basic_duplicate_sheet(ordered_members(members)), f"{output}/Duplicate Files")
-    else:
-        raise ValueError(f"unsupported report format {report_format!r}")
     return output
 
 
@@ -199,6 +207,7 @@ def report_summary(
     """Summary, largest non-empty files and groups by hash and size from ``min_size`` up."""
     if not output.strip():
         raise ValueError("an output path is required")
+    _known_format(report_format, SUMMARY_FORMATS)
     files = read_snapshot(spark, snapshot)["files"]
     _, now = _stamp(at)
     top = largest_files(files, top_n, nonempty=True)
@@ -218,13 +227,11 @@ def report_summary(
         json_summary(figures).withColumn("generatedAt", now).write.json(f"{output}/report")
         nested = json_groups(nested_members(large_files, groups))
         nested.orderBy(F.desc("size"), "hash", "page").write.json(f"{output}/duplicates")
-    elif report_format == "sheet":
+    else:
         _sheet(summary_sheet(figures, now).orderBy("position").drop("position"), f"{output}/Summary")
         _sheet(summary_top_sheet(top).orderBy(F.desc("Size"), "Path"), f"{output}/Top_Largest_Files")
         duplicates = summary_duplicate_sheet(nested_members(large_files, groups))
         _sheet(duplicates.orderBy(F.desc("Size"), "Hash", "Page"), f"{output}/Duplicate_Files")
-    else:
-        raise ValueError(f"unsupported report format {report_format!r}")
 
 
 def _sheet(df: DataFrame, path: str) -> None:

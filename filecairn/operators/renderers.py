@@ -37,8 +37,11 @@ def _lines(df: DataFrame, section: int, parts: dict[int, Column], **keys: Column
     }
     keyed = {"section": F.lit(section), **neutral, **keys}
     texts = F.array(*[F.struct(F.lit(n).alias("part"), text.alias("line")) for n, text in parts.items()])
-    rows = df.select(*[c.alias(n) for n, c in keyed.items()], F.inline(texts))
-    return rows.select(*LINE_ORDER, "line")
+    # The texts come first and the sort columns under private names: an alias such as ``path`` beside
+    # them would be taken for the input column inside a lambda.
+    rows = df.select(texts.alias("_texts"), *[c.alias("_key_" + n) for n, c in keyed.items()])
+    named = rows.select(*[F.col("_key_" + n).alias(n) for n in keyed], F.inline("_texts"))
+    return named.select(*LINE_ORDER, "line")
 
 
 def _line(df: DataFrame, section: int, part: int, line: Column, **keys: Column) -> DataFrame:

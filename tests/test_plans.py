@@ -430,7 +430,7 @@ def test_empty_hashes_are_spread(spark):
     files = spark.range(4000).select(
         "id", F.concat(F.lit("/f/"), "id").alias("path"), F.lit(1).cast("long").alias("size"),
         F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("id") % 500).cast("string"))).alias("hash_value"),
-        F.lit(False).alias("is_duplicate"),
+        F.lit(False).alias("is_duplicate"), F.expr("timestamp'2024-01-01 00:00:00'").alias("mtime"),
     )
     marked = dup.mark_duplicates(files, dup.duplicate_groups(files), complete=True, rows_per_salt=50)
     assert marked.count() == 4000 and marked.filter("hash_value = '' and is_duplicate").count() == 0

@@ -204,7 +204,7 @@ def test_changed_file_is_hashed_again(spark, tree, tmp_path):
 
 def test_snapshot_is_never_overwritten(spark, tree, tmp_path):
     first, _ = jobs.scan(spark, [(str(tree), "T")], str(tmp_path / "out"))
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(FileExistsError, match="exists already"):
         jobs.delete(spark, first, first, str(tree / "a"))
     assert read_snapshot(spark, first)["files"].count() == len(EXPECTED)
 
