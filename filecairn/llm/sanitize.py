@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filecairn.plans.cut import written
-from filecairn.plans.skew import fits
+from filecairn.plans.skew import fits, salted_join
 
 KINDS = ("email", "ip", "card", "phone")
+# Words on either side of a match by which copies of one passage are known.
 CONTEXT_WORDS = 8
-SUPPORT = 2
+SUPPORT = 3
 DISCLOSURE = 0.9
 FILTER_BITS = 23
 MAX_BROADCAST_TEXTS = 100_000
@@ -29,6 +31,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BLANKED = re.compile(r"\S+")
 _BARE = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
 
 
@@ -79,30 +82,41 @@ def _hash(text: str) -> int:
 
 
 def terms(text: str) -> Iterator[tuple[str, int, int]]:
-    """Lower-case words of letters, without the marks around them, and where they lie."""
-    for m in _BARE.finditer(text):
-        yield m[0].lower(), m.start(), m.end()
+    """Lower-case words of letters, without the marks around them, and where they lie; none from a word with an @."""
+    for word in _BLANKED.finditer(text):
+        if "@" not in word[0]:
+            for m in _BARE.finditer(word[0]):
+                yield m[0].lower(), word.start() + m.start(), word.start() + m.end()
 
 
-def _near(text: str, found: list[tuple[str, int, int]], width: int) -> list[dict]:
-    """For each match: entity, context and the terms among ``width`` words on either side of it."""
-    out = []
+def broader(term: str) -> str:
+    """The class a term generalises to: all that begin with its first half."""
+    return term[: (len(term) + 1) // 2] + "*"
+
+
+def _hashes(word: str) -> tuple[int, ...]:
+    """Hashes of the terms of one word and of their classes."""
+    found = [t for t, _, _ in terms(word)]
+    return tuple({_hash(x) for t in found for x in (t, broader(t))})
+
+
+def _entities(text: str, found: list[tuple[str, int, int]], width: int) -> list[dict]:
+    """For each distinct value of a match the least hash of the words around it."""
+    out: dict[int, int] = {}
     for kind, start, end in found:
         if kind == "email":
             value = text[start:end].lower()
         else:
             value = re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[start:end])
-        before = _outward(text, start, width, -1)
-        after = _outward(text, end, width, 1)
-        around = [t for a, b in ((before, start), (end, after)) for t in
-                  ((w, a + s, a + e) for w, s, e in terms(text[a:b]))
-                  if not any(t[1] < e and s < t[2] for _, s, e in found)]
-        context = _hash(" ".join(t[0] for t in around))
-        entity = _hash(f"{kind}:{value}")
-        out += [{"e": entity, "c": context, "t": _hash(t), "s": s, "x": x} for t, s, x in around]
-        if not around:
-            out.append({"e": entity, "c": context, "t": None, "s": start, "x": end})
-    return out
+        before, after = _outward(text, start, width, -1), _outward(text, end, width, 1)
+        around = [t for a, b in ((before, start), (end, after)) for t, _, _ in terms(text[a:b])]
+        entity, context = _hash(f"{kind}:{value}"), _hash(" ".join(around))
+        out[entity] = min(context, out.get(entity, context))
+    return [{"e": e, "c": c} for e, c in out.items()]
+
+
+def _term_hashes(text: str) -> list[int]:
+    return list({h for word in set(text.split()) for h in _hashes(word)})
 
 
 def _outward(text: str, at: int, width: int, step: int) -> int:
@@ -128,188 +142,270 @@ def _spelled(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-NEAR = "array<struct<e: long, c: long, t: long, s: int, x: int>>"
+FOUND = "array<struct<e: long, c: long>>"
 SCANNED = (
     "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    f"base string, near {NEAR}"
+    f"base string, found {FOUND}, terms array<long>"
 )
-_NEAR_TYPE = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("x", pa.int32())]))
+_FOUND_TYPE = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64())]))
 
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[] for _ in range(8)]
+            columns = [[] for _ in range(9)]
             for text in batch.column(1):
                 text = text.as_py() or ""
                 found = find(text)
                 base = _spelled(found)
                 kinds = [k for k, _, _ in found]
                 row = [_hash(text), *[kinds.count(k) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), base,
-                       _near(text, found, width) if found else []]
+                       _entities(text, found, width) if found else [], _term_hashes(text) if found else []]
                 for column, value in zip(columns, row):
                     column.append(value)
-            types = [pa.int64()] * 5 + [pa.string(), pa.string(), _NEAR_TYPE]
+            types = [pa.int64()] * 5 + [pa.string(), pa.string(), _FOUND_TYPE, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]],
-                names=["doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "near"],
+                names=["doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "found", "terms"],
             )
 
     return run
 
 
+def _bits(hashes: DataFrame, column: str) -> np.ndarray:
+    """Which low bits the hashes have, as a table of fixed size: at most 2**20 rows of eight slots are gathered."""
+    slots = hashes.selectExpr(f"{column} & {(1 << FILTER_BITS) - 1} as slot")
+    marks = slots.groupBy(F.expr("slot div 8").alias("b")).agg(F.expr("bit_or(shiftleft(1, cast(slot % 8 as int)))").alias("m"))
+    packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in marks.toLocalIterator():
+        packed[row["b"]] = row["m"]
+    return np.unpackbits(packed, bitorder="little").astype(bool)
+
+
+def _known(bits: np.ndarray, hashes: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(h for h in hashes if bits[h & ((1 << FILTER_BITS) - 1)])
+
+
 def _occurrences(shared):
-    """Distinct candidate terms of each text: a fixed bit table drops most others, the join the rest."""
+    """How many texts hold each asked term: ``t, text_hash, n``, added up in the task.
+
+    A text that may have copies is told by its hash, so that it can be counted once; the others have none.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = shared.value, {}
+        asked, copied = shared.value
+        known: dict[str, tuple[int, ...]] = {}
+        counts: Counter = Counter()
+
+        def batch_of(rows) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t", "text_hash", "n"])
+
         for batch in batches:
-            term_of, text_of = [], []
+            rows = []
             for text in batch.column(0):
                 text = text.as_py()
                 if not text:
                     continue
-                hit = set()
+                hit: set[int] = set()
                 for word in set(text.split()):
                     got = known.get(word)
                     if got is None:
                         if len(known) > 200_000:
                             known.clear()
-                        hashes = [_hash(t) for t, _, _ in terms(word)]
-                        got = known[word] = tuple(h for h in hashes if bits[h & ((1 << FILTER_BITS) - 1)])
+                        got = known[word] = _known(asked, _hashes(word))
                     hit.update(got)
-                if hit:
-                    whole = _hash(text)
-                    term_of += hit
-                    text_of += [whole] * len(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(term_of, pa.int64()), pa.array(text_of, pa.int64())], names=["t", "text_hash"])
+                whole = _hash(text)
+                if copied[whole & ((1 << FILTER_BITS) - 1)]:
+                    rows += [(t, whole, 1) for t in hit]
+                else:
+                    counts.update(hit)
+            yield batch_of(rows)
+            if len(counts) > 500_000:
+                yield batch_of([(t, None, n) for t, n in counts.items()])
+                counts.clear()
+        yield batch_of([(t, None, n) for t, n in counts.items()])
 
     return run
 
 
 def scan(docs: DataFrame, width: int = CONTEXT_WORDS) -> DataFrame:
-    """Base matches of every document row and the terms around them; written once."""
+    """Base matches of every document row, the values found and, where there are any, the terms of the text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(texts.mapInArrow(_scan(width), SCANNED), "scanned")
 
 
+def _texts_with(docs: DataFrame, scanned: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``t, n_t``: number of distinct texts of the corpus with each of the wanted terms, and perhaps some others."""
+    copied = scanned.groupBy("text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
+    shared = docs.sparkSession.sparkContext.broadcast((_bits(wanted, "t"), _bits(copied, "text_hash")))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    seen = texts.mapInArrow(_occurrences(shared), "t long, text_hash long, n long")
+    # Copies of one text count once, whichever tasks they are in.
+    once = seen.groupBy("t", "text_hash").agg(F.sum("n").alias("n"))
+    return once.groupBy("t").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+
+
 def disclosing_terms(
     docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE
 ) -> DataFrame:
     """``e, t, share``: the terms that reveal an entity, and how much of its information they give away.
 
-    With N distinct texts, n_e distinct contexts of the entity, n_et of them with the term and n_t distinct
-    texts with the term, PMI = log2(N n_et / (n_e n_t)) and IC = log2(N / n_e). A term with at
-    least ``support`` contexts discloses the entity if PMI >= ``disclosure`` * IC. Copies of one passage are
-    one context, so copying a text doesn't make its words disclose. All counts cover the whole corpus.
+    Terms are those of whole texts. An entity is counted in distinct texts, of which those that
+    have the same words around it, copies of one passage, are one. With N distinct texts, n_e of them
+    with the entity, n_et with entity and term and n_t with the term, PMI = log2(N n_et / (n_e n_t)) and
+    IC = log2(N / n_e). A term in at least ``support`` texts of the entity discloses it if
+    PMI >= ``disclosure`` * IC. The class of a term (see ``broader``) is counted in the same way.
     """
-    spark = docs.sparkSession
-    near = scanned.select(F.explode("near").alias("n")).select("n.e", "n.c", "n.t")
-    entities = near.select("e", "c").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = near.filter("t is not null").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et"))
-    pairs = written(pairs.filter(F.col("n_et") >= support), "pairs")
+    found = scanned.select("text_hash", F.explode("found").alias("f")).select("f.e", "f.c", "text_hash")
+    units = found.groupBy("e", "c").agg(F.min("text_hash").alias("text_hash"))
+    entities = units.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    counted = entities.withColumnRenamed("n_e", "file_count")
+    # An entity of very many texts is salted.
+    units = salted_join(units, entities, "e", "inner", F.col("text_hash"), counted)
+    units = units.select("e", "n_e", "text_hash").distinct()
+    holding = scanned.filter(F.size("found") > 0).select("text_hash", "terms").dropDuplicates(["text_hash"])
+    pairs = units.join(holding, "text_hash").select("e", "n_e", F.explode("terms").alias("t"))
+    pairs = pairs.groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    pairs = written(pairs, "pairs")
     total = scanned.select("text_hash").distinct().count()
-    # At most 2**20 rows of eight slots each whatever the corpus; the table has a fixed size.
-    slots = pairs.selectExpr(f"t & {(1 << FILTER_BITS) - 1} as slot")
-    marks = slots.groupBy(F.expr("slot div 8").alias("b")).agg(F.expr("bit_or(shiftleft(1, cast(slot % 8 as int)))").alias("m"))
-    packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in marks.toLocalIterator():
-        packed[row["b"]] = row["m"]
-    shared = spark.sparkContext.broadcast(np.unpackbits(packed, bitorder="little").astype(bool))
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    seen = texts.mapInArrow(_occurrences(shared), "t long, text_hash long").distinct()
-    counts = seen.groupBy("t").agg(F.count("*").alias("n_t"))
-    known = pairs.join(entities, "e").join(counts, "t")
-    ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    # A term of very many entities is one row per entity here; counts are one row per term, and may be broadcast or not.
+    known = pairs.join(_texts_with(docs, scanned, pairs), "t")
+    whole = F.lit(float(max(total, 1)))
+    ic = F.log2(whole / F.col("n_e"))
+    pmi = F.log2(whole * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     return written(known.select("e", "t", share.alias("share")).filter(F.col("share") >= disclosure), "disclosing")
 
 
-def _term_spans(scanned: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, terms``: spans of disclosing terms in the contexts of a text, in order, without overlap."""
-    where = scanned.filter(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("n")).select(
-        "doc_id", "text_hash", "n.e", "n.t", "n.s", "n.x"
-    ).distinct()
-    hits = where.join(found, ["e", "t"]).groupBy("doc_id", "text_hash", "s", "x").agg(F.max("share").alias("share"))
-    spans = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", "x", "share"))).alias("terms"))
+def _marked(shared):
+    """Where terms that may disclose stand in whole texts, outside the base matches, with the hash of their class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, known = shared.value, {}
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                if not text:
+                    continue
+                hit = False
+                for word in set(text.split()):
+                    got = known.get(word)
+                    if got is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        got = known[word] = bool(_known(asked, tuple(_hash(t) for t, _, _ in terms(word))))
+                    hit = hit or got
+                if not hit:
+                    continue
+                taken, whole = find(text), _hash(text)
+                for term, start, end in terms(text):
+                    h = _hash(term)
+                    if asked[h & ((1 << FILTER_BITS) - 1)] and not any(a < end and start < b for _, a, b in taken):
+                        rows.append((doc_id, whole, h, _hash(broader(term)), start, end))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "text_hash", "t", "g", "s", "x"]
+            )
+
+    return run
+
+
+def _term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, terms``: spans of disclosing terms wherever they stand, in order.
+
+    ``general`` says that the class of the term discloses nothing, so that it may stand for the term.
+    """
+    strength = written(found.groupBy("t").agg(F.max("share").alias("share")), "strength")
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(strength, "t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    where = texts.mapInArrow(_marked(shared), "doc_id long, text_hash long, t long, g long, s long, x long")
+    # Rows that share id and text have the same spans.
+    hits = where.distinct().join(strength, "t").join(
+        strength.select(F.col("t").alias("g"), F.lit(True).alias("_told")), "g", "left"
+    )
+    span = F.struct(
+        F.col("s").cast("int").alias("s"), F.col("x").cast("int").alias("x"), "share", F.col("_told").isNull().alias("general")
+    )
+    spans = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("terms"))
     return written(spans, "terms")
 
 
 def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     """Counts, digest and spans of every document row.
 
-    Base matches are those of ``find``. The method adds spans of kind ``term``: words within eight words of a
-    match that disclose its value (see ``disclosing_terms``). Null and empty texts have no
+    Base matches are those of ``find``. The method adds spans of kind ``term``: every word of any document that
+    discloses a value of the corpus (see ``disclosing_terms``). Null and empty texts have no
     spans; ids may be null; repeated rows give repeated results; an empty table gives no rows.
     """
     scanned = scan(docs)
-    terms_of = _term_spans(scanned, disclosing_terms(docs, scanned, **options)).withColumnRenamed("doc_id", "_id")
-    terms_of = terms_of.withColumnRenamed("text_hash", "_hash")
+    terms_of = _term_spans(docs, disclosing_terms(docs, scanned, **options)).withColumnRenamed("doc_id", "_id")
+    terms_of = terms_of.withColumnRenamed("text_hash", "_hash").withColumnRenamed("terms", "_terms")
     same = scanned["doc_id"].eqNullSafe(terms_of["_id"]) & (scanned["text_hash"] == terms_of["_hash"])
-    added = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["s"], t["x"])), ",")
-    return scanned.join(terms_of, same, "left").select(
+    added = F.array_join(F.transform("_terms", lambda t: F.concat_ws(":", F.lit("term"), t["s"], t["x"])), ",")
+    return scanned.drop("found", "terms").join(terms_of, same, "left").select(
         scanned["doc_id"], *[f"n_{k}" for k in KINDS], "base_sha256",
         F.array_join(F.array_compact(F.array(F.nullif("base", F.lit("")), added)), ",").alias("spans"),
     )
 
 
-def _masked(position: int, names: list[str]):
-    def mask(text: str, hidden: list[dict]) -> str:
-        spans = [(a, b, f"[{kind.upper()}]") for kind, a, b in find(text)]
-        # A term that gives its entity away entirely is removed; one that nearly does is generalised.
-        spans += [(t["s"], t["x"], "" if t["share"] >= 1 else "[TERM]") for t in hidden or []]
-        out, at = [], 0
-        for start, end, name in sorted(spans):
-            if start >= at:
-                out += [text[at:start], name]
-            at = max(at, end)
-        return "".join(out) + text[at:]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hidden = batch.column(position), batch.column(batch.num_columns - 1).to_pylist()
-            clean = [None if t.as_py() is None else mask(t.as_py(), h) for t, h in zip(texts, hidden)]
-            columns = [pa.array(clean, pa.string()) if k == position else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return run
+def masked(text: str, hidden: list[dict]) -> str:
+    """The text with matches replaced by their kind, and disclosing terms by their class or by nothing."""
+    spans = [(a, b, f"[{kind.upper()}]") for kind, a, b in find(text)]
+    spans += [(t["s"], t["x"], broader(text[t["s"] : t["x"]]) if t["general"] else "") for t in hidden]
+    out, at = [], 0
+    for start, end, name in sorted(spans):
+        if start >= at:
+            out += [text[at:start], name]
+        at = max(at, end)
+    return "".join(out) + text[at:]
 
 
 def sanitized(docs: DataFrame, **options) -> DataFrame:
-    """The same rows and columns with personal data masked by kind and disclosing terms removed or generalised.
+    """The same rows and columns with personal data masked by kind and disclosing terms generalised or removed.
 
-    ``n_chars``, if there is one, follows the new text. Null texts stay null.
+    A term gives way to its class where that discloses nothing, and is removed elsewhere. ``n_chars``, if
+    there is one, follows the new text. Null texts stay null. Rows find their spans by id and whole text, so that ids
+    may repeat or be null.
     """
     scanned = scan(docs)
-    hidden = _term_spans(scanned, disclosing_terms(docs, scanned, **options)).withColumnRenamed("doc_id", "_id")
-    small = fits(hidden, MAX_BROADCAST_TEXTS)
-    # Ids part the texts already; the hash of the whole text keeps rows apart that share an id.
-    keyed = docs.withColumn("_of", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
-    hidden = hidden.select(F.coalesce("_id", F.lit(-(1 << 63)).cast("long")).alias("_of"), "terms", "text_hash")
-    per = hidden.groupBy("_of").agg(F.collect_list(F.struct("text_hash", "terms")).alias("_found"))
-    joined = keyed.join(F.broadcast(per) if small else per, "_of", "left").select(*[keyed[c] for c in docs.columns], "_found")
+    # Names that no column of the caller has.
+    free = "_" * (1 + max(map(len, docs.columns)))
+    of, terms_of = f"of{free}", f"terms{free}"
+    hidden = _term_spans(docs, disclosing_terms(docs, scanned, **options)).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("terms").alias(terms_of)
+    )
+    if fits(hidden, MAX_BROADCAST_TEXTS):
+        hidden = F.broadcast(hidden)
     position = docs.columns.index("text")
-    cast = [F.col("text").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = joined.select(*cast, "_found").mapInArrow(_chosen(position, docs.columns), docs.schema)
+    # The hash that the spans carry is worked out again beside the text.
+    cast = [F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*cast)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    keyed = rows.mapInArrow(_with_hash(position, of), f"{kinds}, `{of}` long")
+    same = keyed["doc_id"].cast("long").eqNullSafe(hidden["_id"]) & (keyed[of] == hidden["_hash"])
+    joined = keyed.join(hidden, same, "left").select(*[keyed[f"`{c}`"] for c in docs.columns], hidden[terms_of])
+    out = joined.mapInArrow(_masking(position, docs.columns), rows.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
     return out
 
 
-def _chosen(position: int, names: list[str]):
-    """Terms of the row's own text among those found for its id, then the mask."""
+def _with_hash(position: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = _masked(position, names)
         for batch in batches:
-            found = batch.column(batch.num_columns - 1).to_pylist()
-            texts = batch.column(position)
-            hidden = []
-            for text, of in zip(texts, found):
-                whole = _hash(text.as_py() or "") if of else None
-                hidden.append(next((f["terms"] for f in of or [] if f["text_hash"] == whole), []))
-            kind = pa.list_(pa.struct([("s", pa.int32()), ("x", pa.int32()), ("share", pa.float64())]))
-            columns = [*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(hidden, kind)]
-            yield from mask(iter([pa.RecordBatch.from_arrays(columns, names=[*names, "_terms"])]))
+            of = [_hash(text.as_py() or "") for text in batch.column(position)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], names=[*batch.schema.names, name])
+
+    return run
+
+
+def _masking(position: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hidden = batch.column(batch.num_columns - 1).to_pylist()
+            clean = [None if t.as_py() is None else masked(t.as_py(), h or []) for t, h in zip(batch.column(position), hidden)]
+            columns = [pa.array(clean, pa.string()) if k == position else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
