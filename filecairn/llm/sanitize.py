@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from filecairn.plans.cut import written
 from filecairn.plans.skew import fits, salted_join
@@ -21,6 +22,7 @@ CONTEXT_WORDS = 8
 SUPPORT = 3
 DISCLOSURE = 0.9
 FILTER_BITS = 23
+REMEMBER = 400_000
 MAX_BROADCAST_TEXTS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,9 +78,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 def _hash(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def terms(text: str) -> Iterator[tuple[str, int, int]]:
@@ -94,10 +94,17 @@ def broader(term: str) -> str:
     return term[: (len(term) + 1) // 2] + "*"
 
 
-def _hashes(word: str) -> tuple[int, ...]:
-    """Hashes of the terms of one word and of their classes."""
-    found = [t for t, _, _ in terms(word)]
-    return tuple({_hash(x) for t in found for x in (t, broader(t))})
+def word_terms(word: str) -> list[str]:
+    """The terms of a word between blanks; most words are letters alone."""
+    if word.isalpha():
+        return [word.lower()]
+    return [] if "@" in word else [t.lower() for t in _BARE.findall(word)]
+
+
+def _asked(word: str, bits: bytes) -> tuple[int, ...]:
+    """Hashes of a word's terms and of their classes, as far as they may be asked for."""
+    hashes = [_hash(x) for t in word_terms(word) for x in (t, broader(t))]
+    return tuple(h for h in hashes if bits[h & _SLOT])
 
 
 def _entities(text: str, found: list[tuple[str, int, int]], width: int) -> list[dict]:
@@ -116,7 +123,7 @@ def _entities(text: str, found: list[tuple[str, int, int]], width: int) -> list[
 
 
 def _term_hashes(text: str) -> list[int]:
-    return list({h for word in set(text.split()) for h in _hashes(word)})
+    return list({_hash(x) for word in set(text.split()) for t in word_terms(word) for x in (t, broader(t))})
 
 
 def _outward(text: str, at: int, width: int, step: int) -> int:
@@ -172,18 +179,17 @@ def _scan(width: int):
     return run
 
 
-def _bits(hashes: DataFrame, column: str) -> np.ndarray:
+def _bits(hashes: DataFrame, column: str) -> bytes:
     """Which low bits the hashes have, as a table of fixed size: at most 2**20 rows of eight slots are gathered."""
     slots = hashes.selectExpr(f"{column} & {(1 << FILTER_BITS) - 1} as slot")
     marks = slots.groupBy(F.expr("slot div 8").alias("b")).agg(F.expr("bit_or(shiftleft(1, cast(slot % 8 as int)))").alias("m"))
     packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for row in marks.toLocalIterator():
         packed[row["b"]] = row["m"]
-    return np.unpackbits(packed, bitorder="little").astype(bool)
+    return np.unpackbits(packed, bitorder="little").tobytes()
 
 
-def _known(bits: np.ndarray, hashes: tuple[int, ...]) -> tuple[int, ...]:
-    return tuple(h for h in hashes if bits[h & ((1 << FILTER_BITS) - 1)])
+_SLOT = (1 << FILTER_BITS) - 1
 
 
 def _occurrences(shared):
@@ -207,15 +213,16 @@ def _occurrences(shared):
                 if not text:
                     continue
                 hit: set[int] = set()
+                if len(known) > REMEMBER:
+                    known.clear()
                 for word in set(text.split()):
                     got = known.get(word)
                     if got is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        got = known[word] = _known(asked, _hashes(word))
-                    hit.update(got)
+                        got = known[word] = _asked(word, asked)
+                    if got:
+                        hit.update(got)
                 whole = _hash(text)
-                if copied[whole & ((1 << FILTER_BITS) - 1)]:
+                if copied[whole & _SLOT]:
                     rows += [(t, whole, 1) for t in hit]
                 else:
                     counts.update(hit)
@@ -288,19 +295,19 @@ def _marked(shared):
                 if not text:
                     continue
                 hit = False
+                if len(known) > REMEMBER:
+                    known.clear()
                 for word in set(text.split()):
                     got = known.get(word)
                     if got is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        got = known[word] = bool(_known(asked, tuple(_hash(t) for t, _, _ in terms(word))))
+                        got = known[word] = any(asked[_hash(t) & _SLOT] for t in word_terms(word))
                     hit = hit or got
                 if not hit:
                     continue
                 taken, whole = find(text), _hash(text)
                 for term, start, end in terms(text):
                     h = _hash(term)
-                    if asked[h & ((1 << FILTER_BITS) - 1)] and not any(a < end and start < b for _, a, b in taken):
+                    if asked[h & _SLOT] and not any(a < end and start < b for _, a, b in taken):
                         rows.append((doc_id, whole, h, _hash(broader(term)), start, end))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
