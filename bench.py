@@ -26,7 +26,6 @@ from filecairn.operators import reports as rep
 from filecairn.operators import retention as ret
 from filecairn.operators import upserts as ups
 from filecairn.sources.snapshots import read_table, write_table
-from filecairn.streaming import rebuild
 
 
 def session(cores: str, shared: str) -> SparkSession:
@@ -87,7 +86,6 @@ def main() -> None:
             rep.largest_files(files), dup.duplicate_groups(files), dup.duplicate_members(files)),
         "rollups": lambda: fold.with_rollups(folders, files),
         "upsert_files": lambda: ups.upsert_files(files, second),
-        "run_batches": lambda: rebuild.batch_progress(dup.duplicate_groups(files)),
         "scope_counts": lambda: ret.scope_counts(files, folders, "/share/corpus/documents/src1"),
         "scoped_delete": lambda: ret.remaining_after_scope(files, folders, "/share/corpus/documents/src1")[0],
         "filtered_delete": lambda: ret.without(

@@ -195,15 +195,6 @@ SELECT coalesce(n.hash_value, o.hash_value) AS hash_value, coalesce(n.file_count
 FROM groups n FULL JOIN old_groups o ON n.hash_value = o.hash_value""")
 
 
-PROGRESS = """
-progress AS (
-  SELECT hash_value, file_count, total_size,
-         row_number() OVER w AS processed_groups,
-         CAST(sum(file_count) OVER w AS BIGINT) AS processed_files,
-         CAST(sum(total_size) OVER w AS BIGINT) AS processed_size
-  FROM groups WINDOW w AS (ORDER BY hash_value)
-)"""
-
 SCOPE = "'/share/corpus/documents/src1'"
 IN_SCOPE = f"(path = {SCOPE} OR starts_with(path, {SCOPE} || '/'))"
 IN_FILTER = "(starts_with(path, '/share/corpus/') AND lower(file_ext) IN ('.txt', '.msg'))"
@@ -261,7 +252,7 @@ BROWSES = [
     }),
     *browse("runs", "latest", "CAST(id AS VARCHAR)", {
         "by_status": "status",
-        "by_started_at": "started_at DESC",
+        "by_started_at": "id DESC",
     }),
 ]
 
@@ -317,6 +308,7 @@ def table(before: str, *headings: str) -> str:
 
 HTML = [
     line(0, 0, page("Filesystem Analysis Report"), ""),
+    line(0, 1, "'<p>Generated: 2024-06-01 12:00:00</p>'", ""),
     line(1, 0, "'<h2>Summary</h2>'", ""),
     line(2, 0, "'<div class=\"metric\">' || \"Metric\" || ': ' || \"Value\" || '</div>'",
          "FROM shown WHERE position < 6", "position"),
@@ -344,6 +336,7 @@ BASIC_CONSOLE = [
 
 BASIC_HTML = [
     line(0, 0, page("File Scan Report"), ""),
+    line(0, 1, "'<p>Generated on: 2024-06-01 12:00:00</p>'", ""),
     line(1, 0, table("<h2>Top 100 Largest Files</h2>", "Rank", "Size (Bytes)", "Path", "Filename",
                      "Modified Time", "Hash Value", "Type"), ""),
     line(2, 0, html_row("rank", "size", escaped("path"), escaped("filename"), rfc("mtime"),
@@ -357,27 +350,37 @@ BASIC_HTML = [
     line(5, 0, "'</table></body></html>'", ""),
 ]
 
-LEDGER = """
-runs AS (
-  SELECT CASE tag WHEN 'documents' THEN 1 WHEN 'pages' THEN 2 WHEN 'conversations' THEN 3 ELSE 4 END AS id,
-         substr(hash_value, 1, 1) AS r, size, hash_value
+MIXED = """
+mixed AS (
+  SELECT id, path, size, tag, CASE WHEN id % 7 <> 0 AND id % 11 <> 0 THEN hash_value END AS hash_value,
+         CASE WHEN id % 7 = 0 THEN 'cannot read ' || id % 3 END AS hash_error
   FROM hashed WHERE hash_value IS NOT NULL
-),
-cells AS (
-  SELECT id, r, count(*) AS files, CAST(sum(size) AS BIGINT) AS size, max(hash_value) AS last_hash_value,
-         row_number() OVER (PARTITION BY id ORDER BY r DESC) AS back
-  FROM runs GROUP BY id, r
-),
-latest AS (
-  SELECT CAST(id AS BIGINT) AS id, TIMESTAMP '2024-06-01 00:00:00' AS started_at,
-         TIMESTAMP '2024-06-01 01:00:00' AS finished_at, 'done' AS status,
-         CAST(sum(files) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS size, max(last_hash_value) AS last_hash_value
-  FROM cells WHERE id <> 2 GROUP BY id
+)"""
+
+FAILED = """
+failed AS (
+  SELECT path, tag || '-' || CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS tag,
+         CASE id % 13 WHEN 0 THEN 'stat' ELSE 'list' END AS stage,
+         'gone through root ' || CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS message
+  FROM files WHERE id % 13 < 2
   UNION ALL
-  SELECT CAST(id AS BIGINT), TIMESTAMP '2024-06-01 00:00:00', NULL, 'running', files, size, last_hash_value
-  FROM cells WHERE id = 2 AND back = 1
+  SELECT path, tag, 'hash', hash_error FROM mixed WHERE hash_error IS NOT NULL
 )"""
 
+LEDGER = """
+run_groups AS (
+  SELECT 1 AS id, * FROM groups
+  UNION ALL SELECT 2, * FROM groups WHERE hash_value > '8'
+  UNION ALL
+  SELECT 3, hash_value, count(*), CAST(sum(size) AS BIGINT), min(mtime)
+  FROM hashed WHERE hash_value IS NOT NULL AND tag = 'documents' GROUP BY hash_value HAVING count(*) > 1
+),
+latest AS (
+  SELECT CAST(r.id AS BIGINT) AS id, 'done' AS status, TRUE AS finished, count(hash_value) AS total_groups,
+         count(hash_value) AS processed_groups, coalesce(CAST(sum(file_count) AS BIGINT), 0) AS processed_files,
+         coalesce(CAST(sum(total_size) AS BIGINT), 0) AS processed_size, max(hash_value) AS last_hash_value
+  FROM (SELECT unnest([1, 2, 3]) AS id) r LEFT JOIN run_groups g ON g.id = r.id GROUP BY r.id
+)"""
 CANDIDATES = "SELECT id, path, size FROM hashed WHERE hash_value IS NOT NULL"
 HASHES = "SELECT id, path, size, hash_value, CAST(NULL AS VARCHAR) AS hash_error FROM hashed WHERE hash_value IS NOT NULL"
 
@@ -394,9 +397,9 @@ SELECT DISTINCT dir_path, dir_path, regexp_extract(dir_path, '([^/]*)$', 1) FROM
     "exclude_dirs": with_(FILES, """
 SELECT id, path FROM files
 WHERE NOT list_has_any(list_slice(string_split(dir_path, '/'), 5, 100), ['fr', 'src1', 'documents'])"""),
-    "schema_upgrade_defaults": with_(FOLDERS, """
-SELECT path, name, tag, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS number_files,
-       CAST(0 AS BIGINT) AS subtree_size, CAST(0 AS BIGINT) AS subtree_files FROM folders"""),
+    "schema_upgrade_defaults": with_(FOLDERS + "," + ROLLED, """
+SELECT path, name, tag, CASE WHEN length(path) % 2 = 0 THEN size ELSE 0 END AS size, number_files,
+       CAST(0 AS BIGINT) AS subtree_size, CAST(0 AS BIGINT) AS subtree_files FROM rolled"""),
     "colliding_ids": with_(FILES, """
 SELECT CAST('0x' || substr(md5(path), 1, 4) AS BIGINT) AS id, count(*) AS paths
 FROM files GROUP BY 1 HAVING count(*) > 1"""),
@@ -418,11 +421,24 @@ WHERE size > 0 AND hash_value IS NULL
     "hashed_files_listed": with_(HASHED, HASHES),
     "hashed_files_unbounded": with_(HASHED, HASHES),
     "hash_write_back": with_(HASHED, "SELECT id, path, size, hash_value FROM hashed"),
-    "hash_outcomes": with_(HASHED, """
-SELECT count(*) AS processed, count(*) AS success, CAST(0 AS BIGINT) AS errors,
+    "hash_outcomes": with_(HASHED + "," + MIXED, """
+SELECT count(*) AS processed, count(hash_value) AS success, count(*) - count(hash_value) AS errors,
        coalesce(CAST(sum(size) AS BIGINT), 0) AS bytes,
-       CASE WHEN count(*) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS success_percent
-FROM hashed WHERE hash_value IS NOT NULL"""),
+       CASE WHEN count(*) > 0 THEN round(100.0::DOUBLE * count(hash_value) / count(*), 2) ELSE 0.0::DOUBLE END AS success_percent
+FROM mixed"""),
+    "scan_errors": with_(HASHED + "," + MIXED + "," + FAILED, "SELECT * FROM failed"),
+    "scan_error_counts": with_(HASHED + "," + MIXED + "," + FAILED, """
+SELECT tag, stage, count(*) AS errors, min(path) AS first_path FROM failed GROUP BY tag, stage"""),
+    "hash_bin_loads": with_(HASHED + """, loads AS (SELECT path, id, size + 65536 AS load FROM hashed WHERE hash_value IS NOT NULL),
+placed AS (
+  SELECT load, row_number() OVER w - 1 AS place,
+         coalesce(sum(CASE WHEN load < 524288 THEN load END) OVER w, 0) - load AS before
+  FROM loads WINDOW w AS (ORDER BY load DESC, path, id ROWS UNBOUNDED PRECEDING)
+)""", """
+SELECT CAST(CASE WHEN load >= 524288 THEN place
+                 ELSE (SELECT count(*) FROM loads WHERE load >= 524288) + before // 524288 END AS INTEGER) AS bin,
+       count(*) AS files, CAST(sum(load) AS BIGINT) AS load, max(load) AS largest
+FROM placed GROUP BY 1"""),
     "duplicate_groups": with_(HASHED, "SELECT * FROM groups"),
     "duplicate_totals": with_(HASHED, """
 SELECT count(*) AS groups, coalesce(CAST(sum(file_count) AS BIGINT), 0) AS files,
@@ -446,11 +462,11 @@ FROM {LARGE_MEMBERS} GROUP BY ALL"""),
     "reset_flags": with_(FILES, "SELECT id, path, FALSE AS is_duplicate FROM files"),
     "upsert_groups_scan": group_upsert("coalesce(o.first_seen, n.first_seen)"),
     "upsert_groups_rebuild": group_upsert("coalesce(n.first_seen, o.first_seen)"),
-    "run_progress": with_(HASHED + "," + PROGRESS, "SELECT * FROM progress"),
-    "run_batches": with_(HASHED + "," + PROGRESS, """
-SELECT (processed_groups - 1) // 20 + 1 AS batch, max(processed_groups) AS processed_groups,
-       max(processed_files) AS processed_files, max(processed_size) AS processed_size, max(hash_value) AS last_hash_value
-FROM progress GROUP BY batch"""),
+    "rebuild_ranges": with_(HASHED, """
+SELECT CAST(n AS INTEGER) AS range, count(hash_value) AS groups, coalesce(CAST(sum(file_count) AS BIGINT), 0) AS files,
+       coalesce(CAST(sum(total_size) AS BIGINT), 0) AS size, max(hash_value) AS last_hash_value
+FROM range(16) AS r(n) LEFT JOIN (SELECT * FROM groups WHERE hash_value > '8') g
+  ON substr(hash_value, 1, 1) = printf('%x', n) GROUP BY n"""),
     "run_ledger_latest": with_(HASHED + "," + LEDGER, "SELECT * FROM latest"),
     "upsert_files": with_(HASHED + "," + SECOND, """
 SELECT coalesce(o.id, n.id) AS id, coalesce(o.path, n.path) AS path, coalesce(o.dir_path, n.dir_path) AS dir_path,
@@ -474,11 +490,13 @@ SELECT id, CASE WHEN parent_path IS NOT NULL THEN CAST('0x' || substr(md5(parent
 FROM extra"""),
     "top_files_all": with_(HASHED + "," + TOPS, "SELECT rank, id, path, filename, size, mtime, hash_value, tag FROM top_all"),
     "top_files_nonempty": with_(HASHED + "," + TOPS, "SELECT rank, id, path, size, mtime, tag, top_folder FROM top"),
+    "top_files_large_limit": with_(FILES, """
+SELECT rank, id, path, size FROM (SELECT *, row_number() OVER (ORDER BY size DESC, path) AS rank FROM files) WHERE rank <= 1500"""),
     "report_summary": with_(HASHED + "," + SUMMARY, "SELECT * FROM summary"),
     "wasted_space": with_(HASHED, "SELECT coalesce(CAST(sum((file_count - 1) * size) AS BIGINT), 0) AS wasted_space FROM sized"),
     "scalar_texts": with_(FILES, f"""
 SELECT id, {bytes_text('size')} AS size_text, {bytes_text('(size * size * 1024)')} AS big_text,
-       {cut('path', 40)} AS short_path, {escaped(MARKUP)} AS plain_html, {templated(MARKUP)} AS template_html,
+       {cut('path', 40)} AS short_path, '/ñandú/文書/...' AS wide_path, '/ñandú/文...' AS wider_path, {escaped(MARKUP)} AS plain_html, {templated(MARKUP)} AS template_html,
        {stamp('mtime')} AS time_text, {rfc('mtime')} AS rfc3339,
        round(size * 100.0::DOUBLE / (size + 1000), 6) AS share,
        CASE WHEN id % 60 > 0 THEN round(CAST(size AS DOUBLE) / (id % 60), 6) ELSE 0.0 END AS rate,
@@ -503,21 +521,24 @@ FROM {LARGE_MEMBERS} GROUP BY ALL"""),
     "report_sheet_top": with_(HASHED + "," + TOPS, f"""
 SELECT id AS "ID", path AS "Path", size AS "Size", {stamp('mtime')} AS "Modified", tag AS "Type",
        top_folder AS "Folder" FROM top"""),
-    "report_json": with_(HASHED + "," + SUMMARY + "," + TOPS, f"""
-SELECT (SELECT CAST(to_json(list(struct_pack(id := id, path := path, size := size, mtime := {stamp('mtime')},
-                                         loaithumuc := tag, thumuc := top_folder) ORDER BY rank)) AS VARCHAR)
-        FROM top) AS "topFiles",
-       CAST(to_json(struct_pack(totalFiles := total_files, totalSize := total_size, uniqueFiles := unique_files,
+    "report_json": with_(HASHED + "," + SUMMARY, """
+SELECT CAST(to_json(struct_pack(
+         summary := struct_pack(totalFiles := total_files, totalSize := total_size, uniqueFiles := unique_files,
                                 duplicateFiles := duplicate_files_ref, wastedSpace := wasted_space,
-                                averageFileSize := average_file_size)) AS VARCHAR) AS summary,
-       CAST(to_json(struct_pack(totalFiles := total_files, totalSize := total_size,
-                                duplicateFiles := duplicate_files_ref, duplicateSize := wasted_space)) AS VARCHAR) AS metrics
+                                averageFileSize := average_file_size),
+         metrics := struct_pack(totalFiles := total_files, totalSize := total_size,
+                                duplicateFiles := duplicate_files_ref, duplicateSize := wasted_space),
+         generatedAt := '2024-06-01T12:00:00.000Z')) AS VARCHAR) AS document
 FROM summary"""),
+    "report_json_top": with_(HASHED + "," + TOPS, f"""
+SELECT CAST(to_json(struct_pack(rank := rank, id := id, path := path, size := size, mtime := {stamp('mtime')},
+                                loaithumuc := tag, thumuc := top_folder)) AS VARCHAR) AS document FROM top"""),
     "report_json_groups": with_(HASHED, f"""
-SELECT g.hash_value AS hash, g.size, g.file_count AS count,
-       CAST(to_json(list(struct_pack(id := h.id, path := h.path, size := h.size, mtime := {stamp('h.mtime')},
-                                     loaithumuc := h.tag, thumuc := h.top_folder) ORDER BY h.path)) AS VARCHAR) AS files,
-       g.total_size AS "totalSize", CAST(1 AS BIGINT) AS page
+SELECT CAST(to_json(struct_pack(
+         hash := g.hash_value, size := g.size, count := g.file_count,
+         files := list(struct_pack(id := h.id, path := h.path, size := h.size, mtime := {stamp('h.mtime')},
+                                   loaithumuc := h.tag, thumuc := h.top_folder) ORDER BY h.path),
+         "totalSize" := g.total_size, page := 1)) AS VARCHAR) AS document
 FROM {LARGE_MEMBERS} GROUP BY g.hash_value, g.size, g.file_count, g.total_size"""),
     "browse_orders": with_(HASHED_FOLDERS + "," + ROLLED + "," + LEDGER, " UNION ALL ".join(BROWSES)),
     "scope_files": with_(FILES, f"SELECT id, path FROM files WHERE {IN_SCOPE}"),
@@ -529,6 +550,7 @@ SELECT (SELECT count(*) FROM folders WHERE {IN_SCOPE}) AS folders,
     "delete_scope_remaining": with_(FILES, f"SELECT id, path, size FROM files WHERE NOT {IN_SCOPE}"),
     "delete_scope_remaining_folders": with_(FOLDERS, f"SELECT id, path FROM folders WHERE NOT {IN_SCOPE}"),
     "delete_filter_selection": with_(FILES, f"SELECT id, path FROM files WHERE {IN_FILTER}"),
+    "delete_filter_limited_large": with_(FILES, "SELECT id, path FROM files WHERE starts_with(path, '/share/corpus/') ORDER BY id LIMIT 1200"),
     "delete_filter_limited": with_(FILES, f"SELECT id, path FROM files WHERE {IN_FILTER} ORDER BY id LIMIT 500"),
     "delete_size_zero_selection": with_(FILES, "SELECT id, path FROM files WHERE size = 0"),
     "delete_filter_remaining": with_(FILES, f"SELECT id, path, size FROM files WHERE NOT {IN_FILTER}"),
@@ -536,6 +558,12 @@ SELECT (SELECT count(*) FROM folders WHERE {IN_SCOPE}) AS folders,
     "delete_dry_run_outcomes": with_(FILES, f"""
 SELECT count(*) AS db_deleted, CAST(0 AS BIGINT) AS disk_deleted, CAST(0 AS BIGINT) AS errors
 FROM files WHERE {IN_FILTER}"""),
+    "delete_outcomes": with_(FILES, f"""
+SELECT count(*) FILTER (id % 5 = 0 OR id % 7 <> 0) AS db_deleted, count(*) FILTER (id % 5 <> 0 AND id % 7 <> 0) AS disk_deleted,
+       count(*) FILTER (id % 5 <> 0 AND id % 7 = 0) AS errors
+FROM files WHERE {IN_FILTER}"""),
+    "delete_purged_remaining": with_(FILES, f"""
+SELECT id, path, size FROM files WHERE NOT ({IN_FILTER} AND (id % 5 = 0 OR id % 7 <> 0))"""),
     "deletion_list": with_(FOLDERS, f"""
 SELECT 'folder' AS type, id, path FROM folders WHERE {IN_SCOPE}
 UNION ALL SELECT 'file', id, path FROM files WHERE {IN_SCOPE}"""),

@@ -16,6 +16,7 @@ from checks.inventory import (
     table,
     with_folder_id,
 )
+from filecairn import jobs
 from filecairn.functions import paths, text, times
 from filecairn.operators import candidates as cand
 from filecairn.operators import duplicates as dup
@@ -24,9 +25,10 @@ from filecairn.operators import renderers as out
 from filecairn.operators import reports as rep
 from filecairn.operators import retention as ret
 from filecairn.operators import upserts as ups
-from filecairn.plans.cut import work_path
+from filecairn.plans import balance
+from filecairn.plans.cut import work_path, written
 from filecairn.schemas import ROLLUPS, upgrade_folders
-from filecairn.sources import snapshots, tables
+from filecairn.sources import content, snapshots, tables, tree
 from filecairn.streaming import rebuild
 
 SCOPE = "/share/corpus/documents/src1"
@@ -74,7 +76,9 @@ def exclude_dirs(spark, sf):
 
 
 def schema_upgrade_defaults(spark, sf):
-    old = folder_table(spark, sf).drop(*ROLLUPS)
+    """Folders of an older table: two rollups are absent, and of one that is there some are NULL."""
+    rolled = fold.with_rollups(folder_table(spark, sf), plain_files(spark, sf))
+    old = rolled.drop("subtree_size", "subtree_files").withColumn("size", F.when(F.length("path") % 2 == 0, F.col("size")))
     return upgrade_folders(old).select("path", "name", "tag", *ROLLUPS)
 
 
@@ -162,8 +166,55 @@ def hash_write_back(spark, sf):
     return cand.write_back(plain_files(spark, sf), found).select("id", "path", "size", "hash_value")
 
 
+def _mixed_hashes(spark, sf):
+    """Hashes of which some failed and some files were empty when they were read."""
+    found = cand.hash_candidates(content_files(spark, sf))
+    failed, gone = F.col("id") % 7 == 0, F.col("id") % 11 == 0
+    return found.select(
+        "id", "path", "size", F.split("path", "/")[3].alias("tag"),
+        F.when(~failed & ~gone, F.col("hash_value")).alias("hash_value"),
+        F.when(failed, F.concat(F.lit("cannot read "), F.col("id") % 3)).alias("hash_error"),
+    )
+
+
 def hash_outcomes(spark, sf):
-    return cand.hash_metrics(cand.hash_candidates(content_files(spark, sf)))
+    return cand.hash_metrics(_mixed_hashes(spark, sf))
+
+
+def _failing_entries(spark, sf):
+    """A crawl in which some files vanished and some directories could not be listed, met through two roots."""
+    files = plain_files(spark, sf)
+    stage = F.when(F.col("id") % 13 == 0, "stat").when(F.col("id") % 13 == 1, "list")
+    entries = files.select(
+        F.when(stage.isNotNull(), "error").otherwise("file").alias("kind"), "path",
+        F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))).alias("root_no"),
+        "tag", stage.alias("stage"),
+    )
+    return entries.withColumn("tag", F.concat("tag", F.lit("-"), "root_no")).withColumn(
+        "error", F.when(F.col("kind") == "error", F.concat(F.lit("gone through root "), "root_no"))
+    )
+
+
+def _scan_errors(spark, sf):
+    return cand.scan_errors(tree.entry_errors(_failing_entries(spark, sf)), _mixed_hashes(spark, sf))
+
+
+def scan_errors(spark, sf):
+    """What a scan could not list, look at or read: one row per path and stage."""
+    return _scan_errors(spark, sf)
+
+
+def scan_error_counts(spark, sf):
+    return cand.error_counts(_scan_errors(spark, sf))
+
+
+BIN_BYTES = 512 * 1024
+
+
+def hash_bin_loads(spark, sf):
+    """Files and bytes of each hash task; what opening a file costs counts as bytes."""
+    binned, _ = content.hash_bins(cand.candidate_files(plain_files(spark, sf)), BIN_BYTES)
+    return balance.bin_loads(binned, "load")
 
 
 # Duplicates
@@ -271,35 +322,33 @@ def upsert_groups_rebuild(spark, sf):
     return dup.upsert_groups_rebuild(*_group_tables(spark, sf), now())
 
 
-def run_progress(spark, sf):
-    return rebuild.progress(dup.duplicate_groups(hashed_inventory(spark, sf)))
+def _rebuilds(spark, sf):
+    """Three rebuilds, one after another: of all files, after a hash, and of the documents alone."""
+    files = written(hashed_inventory(spark, sf), "files")
+    work = work_path(spark, "rebuilds")
+    rebuild.rebuild_groups(files, work, 1, digits=1, now=now())
+    rebuild.rebuild_groups(files, work, 2, FROM_HASH, digits=1, now=now())
+    rebuild.rebuild_groups(files.filter("tag = 'documents'"), work, 3, digits=0, now=now())
+    return work
 
 
-def run_batches(spark, sf):
-    return rebuild.batch_progress(dup.duplicate_groups(hashed_inventory(spark, sf)), 20)
+def rebuild_ranges(spark, sf):
+    """What each range of a rebuild after a hash has written; the ranges before it are empty."""
+    return rebuild.written_ranges(spark, _rebuilds(spark, sf), 2)
+
+
+def _runs(spark, sf):
+    work = _rebuilds(spark, sf)
+    events = [spark.read.schema(rebuild.EVENTS).parquet(f"{work}/run={n}/ledger") for n in (1, 2, 3)]
+    return rebuild.latest_runs(events[0].unionByName(events[1]).unionByName(events[2]))
 
 
 def run_ledger_latest(spark, sf):
-    """One run per tag: a start, an event per batch of its groups, and the end."""
-    files = hashed_inventory(spark, sf)
-    run = F.expr("case tag when 'documents' then 1L when 'pages' then 2L when 'conversations' then 3L else 4L end")
-    cells = files.filter(dup.hash_present(F.col("hash_value"))).groupBy(run.alias("id"), F.substring("hash_value", 1, 1).alias("range"))
-    parts = cells.agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.max("hash_value").alias("last"))
-    base = F.expr("timestamp_ntz'2024-06-01 00:00:00'")
-    none = F.lit(None)
-    running = parts.select(
-        "id", base.alias("started_at"), none.cast("timestamp_ntz").alias("finished_at"),
-        F.lit("running").alias("status"), "files", "size", F.col("last").alias("last_hash_value"),
-        F.expr("timestampadd(MINUTE, cast(conv(range, 16, 10) as int), timestamp_ntz'2024-06-01 00:00:00')").alias("recorded_at"),
+    """State of three real runs as of their last events."""
+    return _runs(spark, sf).select(
+        "id", "status", F.col("finished_at").isNotNull().alias("finished"), "total_groups", "processed_groups",
+        "processed_files", "processed_size", "last_hash_value",
     )
-    end = F.expr("timestamp_ntz'2024-06-01 01:00:00'")
-    done = parts.groupBy("id").agg(F.sum("files").alias("files"), F.sum("size").alias("size"), F.max("last").alias("last")).filter(
-        "id <> 2"
-    ).select(
-        "id", base.alias("started_at"), end.alias("finished_at"), F.lit("done").alias("status"),
-        "files", "size", F.col("last").alias("last_hash_value"), end.alias("recorded_at"),
-    )
-    return rebuild.latest_runs(running.unionByName(done))
 
 
 # Upserts
@@ -345,6 +394,11 @@ def top_files_nonempty(spark, sf):
     )
 
 
+def top_files_large_limit(spark, sf):
+    """A limit beyond Spark's own top-k: a cut above the last row wanted, then only those rows are sorted."""
+    return rep.largest_files(plain_files(spark, sf), 1500).select("rank", "id", "path", "size")
+
+
 def report_summary(spark, sf):
     return rep.summary(hashed_inventory(spark, sf))
 
@@ -362,6 +416,8 @@ def scalar_texts(spark, sf):
         text.format_bytes(size).alias("size_text"),
         text.format_bytes(size * size * 1024).alias("big_text"),
         text.truncate(path, 40).alias("short_path"),
+        text.truncate(F.concat(F.lit("/ñandú/文書/😀"), path), 21).alias("wide_path"),
+        text.truncate(F.concat(F.lit("/ñandú/文書/😀"), path), 15).alias("wider_path"),
         text.escape_html(markup).alias("plain_html"),
         text.escape_html(markup, text.TEMPLATE_ESCAPES).alias("template_html"),
         text.time_text(F.col("mtime")).alias("time_text"),
@@ -385,7 +441,7 @@ def report_console_basic(spark, sf):
 
 
 def report_html_basic(spark, sf):
-    return out.basic_html(*_basic(spark, sf), TOP)
+    return out.basic_html(*_basic(spark, sf), TOP, now())
 
 
 def report_sheet_basic_top(spark, sf):
@@ -408,7 +464,7 @@ def report_rows_console(spark, sf):
 
 
 def report_rows_html(spark, sf):
-    return out.summary_html(*_summary_parts(spark, sf))
+    return out.summary_html(*_summary_parts(spark, sf), now())
 
 
 def report_rows_sheet(spark, sf):
@@ -423,15 +479,28 @@ def report_sheet_top(spark, sf):
     return out.summary_top_sheet(rep.largest_files(plain_files(spark, sf), nonempty=True))
 
 
-def report_json(spark, sf):
+def _json_report(spark, sf, name):
+    """One folder of the JSON report, written as the job writes it and read back as text."""
     files = hashed_inventory(spark, sf)
-    head = out.json_head(rep.summary(files), rep.largest_files(files, nonempty=True))
-    return head.select(*[F.to_json(c).alias(c) for c in ("topFiles", "summary", "metrics")])
+    documents = jobs.json_report(
+        rep.summary(files), rep.largest_files(files, nonempty=True), dup.nested_members(*_large(spark, sf)),
+        F.expr("timestamp'2024-06-01 12:00:00Z'"),
+    )[name]
+    path = work_path(spark, "json")
+    documents.write.json(path)
+    return spark.read.text(path).select(F.col("value").alias("document"))
+
+
+def report_json(spark, sf):
+    return _json_report(spark, sf, "report")
+
+
+def report_json_top(spark, sf):
+    return _json_report(spark, sf, "top_files")
 
 
 def report_json_groups(spark, sf):
-    docs = out.json_groups(dup.nested_members(*_large(spark, sf)))
-    return docs.withColumn("files", F.to_json("files"))
+    return _json_report(spark, sf, "duplicates")
 
 
 def browse_orders(spark, sf):
@@ -443,7 +512,7 @@ def browse_orders(spark, sf):
         (files, rep.FILE_ORDERS, "files", "path"),
         (folders, rep.FOLDER_ORDERS, "folders", "path"),
         (groups, rep.GROUP_ORDERS, "groups", "hash_value"),
-        (run_ledger_latest(spark, sf), rep.RUN_ORDERS, "runs", "id"),
+        (_runs(spark, sf), rep.RUN_ORDERS, "runs", "id"),
     ]
     pages = [
         rep.browse(df, orders, name, key).select(
@@ -499,6 +568,11 @@ def delete_filter_limited(spark, sf):
     return ret.select_for_deletion(plain_files(spark, sf), ret.deletion_filter(*FILTER), 500)
 
 
+def delete_filter_limited_large(spark, sf):
+    chosen = ret.select_for_deletion(plain_files(spark, sf), ret.deletion_filter("/share/corpus"), 1200)
+    return chosen.select("id", "path")
+
+
 def delete_size_zero_selection(spark, sf):
     return ret.select_for_deletion(plain_files(spark, sf), ret.deletion_filter("/share/corpus", size_zero=True))
 
@@ -520,6 +594,21 @@ def delete_dry_run_outcomes(spark, sf):
     return ret.outcome_counts(ret.purge_files(ret.select_for_deletion(files, ret.deletion_filter(*FILTER))))
 
 
+def delete_outcomes(spark, sf):
+    """Counts over outcomes of every kind."""
+    chosen = ret.select_for_deletion(plain_files(spark, sf), ret.deletion_filter(*FILTER))
+    kind = F.when(F.col("id") % 5 == 0, "missing").when(F.col("id") % 7 == 0, "error").otherwise("deleted")
+    return ret.outcome_counts(chosen.withColumn("outcome", kind))
+
+
+def delete_purged_remaining(spark, sf):
+    """Files left after a purge in which some could not be removed: those stay."""
+    files = plain_files(spark, sf)
+    chosen = ret.select_for_deletion(files, ret.deletion_filter(*FILTER))
+    kind = F.when(F.col("id") % 5 == 0, "missing").when(F.col("id") % 7 == 0, "error").otherwise("deleted")
+    return ret.without(files, ret.purged(chosen.withColumn("outcome", kind))).select("id", "path", "size")
+
+
 def deletion_list(spark, sf):
     hit = ret.in_scope(SCOPE)
     return ret.deletion_list(plain_files(spark, sf).filter(hit), folder_table(spark, sf).filter(hit))

@@ -4,11 +4,38 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# In path texts, stands before the two hexadecimal digits of a byte that is no UTF-8, and before itself.
+ESCAPE = "\ufffd"
+_NOT_TEXT = re.compile("[\udc80-\udcff]")
+_ESCAPED = re.compile(f"{ESCAPE}({ESCAPE}|[0-9a-f]{{2}})")
+
+
+def path_text(raw: bytes) -> str:
+    """Text of a path without loss: ``path_bytes`` gives the bytes back.
+
+    A path that is UTF-8 is its own text, but for U+FFFD, which is doubled; any other byte is U+FFFD and
+    two hexadecimal digits. Components are mapped one by one, so that the text of a directory
+    is the directory part of the text of what it holds, and no two paths have one text.
+    """
+    text = raw.decode("utf-8", "surrogateescape")
+    if text.isascii():
+        return text
+    return _NOT_TEXT.sub(lambda m: f"{ESCAPE}{ord(m[0]) - 0xDC00:02x}", text.replace(ESCAPE, ESCAPE * 2))
+
+
+def path_bytes(text: str) -> bytes:
+    """The bytes of a path, to open it with."""
+    if ESCAPE in text:
+        text = _ESCAPED.sub(lambda m: ESCAPE if m[1] == ESCAPE else chr(0xDC00 + int(m[1], 16)), text)
+    return text.encode("utf-8", "surrogateescape")
+
+
 def parent_dir(path: Column) -> Column:
     """Directory part of an absolute path; a file directly under ``/`` has ``/``."""
     cut = F.substring(path, F.lit(1), F.length(path) - F.length(base_name(path)) - 1)

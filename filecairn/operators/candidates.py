@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filecairn.functions.text import percent
@@ -75,12 +75,15 @@ def hash_candidates(
 
 
 def write_back(files: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Files with the new hashes; failed and empty results change nothing."""
+    """Files with the new hashes; failed and empty results change nothing.
+
+    Joined by path, the key of the file table, so that a table bucketed by it stays where it is.
+    """
     good = hashes.filter(F.col("hash_error").isNull() & F.col("hash_value").isNotNull()).select(
-        "id", "path", F.col("hash_value").alias("_hash")
+        "path", F.col("hash_value").alias("_hash")
     )
     return (
-        files.join(good, ["id", "path"], "left")
+        files.join(good, "path", "left")
         .withColumn("hash_value", F.coalesce("_hash", "hash_value"))
         .drop("_hash")
         .select(*files.columns)
@@ -103,12 +106,41 @@ def with_content_hashes(files: DataFrame) -> DataFrame:
     return joined.withColumn("hash_value", F.coalesce("hash_value", found)).select(*kept)
 
 
-def hash_metrics(hashes: DataFrame) -> DataFrame:
-    """Processed, successful and failed hashes; a success has a hash and no error."""
+def hash_figures() -> list[Column]:
+    """Figures of a hash stage, as aggregates of its rows.
+
+    A success has a hash and no error; every other row is an error, an empty file's too.
+    """
     good = F.col("hash_error").isNull() & F.col("hash_value").isNotNull()
-    return hashes.agg(
-        F.count("*").alias("processed"),
+    return [
+        F.count(F.lit(1)).alias("processed"),
         F.count_if(good).alias("success"),
         F.count_if(~good).alias("errors"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-    ).withColumn("success_percent", F.round(percent(F.col("success"), F.col("processed")), 2))
+    ]
+
+
+def success_percent() -> Column:
+    return F.round(percent(F.col("success"), F.col("processed")), 2).alias("success_percent")
+
+
+def hash_metrics(hashes: DataFrame) -> DataFrame:
+    """Processed, successful and failed hashes of a finished stage."""
+    return hashes.agg(*hash_figures()).select("*", success_percent())
+
+
+def scan_errors(crawled: DataFrame, hashes: DataFrame) -> DataFrame:
+    """What a scan could not read: path, tag, stage and message.
+
+    ``crawled`` are the errors of the crawl; of ``hashes`` the rows with an error are taken. A file that was empty
+    when it was opened is no error.
+    """
+    unread = hashes.filter(F.col("hash_error").isNotNull()).select(
+        "path", "tag", F.lit("hash").alias("stage"), F.col("hash_error").alias("message")
+    )
+    return crawled.select("path", "tag", "stage", "message").unionByName(unread)
+
+
+def error_counts(errors: DataFrame) -> DataFrame:
+    """Errors per root tag and stage, with the first path of each."""
+    return errors.groupBy("tag", "stage").agg(F.count("*").alias("errors"), F.min("path").alias("first_path"))

@@ -67,19 +67,26 @@ def group_key(by_size: bool) -> Column:
 
 
 def members_of_groups(
-    files: DataFrame, groups: DataFrame, complete: bool = False, rows_per_salt: int = ROWS_PER_SALT
+    files: DataFrame,
+    groups: DataFrame,
+    complete: bool = False,
+    rows_per_salt: int = ROWS_PER_SALT,
+    every: DataFrame | None = None,
 ) -> DataFrame:
     """One row per file of the given groups, with every group column.
 
     Groups are by hash, or by hash and size if they have a size. A hash of very many
     files is salted; ``complete`` says that the groups are all there are of these
-    files, so that their counts already tell which ones to salt.
+    files, so that their counts already tell which ones to salt. ``every`` are all groups
+    where the given ones are some of them.
     """
     by_size = "size" in groups.columns
     rows = hashed_files(files).withColumn("_key", group_key(by_size))
     shared = ["hash_value", "size"] if by_size else ["hash_value"]
     keyed = groups.withColumn("_key", group_key(by_size)).drop(*shared)
     counts = keyed if complete else None
+    if every is not None:
+        counts = every.select(group_key(by_size).alias("_key"), "file_count")
     return salted_join(rows, keyed, "_key", "inner", F.col("path"), counts, rows_per_salt).drop("_key")
 
 
@@ -109,8 +116,8 @@ def ordered_groups(groups: DataFrame) -> DataFrame:
 def nested_members(files: DataFrame, groups: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Group rows with their files nested in path order.
 
-    An array holds at most ``page_size`` files. A larger group continues on further
-    rows, ``page`` 1, 2, ... in path order, so no task ever holds a whole large group.
+    ``groups`` are all groups of these files. An array holds at most ``page_size`` files. A larger group
+    continues on further rows, ``page`` 1, 2, ... in path order, so no task ever holds a whole large group.
     """
     by_size = "size" in groups.columns
     key = ["hash_value", "size"] if by_size else ["hash_value"]
@@ -124,12 +131,12 @@ def nested_members(files: DataFrame, groups: DataFrame, page_size: int = PAGE_SI
             F.sort_array(F.collect_list(file)).alias("files"),
         )
 
-    whole = members_of_groups(files, groups.filter(F.col("file_count") <= page_size))
+    whole = members_of_groups(files, groups.filter(F.col("file_count") <= page_size), every=groups)
     small = nest(whole.withColumn("page", F.lit(1).cast("long")), F.sum("size"))
     large = groups.filter(F.col("file_count") > page_size)
     if large.isEmpty():
         return small
-    members = members_of_groups(files, large).drop("file_count")
+    members = members_of_groups(files, large, every=groups).drop("file_count")
     placed = positions(members, [F.col(c) for c in (*key, "path")], "_position").withColumn(
         "_key", group_key(by_size)
     )
@@ -160,6 +167,18 @@ def mark_duplicates(
     return joined.withColumn("is_duplicate", flag).select(*files.columns)
 
 
+def mark_members(files: DataFrame, groups: DataFrame) -> DataFrame:
+    """The flags of ``mark_duplicates`` where ``groups`` are all there are and no flag is set.
+
+    Only hashes and paths go to the groups and only the members' paths come back, so that a file table bucketed
+    by path is not shuffled.
+    """
+    members = members_of_groups(files.select("path", "hash_value"), groups.select("hash_value", "file_count"), True)
+    member = members.select("path", F.lit(True).alias("_member"))
+    joined = files.join(member, "path", "left").withColumn("is_duplicate", F.coalesce("_member", F.lit(False)))
+    return joined.select(*files.columns)
+
+
 def reset_flags(files: DataFrame) -> DataFrame:
     """All flags cleared."""
     return files.withColumn("is_duplicate", F.lit(False))

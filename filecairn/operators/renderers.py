@@ -94,12 +94,14 @@ def basic_duplicate_sheet(members: DataFrame) -> DataFrame:
 
 def summary_sheet(summary: DataFrame, generated_at: Column | None = None) -> DataFrame:
     """Metric and value rows in display order."""
-    count = {"Total Files": "total_files", "Unique Files": "unique_files", "Duplicate Files": "duplicate_files_ref"}
-    space = {"Total Size": "total_size", "Wasted Space": "wasted_space", "Average File Size": "average_file_size"}
-    # Rows of the summary, in order.
-    shown = ["Total Files", "Total Size", "Unique Files", "Duplicate Files", "Wasted Space", "Average File Size"]
+    # Labels of the summary, in order.
     cells = [
-        (n, F.col(count[n]).cast("string") if n in count else format_bytes(F.col(space[n]))) for n in shown
+        ("Total Files", F.col("total_files").cast("string")),
+        ("Total Size", format_bytes(F.col("total_size"))),
+        ("Unique Files", F.col("unique_files").cast("string")),
+        ("Duplicate Files", F.col("duplicate_files_ref").cast("string")),
+        ("Wasted Space", format_bytes(F.col("wasted_space"))),
+        ("Average File Size", format_bytes(F.col("average_file_size"))),
     ]
     if generated_at is not None:
         cells.insert(0, ("Generated At", time_text(generated_at)))
@@ -133,7 +135,7 @@ def summary_duplicate_sheet(nested: DataFrame) -> DataFrame:
     )
 
 
-# Console lines.
+# Console lines. Their texts are fixed values of the report formats.
 
 
 def basic_console(top: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -248,13 +250,23 @@ def _table_start(headings: list[str]) -> str:
     return "<table><tr>" + "".join(f"<th>{h}</th>" for h in headings) + "</tr>"
 
 
-def basic_html(top: DataFrame, groups: DataFrame, members: DataFrame, top_n: int) -> DataFrame:
+def _generated(one: DataFrame, label: str, at: Column | None) -> list[DataFrame]:
+    """The line that says when a page was made, if that is known."""
+    if at is None:
+        return []
+    return [_line(one.sparkSession.range(1), 0, 1, F.concat(F.lit(f"<p>{label}: "), time_text(at), F.lit("</p>")))]
+
+
+def basic_html(
+    top: DataFrame, groups: DataFrame, members: DataFrame, top_n: int, generated_at: Column | None = None
+) -> DataFrame:
     """Page of two 7-column tables; all text escaped."""
     text = lambda c: escape_html(F.col(c))
     when = rfc3339_text(F.col("mtime"))
     blank = F.lit("")
     return _stack([
         _text(top, 0, 0, _page_start("File Scan Report")),
+        *_generated(top, "Generated on", generated_at),
         _text(top, 1, 0, f"<h2>Top {top_n} Largest Files</h2>" + _table_start(BASIC_TOP_HEADINGS)),
         _line(
             top, 2, 0,
@@ -282,7 +294,9 @@ def basic_html(top: DataFrame, groups: DataFrame, members: DataFrame, top_n: int
     ])
 
 
-def summary_html(summary: DataFrame, top: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+def summary_html(
+    summary: DataFrame, top: DataFrame, groups: DataFrame, members: DataFrame, generated_at: Column | None = None
+) -> DataFrame:
     """Page with the summary figures, the largest files, and a table for each group.
 
     ``groups`` are numbered groups by hash and size, ``members`` their files.
@@ -295,6 +309,7 @@ def summary_html(summary: DataFrame, top: DataFrame, groups: DataFrame, members:
     place = dict(place=F.col("number"), hash_value=F.col("hash_value"))
     return _stack([
         _text(summary, 0, 0, _page_start("Filesystem Analysis Report")),
+        *_generated(summary, "Generated", generated_at),
         _text(summary, 1, 0, "<h2>Summary</h2>"),
         _line(
             summary_sheet(summary).filter(F.col("Metric") != "Average File Size"), 2, 0, metric,
@@ -328,17 +343,19 @@ def summary_html(summary: DataFrame, top: DataFrame, groups: DataFrame, members:
 
 
 def _json_file() -> Column:
-    labels = [F.col("tag").alias("loaithumuc"), F.col("top_folder").alias("thumuc")]
-    return F.struct("id", "path", "size", time_text(F.col("mtime")).alias("mtime"), *labels)
+    return F.struct(
+        "id", "path", "size", time_text(F.col("mtime")).alias("mtime"),
+        F.col("tag").alias("loaithumuc"), F.col("top_folder").alias("thumuc"),
+    )
 
 
 def json_top_files(top: DataFrame) -> DataFrame:
-    """One document per top file; for reports with too many for one document."""
+    """One document per top file."""
     return top.select("rank", _json_file().alias("file")).select("rank", "file.*")
 
 
-def json_summary(summary: DataFrame) -> DataFrame:
-    """One document: summary and metrics."""
+def json_summary(summary: DataFrame, generated_at: Column | None = None) -> DataFrame:
+    """One document: summary, metrics and, if it is known, when the report was made."""
     shown = F.struct(
         F.col("total_files").alias("totalFiles"),
         F.col("total_size").alias("totalSize"),
@@ -353,14 +370,8 @@ def json_summary(summary: DataFrame) -> DataFrame:
         F.col("duplicate_files_ref").alias("duplicateFiles"),
         F.col("wasted_space").alias("duplicateSize"),
     )
-    return summary.select(shown.alias("summary"), metrics.alias("metrics"))
-
-
-def json_head(summary: DataFrame, top: DataFrame) -> DataFrame:
-    """One document: summary, metrics and the top files in rank order."""
-    ranked = F.sort_array(F.collect_list(F.struct("rank", _json_file().alias("file"))))
-    files = top.agg(F.transform(ranked, lambda r: r["file"]).alias("topFiles"))
-    return json_summary(summary).select(files.scalar().alias("topFiles"), "summary", "metrics")
+    made = [] if generated_at is None else [generated_at.alias("generatedAt")]
+    return summary.select(shown.alias("summary"), metrics.alias("metrics"), *made)
 
 
 def json_groups(nested: DataFrame) -> DataFrame:

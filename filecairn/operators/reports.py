@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filecairn.operators.duplicates import hash_present
@@ -15,7 +15,7 @@ MIN_DUPLICATE_SIZE = 1024
 def largest_files(files: DataFrame, n: int = TOP_N, nonempty: bool = False) -> DataFrame:
     """Top ``n`` files by size with their rank; ``nonempty`` leaves out zero sizes."""
     rows = files.filter(F.col("size") > 0) if nonempty else files
-    return ranked(rows, [F.desc("size"), F.asc("path")], n)
+    return ranked(rows, [("size", True), ("path", False)], n)
 
 
 def summary(files: DataFrame) -> DataFrame:
@@ -46,35 +46,27 @@ def wasted_space(groups: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(extra), F.lit(0)).alias("wasted_space"))
 
 
-def _orders(**named: list[tuple[str, bool]]) -> dict[str, list[tuple[str, bool]]]:
-    return named
-
-
 # Browse orders offered on each table: (column, descending), ties broken by the key.
-FILE_ORDERS = _orders(
-    by_mtime=[("mtime", True)],
-    by_folder_size=[("dir_path", False), ("size", True)],
-    by_folder_tag_size=[("dir_path", False), ("tag", False), ("size", True)],
-    by_size_mtime=[("size", True), ("mtime", True)],
-    by_tag=[("tag", False)],
-    by_extension=[("file_ext", False)],
-)
-FOLDER_ORDERS = _orders(
-    by_size=[("size", True)],
-    by_number_files=[("number_files", True)],
-    by_subtree_size=[("subtree_size", True)],
-    by_subtree_files=[("subtree_files", True)],
-    by_mtime=[("mtime", True)],
-    by_tag=[("tag", False)],
-)
-GROUP_ORDERS = _orders(by_total_size=[("total_size", True)], by_file_count=[("file_count", True)])
-RUN_ORDERS = _orders(by_status=[("status", False)], by_started_at=[("started_at", True)])
-
-
-def _order_columns(order: list[tuple[str, bool]], key: str) -> list[Column]:
-    return [*[F.desc(c) if down else F.asc(c) for c, down in order], F.asc(key)]
+FILE_ORDERS = {
+    "by_mtime": [("mtime", True)],
+    "by_folder_size": [("dir_path", False), ("size", True)],
+    "by_folder_tag_size": [("dir_path", False), ("tag", False), ("size", True)],
+    "by_size_mtime": [("size", True), ("mtime", True)],
+    "by_tag": [("tag", False)],
+    "by_extension": [("file_ext", False)],
+}
+FOLDER_ORDERS = {
+    "by_size": [("size", True)],
+    "by_number_files": [("number_files", True)],
+    "by_subtree_size": [("subtree_size", True)],
+    "by_subtree_files": [("subtree_files", True)],
+    "by_mtime": [("mtime", True)],
+    "by_tag": [("tag", False)],
+}
+GROUP_ORDERS = {"by_total_size": [("total_size", True)], "by_file_count": [("file_count", True)]}
+RUN_ORDERS = {"by_status": [("status", False)], "by_started_at": [("started_at", True)]}
 
 
 def browse(df: DataFrame, orders: dict, name: str, key: str, n: int = TOP_N) -> DataFrame:
     """Top ``n`` rows of a table in one of its browse orders, with their rank."""
-    return ranked(df, _order_columns(orders[name], key), n)
+    return ranked(df, [*orders[name], (key, False)], n)

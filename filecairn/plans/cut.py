@@ -41,3 +41,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of whatever file system; none if there is no such folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(jpath)] if system.exists(jpath) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of whatever file system."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -67,11 +67,39 @@ DUPLICATE_RUNS = StructType([
     _field("note", StringType()),
 ])
 
+# Hashed files only, in the order of their hashes: what groups, resuming and the rebuild read.
+FILE_HASHES = StructType([
+    _field("hash_value", StringType(), False),
+    _field("size", LongType(), False),
+    _field("mtime", TimestampType(), False),
+    _field("id", LongType(), False),
+])
+
+# Stages: root, list and stat in the crawl, hash when content is read.
+SCAN_ERRORS = StructType([
+    _field("path", StringType(), False),
+    _field("tag", StringType()),
+    _field("stage", StringType(), False),
+    _field("message", StringType()),
+])
+
+# What purges did to files on disk: deleted, missing (gone before the purge began) or error.
+PURGE_LOG = StructType([
+    _field("id", LongType(), False),
+    _field("path", StringType(), False),
+    _field("outcome", StringType(), False),
+    _field("message", StringType()),
+    _field("purged_at", TimestampType(), False),
+])
+
 TABLES = {
     "files": FILES,
+    "file_hashes": FILE_HASHES,
     "folders": FOLDERS,
     "duplicate_groups": DUPLICATE_GROUPS,
     "duplicate_runs": DUPLICATE_RUNS,
+    "scan_errors": SCAN_ERRORS,
+    "purge_log": PURGE_LOG,
 }
 
 ROLLUPS = ["size", "number_files", "subtree_size", "subtree_files"]

@@ -5,16 +5,18 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from filecairn.functions.paths import parent_dir, path_id
+from filecairn.functions.paths import parent_dir, path_bytes, path_id, path_text
 from filecairn.plans.cut import work_path, written
 from filecairn.sources.tables import DEFAULT_EXCLUDED, describe, regular_files
 
+# What a crawl writes; rows of kind ``error`` say at which stage (root, list, stat) and why.
 ENTRY = StructType([
     StructField("kind", StringType(), False),
     StructField("path", StringType(), False),
@@ -22,6 +24,7 @@ ENTRY = StructType([
     StructField("mtime_us", LongType()),
     StructField("tag", StringType()),
     StructField("root_no", IntegerType()),
+    StructField("stage", StringType()),
     StructField("error", StringType()),
 ])
 FRONTIER = StructType([ENTRY["path"], ENTRY["tag"], ENTRY["root_no"]])
@@ -29,37 +32,49 @@ FRONTIER = StructType([ENTRY["path"], ENTRY["tag"], ENTRY["root_no"]])
 _OUT_ROWS = 10_000
 
 
-def _text(path: str) -> str:
-    return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+class Crawl(NamedTuple):
+    """Inventory frames of a crawl, and what it could not read."""
+
+    files: DataFrame
+    folders: DataFrame
+    errors: DataFrame
+
+
+def _failed(path: str, tag: str, root_no: int, stage: str, problem: OSError | str) -> tuple:
+    return ("error", path, None, None, tag, root_no, stage, str(problem))
 
 
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A folder row and a first frontier row for each root that is a directory."""
+    """A folder row and a first frontier row for each root that is a directory, an error row for others."""
     for batch in batches:
         rows = []
         for root in batch.itertuples():
             try:
-                info = os.lstat(root.path)
-            except OSError:
+                info = os.lstat(path_bytes(root.path))
+            except OSError as problem:
+                rows.append(_failed(root.path, root.tag, root.root_no, "root", problem))
                 continue
             if stat.S_ISDIR(info.st_mode):
-                seen = (root.path, info.st_size, info.st_mtime_ns // 1000, root.tag, root.root_no, None)
+                seen = (root.path, info.st_size, info.st_mtime_ns // 1000, root.tag, root.root_no, None, None)
                 rows += [("folder", *seen), ("todo", *seen)]
+            else:
+                rows.append(_failed(root.path, root.tag, root.root_no, "root", "not a directory"))
         yield pd.DataFrame(rows, columns=ENTRY.names, dtype=object)
 
 
-def _lister(exclude: frozenset[str], budget: int):
+def _lister(exclude: frozenset[bytes], budget: int):
     """List frontier directories depth-first; past ``budget`` entries the rest goes back.
 
-    What a task holds is bounded by the budget, also for directories of any size.
+    What a task holds is bounded by the budget, also for directories of any size. Directories are
+    opened by their bytes; only what leaves the task is text.
     """
 
     def entries(first: str, tag: str, root_no: int) -> Iterator[tuple]:
-        pending, seen = [first], 0
+        pending, seen = [path_bytes(first)], 0
         while pending:
             folder = pending.pop()
             if seen >= budget:
-                yield ("todo", _text(folder), None, None, tag, root_no, None)
+                yield ("todo", path_text(folder), None, None, tag, root_no, None, None)
                 continue
             try:
                 with os.scandir(folder) as listing:
@@ -67,11 +82,12 @@ def _lister(exclude: frozenset[str], budget: int):
                         seen += 1
                         try:
                             info = item.stat(follow_symlinks=False)
-                        except OSError:
+                        except OSError as problem:
+                            yield _failed(path_text(item.path), tag, root_no, "stat", problem)
                             continue
                         if stat.S_ISDIR(info.st_mode) and item.name in exclude:
                             continue
-                        shown = (_text(item.path), info.st_size, info.st_mtime_ns // 1000, tag, root_no, None)
+                        shown = (path_text(item.path), info.st_size, info.st_mtime_ns // 1000, tag, root_no, None, None)
                         if stat.S_ISDIR(info.st_mode):
                             yield ("folder", *shown)
                             if seen < budget:
@@ -81,7 +97,7 @@ def _lister(exclude: frozenset[str], budget: int):
                         elif stat.S_ISREG(info.st_mode):
                             yield ("file", *shown)
             except OSError as problem:
-                yield ("error", _text(folder), None, None, tag, root_no, str(problem))
+                yield _failed(path_text(folder), tag, root_no, "list", problem)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
@@ -97,6 +113,11 @@ def _lister(exclude: frozenset[str], budget: int):
     return run
 
 
+def _root_text(path: str) -> str:
+    """Text of a root as the caller names it."""
+    return path_text(os.fsencode(os.path.abspath(path)))
+
+
 def crawl_entries(
     spark: SparkSession,
     roots: list[tuple[str, str]],
@@ -107,31 +128,31 @@ def crawl_entries(
     """All folder, file and error rows below the roots.
 
     Each round lists the current frontier in parallel and is written to the shared
-    folder before the next starts, so a lost executor repeats one round at most.
+    folder before the next starts, so a lost executor repeats one round at most. Each kind of row
+    has a folder of its own, so that whoever wants one kind reads only that.
     """
     out = work_path(spark, "crawl")
     width = tasks or max(spark.sparkContext.defaultParallelism * 4, 32)
     seeds = spark.createDataFrame(
-        [(os.path.abspath(path), tag, n) for n, (path, tag) in enumerate(roots)], FRONTIER
+        [(_root_text(path), tag, n) for n, (path, tag) in enumerate(roots)], FRONTIER
     )
     found = seeds.mapInPandas(_roots, ENTRY)
-    lister = _lister(frozenset(exclude), budget)
+    lister = _lister(frozenset(map(os.fsencode, exclude)), budget)
     rounds = 0
     while True:
         here = f"{out}/round={rounds}"
-        found.write.parquet(here)
+        found.write.partitionBy("kind").parquet(here)
         frontier = spark.read.schema(ENTRY).parquet(here).filter("kind = 'todo'").select(*FRONTIER.names)
         if frontier.isEmpty():
             break
         found = frontier.repartition(width, "path").mapInPandas(lister, ENTRY)
         rounds += 1
-    return spark.read.schema(ENTRY).parquet(*[f"{out}/round={n}" for n in range(rounds + 1)]).filter(
-        "kind != 'todo'"
-    )
+    every = spark.read.schema(ENTRY).option("basePath", out).parquet(*[f"{out}/round={n}" for n in range(rounds + 1)])
+    return every.filter("kind != 'todo'").select(*ENTRY.names)
 
 
 def _overlap(roots: list[tuple[str, str]]) -> bool:
-    paths = sorted(os.path.abspath(path).rstrip("/") + "/" for path, _ in roots)
+    paths = sorted(_root_text(path).rstrip("/") + "/" for path, _ in roots)
     return any(b.startswith(a) for a, b in zip(paths, paths[1:]))
 
 
@@ -144,18 +165,30 @@ def once_per_path(entries: DataFrame) -> DataFrame:
     )
 
 
+def entry_errors(entries: DataFrame) -> DataFrame:
+    """What could not be read: path, tag, stage and message, once for each path and stage."""
+    return entries.filter("kind = 'error'").groupBy("path", "stage").agg(
+        F.min_by("tag", "root_no").alias("tag"), F.min_by("error", "root_no").alias("message")
+    ).select("path", "tag", "stage", "message")
+
+
 def crawl(
     spark: SparkSession,
     roots: list[tuple[str, str]],
     exclude: list[str] = DEFAULT_EXCLUDED,
     budget: int = 20_000,
     tasks: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Files and folders of all ``(root, tag)`` pairs as inventory frames."""
-    entries = crawl_entries(spark, roots, exclude, budget, tasks).filter("kind != 'error'")
+) -> Crawl:
+    """Files, folders and errors of all ``(root, tag)`` pairs as inventory frames.
+
+    A root that is no directory, a directory that cannot be listed and an entry that is gone when it is
+    looked at give no file or folder rows but an error row.
+    """
+    every = crawl_entries(spark, roots, exclude, budget, tasks)
+    entries = every.filter("kind != 'error'")
     if _overlap(roots):
         entries = written(once_per_path(entries), "entries")
-    tops = [os.path.abspath(path) for path, _ in roots]
+    tops = [_root_text(path) for path, _ in roots]
     mtime = F.timestamp_micros("mtime_us").alias("mtime")
     files = describe(regular_files(entries).select("path", "size", mtime, "tag")).select(
         path_id(F.col("path")).alias("id"),
@@ -175,7 +208,7 @@ def crawl(
         "tag",
         *[F.lit(0).cast("long").alias(c) for c in ("size", "number_files", "subtree_size", "subtree_files")],
     )
-    return files, folders
+    return Crawl(files, folders, entry_errors(every))
 
 
 def _without_parent(tops: list[str]) -> list[str]:

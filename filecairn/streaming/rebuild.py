@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampType
 
 from filecairn.operators.duplicates import duplicate_groups, hashed_files
-from filecairn.plans.cut import exists
-from filecairn.plans.ordering import running_totals
+from filecairn.plans.cut import children, exists
 from filecairn.schemas import DUPLICATE_RUNS
 
+# Ranges of a rebuild: 256 for two digits of the hash.
+RANGE_DIGITS = 2
 PART_SCHEMA = "hash_value string, file_count bigint, total_size bigint, first_seen timestamp"
 
 
@@ -33,35 +34,15 @@ def latest_runs(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(last).select("id", "last.*")
 
 
-def progress(groups: DataFrame, prefix: int = 3) -> DataFrame:
-    """Cumulative groups, files and bytes at each group in hash order."""
-    return running_totals(
-        groups.select("hash_value", "file_count", "total_size"),
-        "hash_value",
-        {
-            "processed_groups": F.lit(1).cast("long"),
-            "processed_files": F.col("file_count"),
-            "processed_size": F.col("total_size"),
-        },
-        prefix,
-    )
-
-
-def batch_progress(groups: DataFrame, batch: int = 500, prefix: int = 3) -> DataFrame:
-    """Progress after each batch of ``batch`` groups: cumulative figures and last hash."""
-    if batch <= 0:
-        raise ValueError("batch must be greater than 0")
-    number = F.floor((F.col("processed_groups") - 1) / batch).cast("long") + 1
-    return (
-        progress(groups, prefix)
-        .groupBy(number.alias("batch"))
-        .agg(
-            F.max("processed_groups").alias("processed_groups"),
-            F.max("processed_files").alias("processed_files"),
-            F.max("processed_size").alias("processed_size"),
-            F.max("hash_value").alias("last_hash_value"),
-        )
-    )
+def range_of(hash_value: Column, digits: int) -> Column:
+    """Number of the range of the hash order that a hash lies in, of ``16 ** digits``."""
+    if digits == 0:
+        return F.lit(0)
+    prefix = F.substring(hash_value, 1, digits)
+    # Anything but hexadecimal digits goes where the order puts it.
+    starts = F.array(*[F.lit(low) for low, _ in hash_ranges(digits)])
+    placed = F.size(F.filter(starts, lambda low: low <= hash_value)) - 1
+    return F.when(prefix.rlike(f"^[0-9a-f]{{{digits}}}$"), F.conv(prefix, 16, 10).cast("int")).otherwise(placed)
 
 
 def hash_ranges(digits: int = 1) -> list[tuple[str, str | None]]:
@@ -70,15 +51,27 @@ def hash_ranges(digits: int = 1) -> list[tuple[str, str | None]]:
     return list(zip(starts, [*starts[1:], None]))
 
 
-def _in_range(low: str, high: str | None) -> Column:
-    hash_value = F.col("hash_value")
-    return (hash_value >= low) & (hash_value < high) if high is not None else hash_value >= low
+def _within(numbers: list[int], digits: int) -> Column:
+    """Condition on the hash for some of the ranges; neighbours are one interval, which the scan can skip by."""
+    ranges = hash_ranges(digits)
+    hash_value, wanted, spans = F.col("hash_value"), F.lit(False), []
+    for n in numbers:
+        if spans and spans[-1][1] == n - 1:
+            spans[-1][1] = n
+        else:
+            spans.append([n, n])
+    for first, last in spans:
+        part = hash_value >= ranges[first][0]
+        if ranges[last][1] is not None:
+            part = part & (hash_value < ranges[last][1])
+        wanted = wanted | part
+    return wanted
 
 
 def _manifest(hashed: DataFrame, from_hash: str, digits: int) -> str:
     """What a run is of: the hashed files by number and checksum, and its arguments."""
     row = hashed.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("hash_value", "size").cast("decimal(20,0)")).alias("s")
+        F.count("*").alias("n"), F.sum(F.xxhash64("hash_value", "size", "mtime").cast("decimal(20,0)")).alias("s")
     ).first()
     return f"files={row['n']} checksum={row['s']} from_hash={from_hash!r} digits={digits}"
 
@@ -94,66 +87,95 @@ def _same_input(spark: SparkSession, base: str, manifest: str) -> None:
         raise ValueError(f"{base} holds a run of another input ({found}, now {manifest}): use another run id")
 
 
+def _committed(spark: SparkSession, path: str) -> set[int]:
+    """Ranges that have their file: the folder of a range appears when its task is committed."""
+    return {int(name.removeprefix("range=")) for name in children(spark, path) if name.startswith("range=")}
+
+
+def written_ranges(spark: SparkSession, work: str, run_id: int) -> DataFrame:
+    """What a run has written so far, also while it runs: groups, files, bytes and last hash of each finished range."""
+    path = f"{work.rstrip('/')}/run={run_id}/groups"
+    if not _committed(spark, path):
+        return spark.createDataFrame([], "range int, groups long, files long, size long, last_hash_value string")
+    rows = spark.read.schema(f"{PART_SCHEMA}, range int").parquet(path)
+    return rows.groupBy("range").agg(
+        F.count("hash_value").alias("groups"),
+        F.coalesce(F.sum("file_count"), F.lit(0)).alias("files"),
+        F.coalesce(F.sum("total_size"), F.lit(0)).alias("size"),
+        F.max("hash_value").alias("last_hash_value"),
+    )
+
+
+def _totals(spark: SparkSession, work: str, run_id: int) -> dict:
+    """Ledger columns from what a run has written."""
+    row = written_ranges(spark, work, run_id).agg(
+        F.coalesce(F.sum("groups"), F.lit(0)).alias("processed_groups"),
+        F.coalesce(F.sum("files"), F.lit(0)).alias("processed_files"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("processed_size"),
+        F.max("last_hash_value").alias("last_hash_value"),
+    ).first()
+    return row.asDict()
+
+
+def _write_ranges(hashed: DataFrame, missing: list[int], digits: int, now: Column, path: str) -> None:
+    """One job over the missing ranges; each range is one task and one file, in place as soon as that task is done.
+
+    A range without groups has a row without a hash, so that it is known to be done.
+    """
+    spark = hashed.sparkSession
+    every = len(missing) == 16**digits
+    part = hashed if every else hashed.filter(_within(missing, digits))
+    groups = duplicate_groups(part, now=now).withColumn("range", range_of(F.col("hash_value"), digits))
+    marks = spark.createDataFrame([(n,) for n in missing], "range int")
+    (
+        groups.unionByName(marks, allowMissingColumns=True)
+        .repartitionById(16**digits, "range")
+        .write.mode("append")
+        .option("maxRecordsPerFile", 0)
+        # A task's file is moved into place when the task ends, not when the job does.
+        .option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+        .partitionBy("range")
+        .parquet(path)
+    )
+
+
 def rebuild_groups(
     files: DataFrame,
     work: str,
     run_id: int,
     from_hash: str = "",
-    digits: int = 0,
+    digits: int = RANGE_DIGITS,
     now: Column | None = None,
     note: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Groups after ``from_hash``, range by range, and the ledger of the run.
+    """Groups after ``from_hash`` by ranges of the hash order, and the ledger of the run.
 
-    ``16 ** digits`` ranges, each one job that writes its own folder under ``work``;
-    calling again with the same input and arguments after a failure does only the ranges
-    that are missing, and anything else under the same id is refused. With several ranges the
-    hash column is first written apart by range, so each job reads its own part only.
-    The ledger gets an event at the start, after each range, and at the end.
+    One job writes the groups of all ``16 ** digits`` ranges under ``work``, each range committed by its
+    own task. Calling again with the same input and arguments after a failure writes, in one
+    job too, only the ranges that are missing; anything else under the same id is refused. The
+    ledger gets an event at the start and at the end, with the figures of what is written by then; in
+    between ``written_ranges`` tells how far the run is.
     """
     spark = files.sparkSession
     now = F.current_timestamp() if now is None else now
     base = f"{work.rstrip('/')}/run={run_id}"
-    ledger = f"{base}/ledger"
+    ledger, parts = f"{base}/ledger", f"{base}/groups"
     started = datetime.now(timezone.utc)
     hashed = hashed_files(files, from_hash).select("hash_value", "size", "mtime")
     _same_input(spark, base, _manifest(hashed, from_hash, digits))
-    state = dict(id=run_id, started_at=started, status="running", note=note)
-    state |= dict(processed_groups=0, processed_files=0, processed_size=0)
-    ledger_event(spark, **state).write.mode("append").parquet(ledger)
+    state = dict(id=run_id, started_at=started, note=note)
+    begun = state | dict(status="running") | _totals(spark, work, run_id)
+    ledger_event(spark, **begun).write.mode("append").parquet(ledger)
     status = "failed"
     try:
-        if digits:
-            parted = f"{base}/hashes-{digits}"
-            by = hashed.withColumn("range", F.substring("hash_value", 1, digits))
-            if not exists(spark, f"{parted}/_SUCCESS"):
-                by.repartition("range", F.pmod(F.xxhash64("hash_value"), F.lit(8))).write.mode("overwrite").partitionBy(
-                    "range"
-                ).parquet(parted)
-            hashed = spark.read.schema(by.schema).parquet(parted)
-        for low, high in hash_ranges(digits):
-            out = f"{base}/groups-{digits}/range={low or 'start'}"
-            if not exists(spark, f"{out}/_SUCCESS"):
-                part = hashed.filter(_in_range(low, high))
-                if digits:
-                    first = F.col("range") == low if low else (F.col("range") < high)
-                    part = part.filter(first | (F.col("range") > low) & (F.col("range") < high if high else F.lit(True)))
-                duplicate_groups(part, now=now).write.mode("overwrite").parquet(out)
-            seen = spark.read.schema(PART_SCHEMA).parquet(out).agg(
-                F.count("*").alias("groups"),
-                F.coalesce(F.sum("file_count"), F.lit(0)).alias("files"),
-                F.coalesce(F.sum("total_size"), F.lit(0)).alias("size"),
-                F.max("hash_value").alias("last"),
-            ).first()
-            state["processed_groups"] += seen["groups"]
-            state["processed_files"] += seen["files"]
-            state["processed_size"] += seen["size"]
-            state["last_hash_value"] = seen["last"] or state.get("last_hash_value")
-            ledger_event(spark, **state).write.mode("append").parquet(ledger)
-        state["total_groups"] = state["processed_groups"]
+        missing = sorted(set(range(16**digits)) - _committed(spark, parts))
+        if missing:
+            _write_ranges(hashed, missing, digits, now, parts)
         status = "done"
     finally:
-        end = state | dict(status=status, finished_at=datetime.now(timezone.utc))
+        end = state | dict(status=status, finished_at=datetime.now(timezone.utc)) | _totals(spark, work, run_id)
+        if status == "done":
+            end["total_groups"] = end["processed_groups"]
         ledger_event(spark, **end).write.mode("append").parquet(ledger)
-    groups = spark.read.schema(PART_SCHEMA).parquet(f"{base}/groups-{digits}/*")
-    return groups, latest_runs(spark.read.schema(EVENTS).parquet(ledger))
+    groups = spark.read.schema(f"{PART_SCHEMA}, range int").parquet(parts)
+    return groups.filter(F.col("hash_value").isNotNull()).drop("range"), latest_runs(spark.read.schema(EVENTS).parquet(ledger))

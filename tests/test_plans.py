@@ -1,6 +1,7 @@
 """Plan shapes, skew handling, ordering, rebuild and deletion properties."""
 
 import re
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -74,6 +75,67 @@ def test_filters_and_columns_reach_the_scan(spark, snapshot):
     assert "TakeOrderedAndProject" in top
 
 
+def test_like_bounds_reach_the_scan(spark, snapshot):
+    files = snapshots.read_snapshot(spark, snapshot)["files"]
+    scan = files.filter(ret.in_scope("/SHARE/corpus/doc_ments", "like")).select("id")
+    text = spark._jvm.PythonSQLUtils.explainString(scan._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(path,/SHARE/CORPUS/DOC)" in text and "LessThan(path,/share/corpus/dod)" in text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("aAzZ/_%é\ud7ff\U0010ffff", min_size=1, max_size=6), st.text("aAzZ/é\ud7ff\U0010ffff", max_size=8))
+def test_like_bounds_hold_every_match(spark, pattern, path):
+    match = re.fullmatch(
+        "".join({"_": ".", "%": ".*"}.get(c, re.escape(c)) for c in pattern) + ".*", path, re.DOTALL | re.ASCII | re.IGNORECASE
+    )
+    if match:
+        row = spark.createDataFrame([(path,)], "path string")
+        assert row.filter(ret.like_bounds(F.col("path"), pattern + "%")).count() == 1
+
+
+def test_hashes_are_stored_in_their_order(spark, snapshot, tmp_path):
+    """Resuming after a hash reads the narrow table, whose row groups end before or begin after it."""
+    import pyarrow.parquet as pq
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        wide = str(tmp_path / "wide")
+        snapshot = snapshots.write_snapshot(spark, {"files": snapshots.read_snapshot(spark, snapshot)["files"]}, wide)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tables = snapshots.read_snapshot(spark, snapshot)
+    assert tables["file_hashes"].count() == tables["files"].filter("hash_value is not null").count()
+    assert all("/file_hashes/" in f for f in tables["file_hashes"].inputFiles())
+    assert "GreaterThan(hash_value,8)" in plan(dup.duplicate_groups(tables["file_hashes"], "8"))
+    spans = []
+    for part in Path(snapshot, "file_hashes").glob("*.parquet"):
+        meta = pq.ParquetFile(part).metadata
+        stats = [meta.row_group(n).column(0).statistics for n in range(meta.num_row_groups)]
+        spans += [(s.min, s.max) for s in stats if s]
+    spans.sort()
+    assert len(spans) > 2 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(high <= "8" for _, high in spans) >= 1
+    same = dup.duplicate_groups(tables["files"])
+    assert sorted_rows(dup.duplicate_groups(tables["file_hashes"])) == sorted_rows(same)
+
+
+def test_older_snapshots_have_hashes_too(spark, snapshot, tmp_path):
+    import shutil
+
+    old = str(tmp_path / "old")
+    shutil.copytree(snapshot, old, ignore=shutil.ignore_patterns("file_hashes", "scan_errors", "purge_log"))
+    tables = snapshots.read_snapshot(spark, old)
+    assert tables["file_hashes"].count() == 70 and tables["scan_errors"].count() == tables["purge_log"].count() == 0
+
+
+def test_paging_counts_no_hash_again(spark, snapshot):
+    files = snapshots.read_snapshot(spark, snapshot)["files"]
+    nested = dup.nested_members(files, dup.duplicate_groups(files))
+    # One aggregation for the groups, one for the pages; each has a partial and a final step.
+    text = nested._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\n[ :+-]*Aggregate \[hash_value", text)) <= 4
+
+
 def test_hot_key_lookup_reuses_the_aggregation(spark, snapshot):
     files = snapshots.read_snapshot(spark, snapshot)["files"]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -174,12 +236,37 @@ def test_positions_are_exact(spark, skewed):
 
 
 def test_large_limits_avoid_one_task(spark, skewed, monkeypatch):
-    order = [F.asc("size"), F.asc("path")]
-    small = ordering.first_rows(skewed, order, 1234)
-    ranked = ordering.ranked(skewed, order, 1234).select("rank", "id")
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 10)
-    assert sorted_rows(ordering.first_rows(skewed, order, 1234)) == sorted_rows(small)
-    assert sorted_rows(ordering.ranked(skewed, order, 1234).select("rank", "id")) == sorted_rows(ranked)
+    order = [("size", False), ("path", False)]
+    small = skewed.orderBy("size", "path").limit(1234)
+    want = [(n, r["id"]) for n, r in enumerate(small.collect(), 1)]
+    for one_task in (ordering.ONE_TASK, 1):
+        monkeypatch.setattr(ordering, "ONE_TASK", one_task)
+        assert sorted_rows(ordering.first_rows(skewed, order, 1234)) == sorted_rows(small)
+        got = ordering.ranked(skewed, order, 1234)
+        assert sorted((r["rank"], r["id"]) for r in got.collect()) == want
+    assert ordering.first_rows(skewed, order, 5000).count() == 3000
+    assert ordering.first_rows(skewed.filter("false"), order, 5000).count() == 0
+
+
+def test_only_rows_near_the_limit_are_moved(spark, monkeypatch):
+    """10,000 of 10^6 rows over 500 tasks: what is sorted is little more than 10,000 rows."""
+    rows = spark.range(0, 1_000_000, 1, 500).select(
+        F.pmod(F.xxhash64("id"), F.lit(5000)).alias("size"), F.format_string("/r/%07d", "id").alias("path")
+    )
+    above = ordering._above_cut(rows, [("size", True), ("path", False)], 10_000)
+    assert 10_000 <= above.count() < 15_000
+    got = ordering.first_rows(rows, [("size", True), ("path", False)], 10_000)
+    want = rows.orderBy(F.desc("size"), "path").limit(10_000)
+    assert got.exceptAll(want).isEmpty() and got.count() == 10_000
+
+
+def test_cuts_with_nulls_and_ties(spark):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).alias("b"), "id"
+    )
+    for order in ([("a", False), ("b", True), ("id", False)], [("a", True), ("b", False), ("id", True)]):
+        want = rows.orderBy(*ordering.order_columns(order)).limit(1500).collect()
+        assert sorted(map(repr, ordering.first_rows(rows, order, 1500).collect())) == sorted(map(repr, want))
 
 
 @pytest.mark.parametrize("page_size", [1, 7, 100, 5000])
@@ -197,17 +284,6 @@ def test_nested_pages_are_whole_and_ordered(spark, skewed, page_size):
     assert all(p["file_count"] == len(want[p["hash_value"]]) for p in pages)
 
 
-def test_progress_is_cumulative(spark, skewed):
-    groups = dup.duplicate_groups(skewed)
-    rows = sorted(rebuild.progress(groups, prefix=1).collect(), key=lambda r: r["hash_value"])
-    files = size = 0
-    for n, r in enumerate(rows, 1):
-        files, size = files + r["file_count"], size + r["total_size"]
-        assert (r["processed_groups"], r["processed_files"], r["processed_size"]) == (n, files, size)
-    with pytest.raises(ValueError):
-        rebuild.batch_progress(groups, 0)
-
-
 # Rebuild
 
 
@@ -216,7 +292,7 @@ def test_rebuild_is_restartable(spark, hashed, tmp_path):
     work = str(tmp_path / "work")
     groups, run = rebuild.rebuild_groups(hashed, work, 1, digits=1)
     again, _ = rebuild.rebuild_groups(hashed, work, 1, digits=1)
-    for other in (dict(files=hashed.filter("false"), digits=1), dict(files=hashed, digits=1, from_hash="8"), dict(files=hashed)):
+    for other in (dict(files=hashed.filter("false"), digits=1), dict(files=hashed, digits=1, from_hash="8"), dict(files=hashed, digits=0)):
         with pytest.raises(ValueError, match="another input"):
             rebuild.rebuild_groups(other.pop("files"), work, 1, **other)
     names = ["hash_value", "file_count", "total_size"]
@@ -227,25 +303,54 @@ def test_rebuild_is_restartable(spark, hashed, tmp_path):
     assert run.first()["finished_at"] is not None
 
 
-def test_failed_rebuild_is_recorded(spark, hashed, tmp_path, monkeypatch):
+def test_killed_rebuild_writes_only_what_is_missing(spark, hashed, tmp_path, monkeypatch):
+    """The tasks of the last ranges fail; the second run writes those and leaves the others as they are."""
     work = str(tmp_path / "work")
-    whole = rebuild.duplicate_groups
-    calls = []
+    frame = type(hashed)
+    place = frame.repartitionById
 
-    def breaks(files, *args, **kwargs):
-        calls.append(1)
-        if len(calls) > 3:
-            raise RuntimeError("lost")
-        return whole(files, *args, **kwargs)
+    def breaks(df, number, column):
+        lost = F.raise_error(F.lit("lost")).cast("long")
+        return place(df, number, column).withColumn("file_count", F.when(F.col("range") >= 13, lost).otherwise(F.col("file_count")))
 
-    monkeypatch.setattr(rebuild, "duplicate_groups", breaks)
-    with pytest.raises(RuntimeError):
+    monkeypatch.setattr(frame, "repartitionById", breaks)
+    with pytest.raises(Exception, match="lost"):
         rebuild.rebuild_groups(hashed, work, 9, digits=1)
+    monkeypatch.undo()
     ledger = spark.read.schema(rebuild.EVENTS).parquet(f"{work}/run=9/ledger")
     assert rebuild.latest_runs(ledger).first()["status"] == "failed"
-    monkeypatch.setattr(rebuild, "duplicate_groups", whole)
+    first = {p.parent.name: p.name for p in (tmp_path / "work/run=9/groups").glob("range=*/*.parquet")}
+    done = {r["range"] for r in rebuild.written_ranges(spark, work, 9).collect()}
+    assert 0 < len(done) < 16 and not {13, 14, 15} & done and {f"range={n}" for n in done} == set(first)
+    seen = []
+    write = rebuild._write_ranges
+    monkeypatch.setattr(rebuild, "_write_ranges", lambda h, missing, *rest: (seen.append(missing), write(h, missing, *rest)))
     groups, run = rebuild.rebuild_groups(hashed, work, 9, digits=1)
-    assert run.first()["status"] == "done" and groups.count() == 8
+    assert seen == [sorted(set(range(16)) - done)]
+    after = {p.parent.name: p.name for p in (tmp_path / "work/run=9/groups").glob("range=*/*.parquet")}
+    assert len(after) == 16 and first.items() <= after.items()
+    assert len({name.split("-c000")[0][-36:] for r, name in after.items() if r not in first}) == 1
+    names = ["hash_value", "file_count", "total_size", "first_seen"]
+    assert sorted_rows(groups.select(names)) == sorted_rows(dup.duplicate_groups(hashed).select(names))
+    assert (run.first()["status"], run.first()["processed_groups"], run.first()["total_groups"]) == ("done", 8, 8)
+    rebuild.rebuild_groups(hashed, work, 9, digits=1)
+    assert len(seen) == 1
+
+
+def test_rebuild_of_other_times_is_refused(spark, hashed, tmp_path):
+    work = str(tmp_path / "work")
+    rebuild.rebuild_groups(hashed, work, 1, digits=1)
+    with pytest.raises(ValueError, match="another input"):
+        rebuild.rebuild_groups(hashed.withColumn("mtime", F.expr("mtime - interval 1 day")), work, 1, digits=1)
+
+
+def test_ranges_follow_the_hash_order(spark):
+    rows = spark.createDataFrame([("",), ("00ff",), ("0f",), ("9z",), ("A1",), ("a0",), ("ff",), ("zz",), ("~",)], "h string")
+    for digits in (0, 1, 2):
+        ranges = rebuild.hash_ranges(digits)
+        for r in rows.select("h", rebuild.range_of(F.col("h"), digits).alias("n")).collect():
+            low, high = ranges[r["n"]]
+            assert low <= r["h"] and (high is None or r["h"] < high)
 
 
 def test_ranges_and_resume_cover_everything(spark, hashed):
