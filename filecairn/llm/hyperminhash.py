@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filecairn.plans.cut import written
@@ -116,33 +116,43 @@ def _floor(percent: int) -> float:
     return j - SLACK * (j * (1 - j) / REGISTERS) ** 0.5
 
 
-SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for text in batch.column(1):
             s = shingler.shingles(text.as_py())
             if not len(s):
-                rows.append((doc_id, 0, 0, 0, None))
+                rows.append((0, 0, 0, None))
                 continue
             h1 = int(np.bitwise_xor.reduce(_mix(s + np.uint64(1))).astype(np.int64))
             h2 = int(np.add.reduce(_mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64))
-            rows.append((doc_id, len(s), h1, h2, registers(s).view("<i8")))
-        d, n, h1, h2, r = zip(*rows) if rows else ([], [], [], [], [])
+            rows.append((len(s), h1, h2, registers(s).view("<i8")))
+        n, h1, h2, r = zip(*rows) if rows else ([], [], [], [])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
              pa.array(r, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+            names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"],
         )
 
 
 def sketch(docs: DataFrame) -> DataFrame:
     """Set size, a 128-bit hash of the set and 32 bands of four registers, one long each."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketches, SKETCH
+    return _keyed(docs).mapInArrow(_sketches, SKETCH)
+
+
+def text_hash(text: Column) -> Column:
+    """What tells unlike texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"),
+        text_hash(docs["text"]).alias("text_hash"),
     )
 
 
@@ -282,7 +292,34 @@ def _with_components(df: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every document row.
+    """``doc_id, n_shingles, component_id, kept`` for every document row; see ``near_groups``."""
+    return near_groups(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the one of least id, then of least text hash.
+
+    Rows are known by id and text, so ids may repeat or be null; null ids come last. Of rows that share
+    both, one stays. Rows without a word are copies of nothing and all stay.
+    """
+    found = near_groups(docs, percent).filter("group is not null")
+    counted = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    name = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash", "rows")
+    free = "_" * (1 + max(map(len, docs.columns)))
+    first = counted.groupBy("group").agg(F.min(name).alias("first")).select(
+        F.col("first.doc_id").alias(f"i{free}"), F.col("first.text_hash").alias(f"h{free}"), F.col("first.rows").alias(f"n{free}")
+    )
+    worded = F.coalesce(docs["text"].cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = docs["doc_id"].cast("long").eqNullSafe(first[f"i{free}"]) & (text_hash(docs["text"]) == first[f"h{free}"])
+    chosen = docs.filter(worded).join(first, same)
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    single = chosen.filter(F.col(f"n{free}") == 1).select(*columns)
+    several = chosen.filter(F.col(f"n{free}") > 1).dropDuplicates([f"i{free}", f"h{free}"]).select(*columns)
+    return docs.filter(~worded).unionByName(single).unionByName(several)
+
+
+def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept, group`` for every document row.
 
     Words are runs without the six ASCII white-space characters, A-Z lower-cased; a document's
     set is its distinct five-word shingles, the whole sequence if it has fewer words. Documents
@@ -295,6 +332,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     few even in a bucket of thousands of copies. Buckets over ``BLOCK`` nodes are compared block by block.
     Estimates drop a pair only when it lies four standard deviations below the threshold.
 
+    ``group`` names the component whatever the ids are; it is null for a text without shingles.
+
     Null and empty texts have no shingles, no links, and are kept. Rows that repeat an id
     share a component if their texts are linked; rows with a null id are named by the
     least id of their component, null if it has none, and aren't kept unless they are all of it.
@@ -311,13 +350,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("h1", "h2", "n", F.col("_id"), "bands", F.xxhash64("h1", "h2").alias("_tie")),
         "nodes",
     )
-    # Ids repeat only where the table repeats them; then the set's own hash names the node.
-    unique = nodes.select("_id").groupBy("_id").count().filter("count > 1").isEmpty()
+    # Where the table repeats an id, also one that names no set, the sets' own hashes name the nodes.
+    unique = sets.groupBy(ident.alias("_id")).count().filter("count > 1").isEmpty()
     nodes = nodes.withColumn("node", F.col("_id") if unique else F.col("_tie"))
     labels = _labels(docs, nodes, sketched, percent, unique)
     placed = nodes.select("h1", "h2", F.col("n").alias("n_shingles"), "node", "_id")
     if labels is None:
-        named = placed.withColumn("component_id", F.col("_id"))
+        named = placed.withColumn("component_id", F.col("_id")).withColumn("comp", F.col("node"))
     else:
         joined = _with_components(placed, labels)
         if unique:
@@ -326,11 +365,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             real = F.when(F.col("_id") != none, F.col("_id"))
             least = joined.groupBy("comp").agg(F.coalesce(F.min(real), F.lit(none)).alias("component_id"))
             named = joined.join(least, "comp")
-    named = named.select("h1", "h2", "n_shingles", "component_id")
+    named = named.select("h1", "h2", "n_shingles", "component_id", F.col("comp").alias("group"))
     found = sketched.drop("bands").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.coalesce("component_id", ident)
     return found.select(
-        "doc_id", "n_shingles", F.when(component != none, component).alias("component_id"), (ident == component).alias("kept")
+        "doc_id", "text_hash", "n_shingles", F.when(component != none, component).alias("component_id"),
+        (ident == component).alias("kept"), "group",
     )
 
 
@@ -380,7 +420,7 @@ def _full_sets(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, meets: Da
         chosen = base.join(F.broadcast(ids) if small else ids, "node", "left_semi").select("node", "text")
         once = chosen.mapInArrow(_sets, "node long, set binary")
         return written(once, "sets")
-    every = base.mapInArrow(_keyed_sets, "h1 long, h2 long, n long, set binary")
+    every = _keyed(docs).mapInArrow(_keyed_sets, "h1 long, h2 long, n long, set binary")
     chosen = every.join(wanted.select("h1", "h2", "n", "node"), ["h1", "h2", "n"])
     return written(chosen.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
@@ -390,7 +430,7 @@ def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = next(_sketches(iter([batch])))
         sets = next(_sets(iter([batch])))
         yield pa.RecordBatch.from_arrays(
-            [sketches.column(2), sketches.column(3), sketches.column(1), sets.column(1)], names=["h1", "h2", "n", "set"]
+            [sketches.column(3), sketches.column(4), sketches.column(2), sets.column(1)], names=["h1", "h2", "n", "set"]
         )
 
 

@@ -51,56 +51,84 @@ def source_targets(
     return filled.select("source", "source_size", "docs", target.alias("target"))
 
 
-def unit(key: Column) -> Column:
-    """A number in [0, 1) that follows from a string."""
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def draw_key(docs: DataFrame, seed: str) -> Column:
+    """The number a document is drawn by: all 64 bits follow from seed, id and text, and from nothing else."""
+    return F.xxhash64(F.lit(seed), docs["doc_id"].cast("string"), text_of(docs))
 
 
-def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """Copies of every document in the mix: ``doc_id, source, size, source_size, target, copies, taken``.
+def measured(docs: DataFrame, seed: str) -> DataFrame:
+    """``doc_id, source, size, draw`` of every row, written."""
+    return written(docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"),
+        docs["source"].cast("string").alias("source"),
+        F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"),
+        draw_key(docs, seed).alias("draw"),
+    ), "sizes")
 
-    The rate of a source is target / source_size. Each document is emitted floor(rate) times and
-    once more with probability equal to the fraction. The draws of one source share a start
-    hashed from seed and source and advance by the fraction from document to document in order
-    of size, so each document keeps its probability while the words of a source meet its target
-    within about its largest document; independent draws would miss a small source's target by
-    more than a tenth. Reruns agree.
 
-    Sizes count words; null and empty texts have none and a source without words takes nothing.
-    A null source is a source. Repeated rows are separate documents. An empty table gives no rows.
+def source_rates(sizes: DataFrame, **options) -> DataFrame:
+    """``source, source_size, target, whole, cut``: copies of every document, and who gets one more.
+
+    The rate of a source is target / source_size; ``whole`` is its floor. A document gets a further copy if
+    its draw is at most ``cut``. Draws are uniform, so a cut at the fraction of their range would take that
+    share of the words on average only, and miss a small source's target by a tenth and more. The cut is
+    therefore moved to the draw at which the words taken come nearest the target.
     """
-    text = text_of(docs)
-    sizes = written(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        docs["source"].cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-    ), "sizes")
     targets = written(source_targets(sizes, **options), "targets")
-    placed = running(sizes, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")], {})
-    starts = targets.join(
-        placed.groupBy("source").agg((F.min("position") - 1).alias("_first")).withColumnRenamed("source", "_s"),
-        F.col("source").eqNullSafe(F.col("_s")),
-    ).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    starts = starts.select(
-        F.col("source").alias("_s"), "source_size", "target", "_first",
-        F.floor(rate).alias("_whole"), (rate - F.floor(rate)).alias("_part"),
-        unit(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("")))).alias("_u"),
+    rates = targets.select(
+        "source", "source_size", "target", F.floor(rate).alias("whole"),
+        (F.col("target") - F.floor(rate) * F.col("source_size")).alias("_extra"),
     )
-    step = F.col("position") - F.col("_first")
-    drawn = F.floor(F.col("_u") + step * F.col("_part")) - F.floor(F.col("_u") + (step - 1) * F.col("_part"))
+    # Rows that are drawn by one number are taken together.
+    steps = sizes.filter("size > 0").groupBy("source", "draw").agg(F.sum("size").alias("_size"))
+    summed = running(steps, [F.col("source").asc_nulls_last(), F.col("draw")], {"_upto": F.col("_size")})
+    first = summed.groupBy("source").agg(F.min(F.col("_upto") - F.col("_size")).alias("_before"))
+    known = rates.join(first.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    known = written(known, "rates")
+    wanted = known.select(F.col("source").alias("_s"), "_extra", "_before")
     # No hint: Spark broadcasts the sources where they are measured to be small, and splits hot ones elsewhere.
-    return placed.join(starts, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_whole") + drawn).cast("int").alias("copies")
+    taken = summed.join(wanted, F.col("source").eqNullSafe(F.col("_s")))
+    off = F.abs(F.col("_upto") - F.col("_before") - F.col("_extra"))
+    nearest = taken.groupBy("_s").agg(F.min(F.struct(off.alias("off"), F.col("draw").alias("draw"))).alias("_near"))
+    joined = known.join(nearest, F.col("source").eqNullSafe(F.col("_s")), "left")
+    # Without a further copy anywhere, the target is missed by the whole rest.
+    cut = F.when(F.col("_near.off") < F.col("_extra"), F.col("_near.draw"))
+    return written(joined.select("source", "source_size", "target", "whole", cut.alias("cut")), "cuts")
+
+
+def _copies(whole: Column, cut: Column, draw: Column) -> Column:
+    return (whole + F.when(cut.isNotNull() & (draw <= cut), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """Copies of every document in the mix: ``doc_id, source, size, source_size, target, copies, taken``.
+
+    Each document is emitted floor(rate) times and once more if its own draw, hashed from seed, id and
+    text, is at most the cut of its source (see ``source_rates``). Reruns agree.
+
+    Sizes count words; null and empty texts have none and a source without words takes nothing.
+    A null source is a source. Rows that repeat id and text are drawn together. An empty table gives no rows.
+    """
+    sizes = measured(docs, seed)
+    rates = source_rates(sizes, **options).withColumnRenamed("source", "_s")
+    return sizes.join(rates, F.col("source").eqNullSafe(F.col("_s"))).select(
+        "doc_id", "source", "size", "source_size", "target", _copies(F.col("whole"), F.col("cut"), F.col("draw")).alias("copies")
     ).withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def emit(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mixed documents themselves, each repeated as often as the mix takes it.
 
-    Rows are matched to their copies by id and size; ids must be unique.
+    A row's copies follow from its own draw and its source, so rows meet one row per source and
+    nothing else: ids may repeat or be null, and columns may have any names.
     """
-    copies = mix(docs, **options).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0")
-    repeated = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    each = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    return repeated.select(*[repeated[c] for c in docs.columns], each).drop("_copy")
+    # Names that no column of the caller has.
+    free = "_" * (1 + max(map(len, docs.columns)))
+    rates = source_rates(measured(docs, seed), **options).select(
+        F.col("source").alias(f"s{free}"), F.col("whole").alias(f"w{free}"), F.col("cut").alias(f"c{free}")
+    )
+    joined = docs.join(rates, docs["source"].cast("string").eqNullSafe(rates[f"s{free}"]))
+    copies = _copies(F.col(f"w{free}"), F.col(f"c{free}"), draw_key(docs, seed))
+    each = F.explode(F.sequence(F.lit(1), copies)).alias(f"n{free}")
+    return joined.filter(copies > 0).select(*[docs[f"`{c}`"] for c in docs.columns], each).drop(f"n{free}")

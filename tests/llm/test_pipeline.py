@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from filecairn.llm import mixing
 from tests.llm.test_operators import TEXTS, awkward, nothing, rows  # noqa: F401
 
 
@@ -23,6 +24,64 @@ def test_stages_keep_the_columns_and_their_decisions(spark, awkward):  # noqa: F
         assert stages[name](spark, docs, awkward).columns == corpus_pipeline.COLUMNS
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _lines(word, n):
+    return " ".join(f"{word}{k}" for k in range(n))
+
+
+def _repeating(spark, extra=""):
+    """Repeated and null ids: unlike texts of one id, near copies across ids, and rows that are wholly the same."""
+    texts = [
+        (1, _lines("a", 40)), (1, _lines("b", 40)), (None, _lines("c", 40)), (None, _lines("d", 40)), (None, _lines("e", 40)),
+        (2, _lines("a", 39) + " z"), (None, _lines("a", 41)), (0, _lines("f", 40)), (1, _lines("f", 40)), (3, _lines("g", 9)),
+        (3, _lines("g", 9)), (None, ""), (None, ""), (None, None), (5, None), (5, "  "), (6, _lines("e", 40)),
+    ]
+    rows = [(i, t, "en", ["hot", None, "web"][n % 3], None if t is None else len(t)) for n, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA), rows
+
+
+def test_no_unlike_text_is_lost(spark):
+    docs, rows = _repeating(spark)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    worded = {(i, t) for i, t in kept if t and t.strip()}
+    assert worded == {
+        (1, _lines("a", 40)), (1, _lines("b", 40)), (None, _lines("c", 40)), (None, _lines("d", 40)),
+        (6, _lines("e", 40)), (0, _lines("f", 40)), (3, _lines("g", 9)),
+    }
+    assert all(kept[key] == 1 for key in worded)
+    assert kept[None, ""] == 2 and kept[None, None] == kept[5, None] == kept[5, "  "] == 1
+
+
+def test_mixed_rows_are_the_copies(spark):
+    docs, rows = _repeating(spark)
+    docs = docs.selectExpr("*", "1 as copies", "2 as _s", "'x' as draw", "3 as size", "4 as `_copy`")
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id, r.source, r["size"]] += r.copies
+    mixed = Counter()
+    emitted = mixing.emit(docs)
+    for r in emitted.collect():
+        mixed[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert emitted.columns == docs.columns
+    assert mixed == +copies and sum(mixed.values()) > 10
+    assert mixing.emit(docs.filter("false")).count() == 0
+
+
+def test_personal_data_keeps_every_row(spark):
+    docs, rows = _repeating(spark)
+    clean = corpus_pipeline.personal_data(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((r[0], r[1]) for r in rows)
+
+
+def test_language_of_repeated_rows(spark, awkward):  # noqa: F811
+    docs = spark.read.parquet(f"{awkward}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    twice = docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
+    kept = corpus_pipeline.language(spark, twice, "")
+    assert kept.count() == 2 * (len(TEXTS) - 4)
+
+
 def test_pipeline_packs_what_the_stages_keep(spark, awkward, nothing):  # noqa: F811
     packed = corpus_pipeline.run(spark, awkward).collect()
     assert packed and not {0, 1, 2, 4, 6, 7, 8} & {r.doc_id for r in packed}
