@@ -18,15 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; a repeated row stays once."""
-    kept = hyperminhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    unique = docs.select(*COLUMNS).dropDuplicates(["doc_id"]) if _repeats(docs) else docs.select(*COLUMNS)
-    known = unique.join(kept, unique["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return known.select(*COLUMNS)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    """One document of each group of near copies, the one with the least id; rows are known by id and whole text."""
+    return hyperminhash.one_of_each(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +28,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as the target weights of their sources ask for."""
+    """Documents repeated as often as the target weights of their sources ask for, row by row."""
     return mixing.emit(docs.select(*COLUMNS))
 
 
