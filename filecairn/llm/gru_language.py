@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 HIDDEN = 8
 WINDOW = 96
+# Bytes that a window sees beyond the ones it labels, on either side.
+MARGIN = 8
 MAX_TRAINING_ROWS = 6_000
-TRAINING_BYTES = 512
+# Stretches of a training text, from places all over it, and their characters.
+STRETCHES, STRETCH = 5, 96
 STEPS = 150
 BATCH = 128
 FOLDS, HELD_OUT = 3, 1
@@ -152,20 +155,29 @@ class Network:
                 w -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
     def pool(self, texts: list[bytes], window: int = WINDOW) -> np.ndarray:
-        """Mean probability over all positions of each text. Texts are cut into windows, which run side by side."""
+        """Mean probability over all positions of each text.
+
+        Texts are cut into windows, which run side by side. A window begins and ends ``MARGIN`` bytes beyond what it
+        labels, so that no position stands at an edge and letters of several bytes are whole.
+        """
         counts = np.array([-(-len(t) // window) for t in texts])
         sums = np.zeros((len(texts), len(self.languages)))
         owner = np.repeat(np.arange(len(texts)), counts)
-        size = int(counts.sum())
-        flat = np.full(size * window, 32, np.uint8)
-        mask = np.zeros(size * window, bool)
-        starts = np.concatenate([[0], np.cumsum(counts)]) * window
-        for t, at in zip(texts, starts):
-            flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
-            mask[at : at + len(t)] = True
-        flat, mask = flat.reshape(size, window), mask.reshape(size, window)
+        size, width = int(counts.sum()), window + 2 * MARGIN
+        seq = np.full((size, width), 32, np.uint8)
+        mask = np.zeros((size, width), bool)
+        row = 0
+        for t, count in zip(texts, counts):
+            # The text's windows overlap: each starts ``window`` after the one before and is ``width`` long.
+            padded = np.full(count * window + 2 * MARGIN, 32, np.uint8)
+            padded[MARGIN : MARGIN + len(t)] = np.frombuffer(t, np.uint8)
+            seq[row : row + count] = np.lib.stride_tricks.sliding_window_view(padded, width)[::window]
+            mask[row : row + count, MARGIN : MARGIN + window] = True
+            last = len(t) - (count - 1) * window
+            mask[row + count - 1, MARGIN + last :] = False
+            row += count
         for at in range(0, size, _SLICE):
-            p = self.positions(np.ascontiguousarray(flat[at : at + _SLICE].T))
+            p = self.positions(np.ascontiguousarray(seq[at : at + _SLICE].T))
             p *= mask[at : at + _SLICE].T[:, :, None]
             np.add.at(sums, owner[at : at + _SLICE], p.sum(axis=0))
         return sums / np.maximum([[len(t)] for t in texts], 1)
@@ -175,27 +187,36 @@ def _fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, most: int = MAX_TRAINING_ROWS, steps: int = STEPS) -> Network | None:
-    """Fit on at most ``most`` documents with a language outside the held-out fold, chosen by a hash of text and id.
+def training_rows(docs: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """``lang, parts`` of at most ``most`` documents with a language outside the held-out fold.
 
-    ``TRAINING_BYTES`` from the middle of each come to the driver; predictions read whole texts.
+    Documents are chosen by a hash of id and text, first by a bound on it that about twice as many as wanted
+    pass, so that no more than those are sorted. Of each, ``STRETCHES`` stretches from hashed places of the
+    whole text are taken, so what comes to the driver is bounded whatever the texts' lengths.
     """
     text = F.col("text").cast("string")
     usable = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & F.coalesce(_fold(F.col("doc_id")) != HELD_OUT, F.lit(False)))
-    middle = F.greatest(F.floor((F.char_length("text") - TRAINING_BYTES) / 2), F.lit(0)).cast("int") + 1
-    part = usable.select(
-        F.xxhash64("doc_id").alias("_h"), "doc_id", "lang", F.substring(F.col("text"), middle, F.lit(TRAINING_BYTES)).alias("part")
-    )
-    rows = part.orderBy("_h", "doc_id", "lang", "part").limit(most).toPandas()
-    languages = sorted(set(rows["lang"]))
+    bound = min(1 << 40, int(2 * most / max(usable.count(), 1) * (1 << 40)) + 1)
+    keyed = usable.withColumn("_h", F.xxhash64("doc_id", "text")).filter(F.pmod("_h", F.lit(1 << 40)) < F.lit(bound))
+    room = F.greatest(F.char_length("text") - STRETCH, F.lit(0)) + 1
+    parts = F.array(*[
+        F.substring(F.col("text"), (F.pmod(F.xxhash64("_h", F.lit(n)), room) + 1).cast("int"), F.lit(STRETCH)) for n in range(STRETCHES)
+    ])
+    return keyed.select("_h", "doc_id", "lang", parts.alias("parts")).orderBy("_h", "doc_id", "lang").limit(most).select("lang", "parts")
+
+
+def train(docs: DataFrame, most: int = MAX_TRAINING_ROWS, steps: int = STEPS) -> Network | None:
+    """Fit on ``training_rows``; predictions read whole texts."""
+    rows = training_rows(docs, most).collect()
+    languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
     network = Network(languages)
-    target = np.array([languages.index(x) for x in rows["lang"]])
+    parts = [(p.encode("utf-8", "replace"), languages.index(r["lang"])) for r in rows for p in r["parts"]]
     if len(languages) > 1:
-        network.fit([p.encode("utf-8", "replace") for p in rows["part"]], target, steps, BATCH, WINDOW)
+        network.fit([p for p, _ in parts], np.array([c for _, c in parts]), steps, BATCH, WINDOW)
     return network
 
 
@@ -235,8 +256,8 @@ def _identified(shared, carried: int):
 def identify(docs: DataFrame, carry: list[str] = ("doc_id",), most: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The columns ``carry`` with ``lang_pred`` and ``score`` for every document row.
 
-    Every byte of the whole text is labelled, in windows of ``WINDOW`` bytes, and a document's score is the
-    mean probability of its best language over all its bytes. ``und`` with score 0 stands for null texts
+    Every byte of the whole text is labelled, in windows of ``WINDOW`` bytes that see ``MARGIN`` bytes beyond either
+    end, and a document's score is the mean probability of its best language over all its bytes. ``und`` with score 0 stands for null texts
     and texts without a letter, and for all if no language can be learned; with one language
     learned, that one is predicted. Only text and language of rows outside the held-out fold are learned from;
     a null language is not. Ids may be null, rows may repeat (scored alike), an empty table gives no

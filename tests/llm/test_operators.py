@@ -277,3 +277,35 @@ def test_near_duplicates_against_all_pairs(spark, awkward):
         got = result(spark, "op10_hyperminhash", base)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _brute_components(texts)
         assert len(got) == len(texts) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_language_windows_label_every_byte_once():
+    """Pooling over overlapping windows is the mean of each byte's label in a window that holds it with a margin."""
+    from filecairn.llm import gru_language
+
+    network = gru_language.Network(["a", "b", "c"])
+    pick = np.random.default_rng(5)
+    texts = [bytes(pick.integers(97, 123, n).astype(np.uint8)) for n in (1, 95, 96, 97, 192, 500)]
+    pooled = network.pool(texts)
+    for text, got in zip(texts, pooled):
+        padded = b" " * 8 + text + b" " * (96 + 8)
+        labels = []
+        for at in range(0, len(text), 96):
+            window = np.frombuffer(padded[at : at + 112].ljust(112), np.uint8)
+            p = network.positions(np.ascontiguousarray(window[:, None]))
+            labels += [p[8 + k, 0] for k in range(min(96, len(text) - at))]
+        assert len(labels) == len(text) and np.allclose(np.mean(labels, axis=0), got, atol=1e-5)
+
+
+def test_language_training_rows_are_bounded(spark):
+    from filecairn.llm import gru_language
+
+    text = _lines("wort", 3000) + " ende"
+    docs = spark.range(4000).selectExpr(
+        "if(id % 3 = 0, 7, id) as doc_id", f"concat(id, ' {text}') as text", "if(id % 2 = 0, 'de', 'en') as lang"
+    )
+    rows = gru_language.training_rows(docs, 100).collect()
+    assert len(rows) == 100 and all(len(r.parts) == 5 and max(map(len, r.parts)) <= 96 for r in rows)
+    places = {int(m) for r in rows for p in r.parts for m in re.findall(r"wort(\d+) ", p)}
+    assert min(places) < 300 and max(places) > 2700
+    assert gru_language.training_rows(docs.filter("false"), 100).count() == 0
