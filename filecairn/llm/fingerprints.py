@@ -9,29 +9,27 @@ from filecairn.llm.common import running, text_of
 from filecairn.plans.cut import written
 
 SAMPLES = 64
-GROUP = 16
 _SCALE = float(1 << 42)
-_TAG_BITS = 15
+_TAG = (1 << 15) - 1
+_PART = (1 << 21) - 1
 
 
-def _uniform(bits: Column, high: bool) -> Column:
-    """A number in (0, 1] from one half of 64 random bits."""
-    half = F.shiftrightunsigned(bits, 32) if high else bits.bitwiseAND(F.lit(0xFFFFFFFF))
-    return (half.cast("double") + 1.0) * F.lit(2.0**-32)
+def _bits(value: Column, shift: int, mask: int) -> Column:
+    """A number in (0, 1] from some of 64 random bits."""
+    part = F.shiftrightunsigned(value, shift) if shift else value
+    return (part.bitwiseAND(F.lit(mask)).cast("double") + 1.0) * F.lit(1.0 / (mask + 1))
 
 
 def signatures(pairs: DataFrame, keys: list[str], sides: list[str], samples: int = SAMPLES) -> DataFrame:
     """``keys`` and one fingerprint column per side for the texts in the columns ``sides``.
 
-    A text's terms are its lower-cased words, weighted by their count S. For each sample i a term
-    draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash; t = floor(ln S / r + b) and
-    a = c / exp(r (t + 1 - b)). The term and t of the least a are the sample: two texts share it
-    with probability equal to their generalised Jaccard similarity. ``GROUP`` samples share r
-    and b and draw their own c, which keeps that probability for each of them. The fingerprint is
-    four hexadecimal digits per sample. Rows must be partitioned by ``keys`` or will be.
+    A text's terms are its lower-cased words, weighted by their count S. For each sample a term
+    draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) of its own from two hashes of term and sample; t = floor(ln S / r + b)
+    and a = c / exp(r (t + 1 - b)). The term and t of the least a are the sample: two texts share it
+    with probability equal to their generalised Jaccard similarity, and samples are independent. The
+    fingerprint is four hexadecimal digits per sample. Rows must be partitioned by ``keys`` or will be.
     Texts without words give no row.
     """
-    groups = samples // GROUP
     side = F.posexplode(F.array(*sides)).alias("_side", "_text")
     words = pairs.select(*keys, side).select(
         *keys, "_side", F.explode(F.split(F.lower("_text"), r"[ \x09-\x0D]+")).alias("_word")
@@ -41,34 +39,32 @@ def signatures(pairs: DataFrame, keys: list[str], sides: list[str], samples: int
         .groupBy(*keys, F.xxhash64("_word").alias("_term"))
         .agg(*[F.count(F.when(F.col("_side") == n, 1)).alias(f"_n{n}") for n in range(len(sides))])
     )
-    drawn = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-    first, second = F.xxhash64("_term", "_g", F.lit(1)), F.xxhash64("_term", "_g", F.lit(2))
-    drawn = drawn.withColumn("_h1", first).withColumn("_h2", second)
-    drawn = drawn.withColumn("_r", -F.ln(_uniform(F.col("_h1"), True) * _uniform(F.col("_h1"), False)))
-    drawn = drawn.withColumn("_b", _uniform(F.col("_h2"), True))
-    for n in range(len(sides)):
-        t = F.floor(F.ln(F.col(f"_n{n}").cast("double")) / F.col("_r") + F.col("_b"))
-        drawn = drawn.withColumn(f"_t{n}", F.when(F.col(f"_n{n}") > 0, t))
-    for n in range(len(sides)):
-        shrink = F.exp(-F.col("_r") * (F.col(f"_t{n}") + 1.0 - F.col("_b"))) * F.lit(_SCALE)
-        mark = F.xxhash64("_term", f"_t{n}").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
-        drawn = drawn.withColumn(f"_e{n}", shrink).withColumn(f"_m{n}", mark)
-    least = []
-    for i in range(GROUP):
-        bits = F.xxhash64("_term", "_g", F.lit(16 + i))
-        c = -F.ln(_uniform(bits, True) * _uniform(bits, False))
-        drawn = drawn.withColumn(f"_c{i}", c)
+    logs = [F.ln(F.when(F.col(f"_n{n}") > 0, F.col(f"_n{n}").cast("double"))).alias(f"_l{n}") for n in range(len(sides))]
+    # One row per term and sample: a wider row would outgrow what the JVM compiles at once.
+    drawn = counts.select(*keys, "_term", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_i"))
+    drawn = drawn.select("*", *[F.xxhash64("_term", "_i", F.lit(k)).alias(f"_h{k}") for k in (0, 1)])
+    drawn = drawn.select(
+        "*",
+        (-F.ln(_bits(F.col("_h0"), 32, 0xFFFFFFFF) * _bits(F.col("_h0"), 0, 0xFFFFFFFF))).alias("_r"),
+        _bits(F.col("_h1"), 42, _PART).alias("_b"),
+        (-F.ln(_bits(F.col("_h1"), 21, _PART) * _bits(F.col("_h1"), 0, _PART))).alias("_c"),
+    )
+    drawn = drawn.select(
+        "*", *[F.floor(F.col(f"_l{n}") / F.col("_r") + F.col("_b")).alias(f"_t{n}") for n in range(len(sides))]
+    )
     for n in range(len(sides)):
-        for i in range(GROUP):
-            a = F.shiftleft((F.col(f"_c{i}") * F.col(f"_e{n}")).cast("long"), _TAG_BITS)
-            least.append(F.min(a.bitwiseOR(F.col(f"_m{n}"))).alias(f"_s{n}_{i}"))
-    found = drawn.groupBy(*keys, "_g").agg(*least)
+        t = F.col(f"_t{n}")
+        a = F.col("_c") * F.exp(-F.col("_r") * (t + 1.0 - F.col("_b")))
+        tag = F.col("_h0").bitwiseXOR(t).bitwiseAND(F.lit(_TAG))
+        value = F.shiftleft((a * F.lit(_SCALE)).cast("long"), 15).bitwiseOR(tag)
+        # Sides that agree in t agree in the sample.
+        if n:
+            value = F.when(t == F.col("_t0"), F.col("_v0")).otherwise(value)
+        drawn = drawn.select("*", value.alias(f"_v{n}"))
+    found = drawn.groupBy(*keys, "_i").agg(*[F.min(f"_v{n}").alias(f"_s{n}") for n in range(len(sides))])
     digits = lambda c: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(c), F.lit(65536)))), 4, "0")
-    part = found.select(*keys, "_g", *[
-        F.when(F.col(f"_s{n}_0").isNotNull(), F.concat(*[digits(f"_s{n}_{i}") for i in range(GROUP)])).alias(f"_p{n}")
-        for n in range(len(sides))
-    ])
-    whole = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_g", *[f"_p{n}" for n in range(len(sides))]))).alias("_all"))
+    part = found.select(*keys, "_i", *[F.when(F.col(f"_s{n}").isNotNull(), digits(f"_s{n}")).alias(f"_p{n}") for n in range(len(sides))])
+    whole = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", *[f"_p{n}" for n in range(len(sides))]))).alias("_all"))
     return whole.select(*keys, *[
         F.when(F.col("_all")[0][f"_p{n}"].isNotNull(), F.array_join(F.col(f"_all._p{n}"), "")).alias(f"{name}_fingerprint")
         for n, name in enumerate(sides)

@@ -309,3 +309,41 @@ def test_language_training_rows_are_bounded(spark):
     places = {int(m) for r in rows for p in r.parts for m in re.findall(r"wort(\d+) ", p)}
     assert min(places) < 300 and max(places) > 2700
     assert gru_language.training_rows(docs.filter("false"), 100).count() == 0
+
+
+def test_likeness_estimates_the_generalised_jaccard(spark):
+    """Over 300 texts and their edits the error is that of 64 independent samples; the texts share many words, so its mean varies too."""
+    from pyspark.sql import functions as F
+
+    from filecairn.llm import fingerprints
+    from tests.conftest import MEDIUM
+
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").filter("doc_id < 300").select(
+        F.col("doc_id").alias("_id"), F.col("text").alias("own"),
+        F.expr("concat(left(text, char_length(text) - char_length(text) div 4), ' other words here')").alias("edited"),
+    )
+    rows = fingerprints.signatures(docs, ["_id"], ["own", "edited"]).join(docs, "_id").select(
+        "own", "edited", "own_fingerprint", "edited_fingerprint",
+        fingerprints.likeness(F.col("own_fingerprint"), F.col("edited_fingerprint")).alias("near"),
+    ).collect()
+    off = []
+    for r in rows:
+        a, b = (Counter(w for w in re.split(r"[ \x09-\x0D]+", t.lower()) if w) for t in (r.own, r.edited))
+        if a and b:
+            off.append(r.near - sum((a & b).values()) / sum((a | b).values()))
+            assert len(r.own_fingerprint) == 4 * fingerprints.SAMPLES
+    off = np.array(off)
+    assert len(off) > 250 and np.sqrt((off**2).mean()) < 0.07 and abs(off.mean()) < 0.03
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark, rows):
+    from filecairn.llm.fingerprints import fingerprint_documents
+
+    made = [*rows, *[(None, *r[1:]) for r in rows[3:8]], rows[5], rows[5]]
+    got = [r.asDict() for r in fingerprint_documents(table(spark, made)).collect()]
+    assert len(got) == len(made)
+    per = defaultdict(set)
+    for r in got:
+        per[str(r["doc_id"])].add(r["fingerprint"])
+    assert len(per["5"]) == 1 and sum(r["doc_id"] == 5 for r in got) == 3
+    assert len({r["fingerprint"] for r in got if r["doc_id"] is None}) == 3
