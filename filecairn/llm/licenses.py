@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -53,9 +54,32 @@ TEMPLATES = {
 }
 
 
+def window_similarity(containment: float) -> float:
+    """Least Jaccard similarity of a template and the window nearest to a stretch that contains so much of it.
+
+    Window and template are of one length, so a share s in common is a similarity of s / (2 - s). The nearest
+    window starts at most a sixteenth of its length beside the stretch and may lose that much of it.
+    """
+    shared = containment * (1 - 1 / 16)
+    return shared / (2 - shared)
+
+
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     """Bands of ``rows`` MinHash values that miss a pair of this similarity with probability ``miss`` at most."""
-    return max(1, math.ceil(math.log(miss) / math.log(1 - similarity**rows)))
+    return 1 if similarity >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - similarity**rows)))
+
+
+def templates_in(folder: str) -> dict[str, str]:
+    """The files of a folder of license texts as templates, by file name; those under five words are left out."""
+    found = {}
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as handle:
+                text = handle.read()
+            if _ngrams(text):
+                found[name] = text
+    return found
 
 
 def _words(text: Column) -> Column:
@@ -130,7 +154,8 @@ def scan_licenses(
 
     Windows are as long as a template, in shingles of five words, one length per distinct
     template length, and overlap by seven eighths of it (short ones start at every word). The
-    number of bands follows from ``containment`` and ``miss``. A window that shares a band with
+    number of bands follows from ``miss`` and from the similarity that a window must have where a text
+    contains so much of a template (``window_similarity``). A window that shares a band with
     a template of its length is verified on the shingles of the window and half its length on
     either side: matched over the template's distinct shingles, ``containment`` at least. One row per document
     row and license: the best containment, the number of verified windows and the word at which
@@ -141,7 +166,7 @@ def scan_licenses(
     may be null; repeated rows give repeated results; an empty table gives no rows. Templates are
     a short list given by the caller, so their table is broadcast.
     """
-    bands = bands_for(containment, miss=miss)
+    bands = bands_for(window_similarity(containment), miss=miss)
     table = template_table(docs, templates, bands)
     lengths = sorted({len(set(_ngrams(t))) for t in templates.values()})
     marks = anchors(templates)
