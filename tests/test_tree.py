@@ -394,7 +394,8 @@ def test_bucketed_inventory_is_not_shuffled(spark, tree, tmp_path):
         assert shown[0] == shown[1] and tables[0]["files"].filter("is_duplicate").count() == 3
         assert len(list((tmp_path / "out2").glob("scan_*/files/*.parquet"))) <= 8
         scoped = tables[0]["files"].filter(ret.in_scope(str(tree / "a"))).select("id")
-        assert "StringStart" in scoped._jdf.queryExecution().executedPlan().toString()
+        text = spark._jvm.PythonSQLUtils.explainString(scoped._jdf.queryExecution(), "formatted")
+        assert "StringStartsWith(path" in text
         third = str(tmp_path / "third")
         jobs.delete(spark, str(next((tmp_path / "out2").glob("scan_*"))), third, str(tree / "a"))
         assert names(read_snapshot(spark, third)["files"], tree) == {"_u/b/z", "new/copy"}
