@@ -22,7 +22,7 @@ STEPS = 150
 BATCH = 128
 FOLDS, HELD_OUT = 3, 1
 _SLICE = 1024
-_CHARS = 1 << 20
+_CHARS = 1 << 19
 
 
 def _hard(x: np.ndarray) -> np.ndarray:
@@ -220,12 +220,12 @@ def train(docs: DataFrame, most: int = MAX_TRAINING_ROWS, steps: int = STEPS) ->
     return network
 
 
-def _identified(shared, carried: int):
+def _identified(shared, at: int, names_out: list[str]):
     def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Slices of a batch that hold about ``_CHARS`` characters, or one row."""
         import pyarrow.compute as pc
 
-        lengths = np.array(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), np.int64)
+        lengths = np.array(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), np.int64)
         parts = np.cumsum(lengths) // _CHARS
         cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -235,7 +235,7 @@ def _identified(shared, carried: int):
         network = shared.value
         for batch in batches:
             for part in chunks(batch):
-                texts = [t or "" for t in part.column(0).to_pylist()]
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
                 names = np.full(len(texts), UNKNOWN, object)
                 score = np.zeros(len(texts))
@@ -246,8 +246,8 @@ def _identified(shared, carried: int):
                     names[told] = np.array(network.languages, object)[best]
                     score[told] = np.clip(pooled[np.arange(len(told)), best], 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(names, pa.string()), pa.array(score)],
-                    names=[*part.schema.names[1:], "lang_pred", "score"],
+                    [*part.columns[: len(names_out)], pa.array(names, pa.string()), pa.array(score)],
+                    names=[*names_out, "lang_pred", "score"],
                 )
 
     return run
@@ -264,10 +264,12 @@ def identify(docs: DataFrame, carry: list[str] = ("doc_id",), most: int = MAX_TR
     rows. The network has a fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, most))
-    carried = [docs[c] for c in carry]
+    carry = list(carry)
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + ["lang_pred string", "score double"])
-    texts = docs.select(docs["text"].cast("string").alias("_text"), *carried)
-    return texts.mapInArrow(_identified(shared, len(carried)), schema)
+    # A text that is carried goes to the tasks once.
+    once = "text" in carry and docs.schema["text"].dataType.simpleString() == "string"
+    texts = docs.select(*[docs[c] for c in carry], *([] if once else [docs["text"].cast("string").alias("_text")]))
+    return texts.mapInArrow(_identified(shared, carry.index("text") if once else len(carry), carry), schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:

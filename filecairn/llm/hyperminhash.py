@@ -38,7 +38,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles; remembers a bounded number of words."""
 
-    def __init__(self, size: int = SHINGLE, remember: int = 300_000):
+    def __init__(self, size: int = SHINGLE, remember: int = 150_000):
         import xxhash
 
         self.size, self.remember, self.known, self.hash = size, remember, {}, xxhash.xxh3_64_intdigest
@@ -164,12 +164,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs ``a, b`` whose sets, read where Arrow holds them, are alike enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["set_a"], batch["set_b"]):
-                keep.append(_is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            sets = zip(batch.column(2), batch.column(3))
+            keep = [
+                _is_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -436,4 +438,5 @@ def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     side = lambda c: full.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_linked(percent), "a long, b long"), "links")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    return written(rows.mapInArrow(_linked(percent), "a long, b long"), "links")
