@@ -193,7 +193,8 @@ def scan_metrics(
 ) -> DataFrame:
     """One row: the hash stage's figures, rate and time left, and the totals of each root tag.
 
-    The figures were observed while the tables were written; an empty table is observed as nothing.
+    The figures were observed while the tables were written; an empty table is observed as nothing. Tasks that Spark
+    repeats after losing an executor may be observed twice; the tables and ``scan_errors`` are exact.
     ``remaining`` candidates have no result; ``eta_seconds`` is what they would take at this rate, NULL before the first.
     """
     processed, total = hashed.get("processed", 0), wanted.get("candidates", 0)
