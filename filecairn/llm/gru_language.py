@@ -198,7 +198,9 @@ def training_rows(docs: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
     usable = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & F.coalesce(_fold(F.col("doc_id")) != HELD_OUT, F.lit(False)))
-    bound = min(1 << 40, int(2 * most / max(usable.count(), 1) * (1 << 40)) + 1)
+    # Counted without the texts, so those without a letter too; a bound twice as wide as needed makes up for them.
+    many = docs.filter(F.col("lang").isNotNull() & F.coalesce(_fold(F.col("doc_id").cast("long")) != HELD_OUT, F.lit(False))).count()
+    bound = min(1 << 40, int(2 * most / max(many, 1) * (1 << 40)) + 1)
     keyed = usable.withColumn("_h", F.xxhash64("doc_id", "text")).filter(F.pmod("_h", F.lit(1 << 40)) < F.lit(bound))
     room = F.greatest(F.char_length("text") - STRETCH, F.lit(0)) + 1
     parts = F.array(*[
