@@ -521,8 +521,11 @@ FROM {LARGE_MEMBERS} GROUP BY ALL"""),
     "report_sheet_top": with_(HASHED + "," + TOPS, f"""
 SELECT id AS "ID", path AS "Path", size AS "Size", {stamp('mtime')} AS "Modified", tag AS "Type",
        top_folder AS "Folder" FROM top"""),
-    "report_json": with_(HASHED + "," + SUMMARY, """
+    "report_json": with_(HASHED + "," + SUMMARY + "," + TOPS, f"""
 SELECT CAST(to_json(struct_pack(
+         "topFiles" := coalesce((SELECT list(struct_pack(id := id, path := path, size := size, mtime := {stamp('mtime')},
+                                                         loaithumuc := tag, thumuc := top_folder) ORDER BY rank)
+                                 FROM top), []),
          summary := struct_pack(totalFiles := total_files, totalSize := total_size, uniqueFiles := unique_files,
                                 duplicateFiles := duplicate_files_ref, wastedSpace := wasted_space,
                                 averageFileSize := average_file_size),

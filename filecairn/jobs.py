@@ -32,7 +32,7 @@ from filecairn.operators.renderers import (
     basic_html,
     basic_top_sheet,
     json_groups,
-    json_summary,
+    json_head,
     json_top_files,
     numbered_groups,
     summary_console,
@@ -328,9 +328,9 @@ def report_summary(
 
 
 def json_report(figures: DataFrame, top: DataFrame, nested: DataFrame, generated_at: Column) -> dict[str, DataFrame]:
-    """The documents of a JSON report by folder: the head, the largest files, and the groups in order."""
+    """The documents of a JSON report by folder: the head with the largest files, these one by one, and the groups in order."""
     return {
-        "report": json_summary(figures, generated_at),
+        "report": json_head(figures, top, generated_at),
         "top_files": json_top_files(top),
         "duplicates": json_groups(nested).orderBy(F.desc("size"), "hash", "page"),
     }

@@ -354,6 +354,13 @@ def json_top_files(top: DataFrame) -> DataFrame:
     return top.select("rank", _json_file().alias("file")).select("rank", "file.*")
 
 
+def json_head(summary: DataFrame, top: DataFrame, generated_at: Column) -> DataFrame:
+    """One document: the top files in rank order, summary, metrics and when the report was made."""
+    ranked = F.sort_array(F.collect_list(F.struct("rank", _json_file().alias("file"))))
+    files = top.agg(F.transform(ranked, lambda r: r["file"]).alias("topFiles"))
+    return json_summary(summary, generated_at).select(files.scalar().alias("topFiles"), "*")
+
+
 def json_summary(summary: DataFrame, generated_at: Column | None = None) -> DataFrame:
     """One document: summary, metrics and, if it is known, when the report was made."""
     shown = F.struct(

@@ -1,5 +1,8 @@
 """Every registered query against its SQL, and the golden numbers."""
 
+import json
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,10 +11,11 @@ from checks.inventory import ROOT_DEPTH, content_files, hashed_inventory, plain_
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from checks.run import compare, duck
+from filecairn.jobs import json_report
 from filecairn.operators.candidates import candidate_files, candidate_sizes
 from filecairn.operators.duplicates import duplicate_groups, duplicate_totals, groups_by_hash_and_size
 from filecairn.operators.folders import folders_of
-from filecairn.operators.reports import summary, wasted_space
+from filecairn.operators.reports import largest_files, summary, wasted_space
 from tests.conftest import MEDIUM, SMALL
 
 
@@ -85,3 +89,27 @@ def test_hashed_files_are_candidates(spark):
     files = content_files(spark, SMALL)
     hashed_ids = {r["id"] for r in QUERIES["hashed_files"](spark, SMALL).collect()}
     assert hashed_ids == {r["id"] for r in candidate_files(files.drop("content")).select("id").collect()}
+
+
+def test_json_report_head_holds_the_top_files(spark):
+    schema = "id long, path string, size long, mtime timestamp, tag string, top_folder string, hash_value string"
+    when = datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
+    files = spark.createDataFrame(
+        [(n, f"/share/a/{n}", size, when, "scan", "/share/a", "h") for n, size in enumerate([0, 30, 10, 30], 1)], schema
+    )
+    group = "hash_value string, size long, file_count long, total_size long, page long, files array<struct<" + ", ".join(
+        column.replace(" ", ": ") for column in schema.split(", ")[:-1]
+    ) + ">>"
+    none = spark.createDataFrame([], group)
+
+    def head(rows):
+        made = json_report(summary(rows), largest_files(rows, 2, nonempty=True), none, F.lit(when))["report"]
+        return json.loads(made.toJSON().first())
+
+    found = head(files)
+    assert list(found) == ["topFiles", "summary", "metrics", "generatedAt"]
+    assert found["topFiles"] == [
+        dict(id=n, path=f"/share/a/{n}", size=30, mtime="2024-01-02 03:04:05", loaithumuc="scan", thumuc="/share/a")
+        for n in (2, 4)
+    ]
+    assert head(files.filter("false"))["topFiles"] == []
