@@ -12,6 +12,11 @@ SAMPLES = 64
 _SCALE = float(1 << 42)
 _TAG = (1 << 15) - 1
 _PART = (1 << 21) - 1
+# A text's least value lies beyond this by chance once in exp(24) samples; such texts are drawn again in full.
+REACH = 24.0
+_MARGIN = 1e-6
+_MOST = 64.0  # c has 42 bits, so every a is less
+SIDES = {"own": "fingerprint", "edited": "edited_fingerprint"}
 
 
 def _bits(value: Column, shift: int, mask: int) -> Column:
@@ -20,7 +25,9 @@ def _bits(value: Column, shift: int, mask: int) -> Column:
     return (part.bitwiseAND(F.lit(mask)).cast("double") + 1.0) * F.lit(1.0 / (mask + 1))
 
 
-def signatures(pairs: DataFrame, keys: list[str], sides: list[str], samples: int = SAMPLES) -> DataFrame:
+def signatures(
+    pairs: DataFrame, keys: list[str], sides: list[str], samples: int = SAMPLES, reach: float | None = None
+) -> DataFrame:
     """``keys`` and one fingerprint column per side for the texts in the columns ``sides``.
 
     A text's terms are its lower-cased words, weighted by their count S. For each sample a term
@@ -29,30 +36,50 @@ def signatures(pairs: DataFrame, keys: list[str], sides: list[str], samples: int
     with probability equal to their generalised Jaccard similarity, and samples are independent. The
     fingerprint is four hexadecimal digits per sample. Rows must be partitioned by ``keys`` or will be.
     Texts without words give no row.
+
+    The least a of a text of W words is an exponential variable of rate W. With ``reach`` a term for which
+    a bound without logarithms shows that a is at least ``reach`` / W is not drawn any further. Column ``open``
+    is then true in the rows in which a sample found no lesser a; all others are as without ``reach``,
+    but for sides with words in which not one sample did: their fingerprint is null.
     """
     side = F.posexplode(F.array(*sides)).alias("_side", "_text")
-    words = pairs.select(*keys, side).select(
-        *keys, "_side", F.explode(F.split(F.lower("_text"), r"[ \x09-\x0D]+")).alias("_word")
-    )
-    counts = (
-        words.filter("_word != ''")
-        .groupBy(*keys, F.xxhash64("_word").alias("_term"))
-        .agg(*[F.count(F.when(F.col("_side") == n, 1)).alias(f"_n{n}") for n in range(len(sides))])
+    split = F.split(F.lower("_text"), r"[ \x09-\x0D]+").alias("_words")
+    sized = pairs.select(*keys, side).select(*keys, "_side", split).select("*", F.size("_words").alias("_w"))
+    words = sized.select(*keys, "_side", "_w", F.explode("_words").alias("_word")).filter("_word != ''")
+    counts = words.groupBy(*keys, F.xxhash64("_word").alias("_term")).agg(
+        *[F.count(F.when(F.col("_side") == n, 1)).alias(f"_n{n}") for n in range(len(sides))],
+        *[F.max(F.when(F.col("_side") == n, F.col("_w"))).alias(f"_w{n}") for n in range(len(sides))],
     )
-    logs = [F.ln(F.when(F.col(f"_n{n}") > 0, F.col(f"_n{n}").cast("double"))).alias(f"_l{n}") for n in range(len(sides))]
+    numbers = range(len(sides))
+    logs = [F.ln(F.when(F.col(f"_n{n}") > 0, F.col(f"_n{n}").cast("double"))).alias(f"_l{n}") for n in numbers]
+    far = [F.least(F.lit(float(reach)) / F.col(f"_w{n}"), F.lit(_MOST)) for n in numbers] if reach else []
+    limits = [
+        F.greatest(F.lit(0.0), *[far[n] * F.col(f"_n{n}") for n in numbers]).alias("_limit"),
+        F.expr(" and ".join(f"_n{n} < 2" for n in numbers)).alias("_single"),
+        *[(far[n] * F.lit(_SCALE * (1 - _MARGIN))).cast("long").alias(f"_m{n}") for n in numbers],
+    ] if reach else []
     # One row per term and sample: a wider row would outgrow what the JVM compiles at once.
-    drawn = counts.select(*keys, "_term", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_i"))
-    drawn = drawn.select("*", *[F.xxhash64("_term", "_i", F.lit(k)).alias(f"_h{k}") for k in (0, 1)])
+    drawn = counts.select(*keys, "_term", *logs, *limits, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_i"))
+    # The row number keeps the filter above the hashes, which it would otherwise compute once more for each use.
     drawn = drawn.select(
-        "*",
-        (-F.ln(_bits(F.col("_h0"), 32, 0xFFFFFFFF) * _bits(F.col("_h0"), 0, 0xFFFFFFFF))).alias("_r"),
-        _bits(F.col("_h1"), 42, _PART).alias("_b"),
-        (-F.ln(_bits(F.col("_h1"), 21, _PART) * _bits(F.col("_h1"), 0, _PART))).alias("_c"),
+        "*", *[F.xxhash64("_term", "_i", F.lit(k)).alias(f"_h{k}") for k in (0, 1)],
+        F.monotonically_increasing_id().alias("_row"),
     )
     drawn = drawn.select(
-        "*", *[F.floor(F.col(f"_l{n}") / F.col("_r") + F.col("_b")).alias(f"_t{n}") for n in range(len(sides))]
+        "*",
+        (_bits(F.col("_h0"), 32, 0xFFFFFFFF) * _bits(F.col("_h0"), 0, 0xFFFFFFFF)).alias("_p"),
+        _bits(F.col("_h1"), 42, _PART).alias("_b"),
+        (_bits(F.col("_h1"), 21, _PART) * _bits(F.col("_h1"), 0, _PART)).alias("_q"),
     )
-    for n in range(len(sides)):
+    if reach:
+        # exp(-r) is p and c = -ln q >= 2 (1 - q) / (1 + q). S a >= c p always; for S = 1 and b < 1,
+        # a = c p^(1 - b) >= c p / (1 - b + b p).
+        b, p, q = F.col("_b"), F.col("_p"), F.col("_q")
+        spread = F.when(F.col("_single") & (b < 1.0), 1.0 - b + b * p).otherwise(1.0)
+        drawn = drawn.filter((p * (2.0 - 2.0 * q) < F.col("_limit") * (1.0 + q) * spread) & (F.col("_row") >= 0))
+    drawn = drawn.select("*", (-F.ln("_p")).alias("_r"), (-F.ln("_q")).alias("_c"))
+    drawn = drawn.select("*", *[F.floor(F.col(f"_l{n}") / F.col("_r") + F.col("_b")).alias(f"_t{n}") for n in numbers])
+    for n in numbers:
         t = F.col(f"_t{n}")
         a = F.col("_c") * F.exp(-F.col("_r") * (t + 1.0 - F.col("_b")))
         tag = F.col("_h0").bitwiseXOR(t).bitwiseAND(F.lit(_TAG))
@@ -61,14 +88,24 @@ def signatures(pairs: DataFrame, keys: list[str], sides: list[str], samples: int
         if n:
             value = F.when(t == F.col("_t0"), F.col("_v0")).otherwise(value)
         drawn = drawn.select("*", value.alias(f"_v{n}"))
-    found = drawn.groupBy(*keys, "_i").agg(*[F.min(f"_v{n}").alias(f"_s{n}") for n in range(len(sides))])
+    found = drawn.groupBy(*keys, "_i").agg(
+        *[F.min(f"_v{n}").alias(f"_s{n}") for n in numbers], *([F.min(f"_m{n}").alias(f"_m{n}") for n in numbers] if reach else [])
+    )
     digits = lambda c: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(c), F.lit(65536)))), 4, "0")
-    part = found.select(*keys, "_i", *[F.when(F.col(f"_s{n}").isNotNull(), digits(f"_s{n}")).alias(f"_p{n}") for n in range(len(sides))])
-    whole = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", *[f"_p{n}" for n in range(len(sides))]))).alias("_all"))
+    beyond = [F.coalesce(F.shiftright(f"_s{n}", 15) >= F.col(f"_m{n}"), F.lit(False)) for n in numbers] if reach else [F.lit(False)]
+    part = found.select(
+        *keys, "_i", *[F.when(F.col(f"_s{n}").isNotNull(), digits(f"_s{n}")).alias(f"_p{n}") for n in numbers],
+        F.greatest(F.lit(False), *beyond).alias("_beyond"),
+    )
+    whole = part.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_i", *[f"_p{n}" for n in numbers]))).alias("_all"),
+        F.max("_beyond").alias("_beyond"), *[F.count(f"_p{n}").alias(f"_c{n}") for n in numbers],
+    )
+    partly = [F.col(f"_c{n}").between(1, samples - 1) for n in numbers]
     return whole.select(*keys, *[
-        F.when(F.col("_all")[0][f"_p{n}"].isNotNull(), F.array_join(F.col(f"_all._p{n}"), "")).alias(f"{name}_fingerprint")
+        F.when(F.col(f"_c{n}") > 0, F.array_join(F.col(f"_all._p{n}"), "")).alias(f"{name}_fingerprint")
         for n, name in enumerate(sides)
-    ])
+    ], *([F.greatest("_beyond", *partly).alias("open")] if reach else []))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -80,7 +117,7 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return total / F.lit(float(samples))
 
 
-def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, reach: float = REACH) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness.
 
     Documents stand in the order of doc_id (nulls first; equal ids by a hash of the text). The
@@ -89,7 +126,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     next. Null texts are empty. Texts without words carry the fingerprint of zeros: alike to
     each other (1), unlike any other. Rows that repeat both id and text are one place in
     the order, and come out as often as they came in. An empty table gives no rows. Whole texts
-    move once, and the quarter that is needed of the next document once more.
+    move once, and the quarter that is needed of the next document once more. Terms beyond ``reach`` are
+    not drawn to the end; texts in which that leaves a sample open are drawn again in full, so it changes no result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     base = base.withColumn("_hash", F.xxhash64("text"))
@@ -118,17 +156,30 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     )
     cut = F.expr("left(text, char_length(text) - char_length(text) div 4)")
     texts = base.join(pieces, keys).select(*keys, F.col("text").alias("own"), F.concat(cut, "_piece").alias("edited"))
-    marks = signatures(texts, keys, ["own", "edited"], samples)
-    hashes = texts.select(*keys, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    worded = lambda c: F.col(c).rlike(r"[^ \x09-\x0D]")
+    hashes = texts.select(
+        *keys, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        worded("own").alias("_own"), worded("edited").alias("_edited"),
+    )
     none = F.lit("0" * 4 * samples)
+    placed = placed.withColumn("_id", as_key(F.col("doc_id")))
+    prints = [F.coalesce(f"{side}_fingerprint", none).alias(name) for side, name in SIDES.items()]
+    marks = signatures(texts, keys, [*SIDES], samples, reach)
+    missing = [F.col(f"_{side}") & F.col(f"{side}_fingerprint").isNull() for side in SIDES]
     done = written(
-        placed.withColumn("_id", as_key(F.col("doc_id"))).join(hashes, keys).join(marks, keys, "left").select(
-            "position", "doc_id", "_rows", "n_chars", "edited_sha256",
-            F.coalesce("own_fingerprint", none).alias("fingerprint"),
-            F.coalesce("edited_fingerprint", none).alias("edited_fingerprint"),
+        placed.join(hashes, keys).join(marks, keys, "left").select(
+            "position", "doc_id", "_rows", "n_chars", "edited_sha256", *prints,
+            F.greatest(F.coalesce("open", F.lit(False)), *missing).alias("_open"),
         ),
         "fingerprints",
     )
+    opened = done.filter("_open")
+    if not opened.isEmpty():
+        named = placed.join(opened.select("position"), "position").select(*keys, "position")
+        full = signatures(texts.join(named.select(*keys), keys, "left_semi"), keys, [*SIDES], samples)
+        drawn = named.join(full, keys, "left").select("position", *prints)
+        again = opened.drop(*SIDES.values()).join(drawn, "position").select(done.columns)
+        done = written(done.filter("not _open").unionByName(again), "fingerprints")
     following = done.select(
         F.when(F.col("position") == 1, F.lit(count)).otherwise(F.col("position") - 1).cast("long").alias("position"),
         F.col("fingerprint").alias("_next"),

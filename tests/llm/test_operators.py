@@ -336,6 +336,25 @@ def test_likeness_estimates_the_generalised_jaccard(spark):
     assert len(off) > 250 and np.sqrt((off**2).mean()) < 0.07 and abs(off.mean()) < 0.03
 
 
+def test_terms_out_of_reach_change_no_fingerprint(spark):
+    from filecairn.llm import fingerprints
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 1 + 3 * k, k)) for k in range(0, 240, 6)] + [" ", None, "solo " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, own string").selectExpr(
+        "_id", "coalesce(own, '') as own", "concat(left(own, length(own) div 2), ' and more') as edited"
+    )
+    plain = {r["_id"]: r.asDict() for r in fingerprints.signatures(docs, ["_id"], ["own", "edited"]).collect()}
+    for reach, least, most in ((fingerprints.REACH, 0, 0), (1.0, 30, 43)):
+        some = {r["_id"]: r.asDict() for r in fingerprints.signatures(docs, ["_id"], ["own", "edited"], reach=reach).collect()}
+        settled = {k: r for k, r in some.items() if not r.pop("open")}
+        assert all(v in (None, plain[k][c]) for k, r in settled.items() for c, v in r.items())
+        assert least <= len(plain) - len(settled) <= most
+    whole = table(spark, [(n, t, "en", "s", 0, 1, 1, 1, 1) for n, t in enumerate(texts)])
+    ends = [fingerprints.fingerprint_documents(whole, reach=reach).orderBy("doc_id").collect() for reach in (1e9, 24.0, 1.0, 1e-9)]
+    assert len(ends[0]) == len(texts) and all(end == ends[0] for end in ends)
+
+
 def test_fingerprints_of_repeated_and_null_ids(spark, rows):
     from filecairn.llm.fingerprints import fingerprint_documents
 
