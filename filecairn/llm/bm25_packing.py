@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filecairn.llm.common import release, slim
 from filecairn.plans.cut import written
 
 WINDOW = 4096
@@ -260,6 +261,11 @@ def _rows(chosen: list[tuple], sequence: int | None, keep: bool) -> list[tuple]:
 
 def _pack_partition(window: int, shard_tokens: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The words are encoded by now, and the index needs the room.
+        if _KNOWN or _TOKENIZERS:
+            _KNOWN.clear()
+            _TOKENIZERS.clear()
+            release()
         number = TaskContext.get().partitionId() << 32
         shard, held = [], 0
 
@@ -313,7 +319,7 @@ def pieces(
 ) -> DataFrame:
     """Token pieces of whole texts: full windows as they are, and the rest of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_cut(path or vocabulary_path(), window, end, keep_ids), PIECE)
+    return texts.mapInArrow(slim(_cut(path or vocabulary_path(), window, end, keep_ids)), PIECE)
 
 
 def pack(
@@ -342,7 +348,7 @@ def pack(
     cut = written(pieces(docs, path, window, end, keep_ids), "pieces")
     order = ["route", "doc_id", "start", "ids_crc32"]
     ordered = cut.repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = written(ordered.mapInArrow(_pack_partition(window, shard_tokens, keep_ids), PACKED), "packed")
+    packed = written(ordered.mapInArrow(slim(_pack_partition(window, shard_tokens, keep_ids)), PACKED), "packed")
     tails = packed.filter(F.col("sequence_id").isNull())
     tokens = tails.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-tokens // (TAILS_PER_GROUP * window)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +47,20 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return local.join(F.broadcast(offsets), "_part").select(
         *df.columns, *[(F.col("_l_" + n) + F.col("_b_" + n)).cast("long").alias(n) for n in names]
     )
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.pythonapi, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slim(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, whose memory goes back at its end."""
+    def over(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return over

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filecairn.llm.common import slim
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -271,7 +272,7 @@ def identify(docs: DataFrame, carry: list[str] = ("doc_id",), most: int = MAX_TR
     # A text that is carried goes to the tasks once.
     once = "text" in carry and docs.schema["text"].dataType.simpleString() == "string"
     texts = docs.select(*[docs[c] for c in carry], *([] if once else [docs["text"].cast("string").alias("_text")]))
-    return texts.mapInArrow(_identified(shared, carry.index("text") if once else len(carry), carry), schema)
+    return texts.mapInArrow(slim(_identified(shared, carry.index("text") if once else len(carry), carry)), schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filecairn.llm.common import slim
 from filecairn.plans.cut import written
 from filecairn.plans.skew import fits
 
@@ -141,7 +142,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """Set size, a 128-bit hash of the set and 32 bands of four registers, one long each."""
-    return _keyed(docs).mapInArrow(_sketches, SKETCH)
+    return _keyed(docs).mapInArrow(slim(_sketches), SKETCH)
 
 
 def text_hash(text: Column) -> Column:
@@ -389,7 +390,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, percent: int
     info = written(nodes.join(meets, "node").select("node", "n", "bands"), "registers")
     side = lambda c: info.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"bands_{c}"))
     pairs = written(pairs, "pairs")
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_likely(percent), "a long, b long"), "likely")
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(slim(_likely(percent)), "a long, b long"), "likely")
     if likely.isEmpty() and members.filter("size > 2").isEmpty():
         return None
     full = _full_sets(docs, sketched, nodes, meets, unique)
@@ -406,7 +407,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, percent: int
     rows = rows.withColumn("first", F.col("_own") == F.col("i")).withColumn("second", F.col("_own") == F.col("j")).drop("_own")
     rows = rows.join(info, "node").join(full, "node")
     grouped = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    more = written(grouped.mapInPandas(_block_links(percent), "a long, b long").distinct(), "links")
+    more = written(grouped.mapInPandas(slim(_block_links(percent)), "a long, b long").distinct(), "links")
     return _merged(labels, more)
 
 
@@ -420,9 +421,9 @@ def _full_sets(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, meets: Da
         base = base.withColumn("node", key)
         small = fits(ids, MAX_BROADCAST_NODES)
         chosen = base.join(F.broadcast(ids) if small else ids, "node", "left_semi").select("node", "text")
-        once = chosen.mapInArrow(_sets, "node long, set binary")
+        once = chosen.mapInArrow(slim(_sets), "node long, set binary")
         return written(once, "sets")
-    every = _keyed(docs).mapInArrow(_keyed_sets, "h1 long, h2 long, n long, set binary")
+    every = _keyed(docs).mapInArrow(slim(_keyed_sets), "h1 long, h2 long, n long, set binary")
     chosen = every.join(wanted.select("h1", "h2", "n", "node"), ["h1", "h2", "n"])
     return written(chosen.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
@@ -439,4 +440,4 @@ def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     side = lambda c: full.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    return written(rows.mapInArrow(_linked(percent), "a long, b long"), "links")
+    return written(rows.mapInArrow(slim(_linked(percent)), "a long, b long"), "links")

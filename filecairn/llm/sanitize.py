@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from filecairn.llm.common import slim
 from filecairn.plans.cut import written
 from filecairn.plans.skew import fits, salted_join
 
@@ -238,7 +239,7 @@ def _occurrences(shared):
 def scan(docs: DataFrame, width: int = CONTEXT_WORDS) -> DataFrame:
     """Base matches of every document row, the values found and, where there are any, the terms of the text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(texts.mapInArrow(_scan(width), SCANNED), "scanned")
+    return written(texts.mapInArrow(slim(_scan(width)), SCANNED), "scanned")
 
 
 def _texts_with(docs: DataFrame, scanned: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def _texts_with(docs: DataFrame, scanned: DataFrame, wanted: DataFrame) -> DataF
     copied = scanned.groupBy("text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
     shared = docs.sparkSession.sparkContext.broadcast((_bits(wanted, "t"), _bits(copied, "text_hash")))
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    seen = texts.mapInArrow(_occurrences(shared), "t long, text_hash long, n long")
+    seen = texts.mapInArrow(slim(_occurrences(shared)), "t long, text_hash long, n long")
     # Copies of one text count once, whichever tasks they are in.
     once = seen.groupBy("t", "text_hash").agg(F.sum("n").alias("n"))
     return once.groupBy("t").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
@@ -325,7 +326,7 @@ def _term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     strength = written(found.groupBy("t").agg(F.max("share").alias("share")), "strength")
     shared = docs.sparkSession.sparkContext.broadcast(_bits(strength, "t"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    where = texts.mapInArrow(_marked(shared), "doc_id long, text_hash long, t long, g long, s long, x long")
+    where = texts.mapInArrow(slim(_marked(shared)), "doc_id long, text_hash long, t long, g long, s long, x long")
     # Rows that share id and text have the same spans.
     hits = where.distinct().join(strength, "t").join(
         strength.select(F.col("t").alias("g"), F.lit(True).alias("_told")), "g", "left"
@@ -388,10 +389,10 @@ def sanitized(docs: DataFrame, **options) -> DataFrame:
     cast = [F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(*cast)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    keyed = rows.mapInArrow(_with_hash(position, of), f"{kinds}, `{of}` long")
+    keyed = rows.mapInArrow(slim(_with_hash(position, of)), f"{kinds}, `{of}` long")
     same = keyed["doc_id"].cast("long").eqNullSafe(hidden["_id"]) & (keyed[of] == hidden["_hash"])
     joined = keyed.join(hidden, same, "left").select(*[keyed[f"`{c}`"] for c in docs.columns], hidden[terms_of])
-    out = joined.mapInArrow(_masking(position, docs.columns), rows.schema)
+    out = joined.mapInArrow(slim(_masking(position, docs.columns)), rows.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))

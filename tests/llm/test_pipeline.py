@@ -86,3 +86,16 @@ def test_pipeline_packs_what_the_stages_keep(spark, awkward, nothing):  # noqa:
     packed = corpus_pipeline.run(spark, awkward).collect()
     assert packed and not {0, 1, 2, 4, 6, 7, 8} & {r.doc_id for r in packed}
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def test_memory_goes_back_after_the_last_batch(monkeypatch):
+    from filecairn.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+    doubled = common.slim(lambda batches: (2 * b for b in batches))
+    for value in doubled(iter([1, 2])):
+        seen.append(value)
+    assert seen == [2, 4, "released"]
+    monkeypatch.undo()
+    common.release()
