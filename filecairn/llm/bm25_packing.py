@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +25,15 @@ SHARD_TOKENS = 3_000_000
 QUERY_TERMS = 24
 TAILS_PER_GROUP = 256
 K1, B = 1.2, 0.75
-REMEMBER = 500_000
+REMEMBER = 150_000
+TEXT_BYTES = 2_000_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, route long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 # ASCII marks that are neither letters, digits nor the apostrophe, which the vocabulary treats apart.
 _MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
-_KNOWN: dict[str, bytes] = {}
+_LAST = np.ones(1, bool)
 _TOKENIZERS: dict[str, "Tokens"] = {}
 
 
@@ -47,13 +50,19 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + n) for n, b in enumerate(rest)}}
 
 
+def _strings(values: pa.Array, at: np.ndarray) -> list[str]:
+    return values.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+
+
 class Tokens:
     """Ids of whole texts, equal to the tokenizer's; words met before are looked up.
 
     White space always parts the pieces of this vocabulary, and its normal form works letter by
-    letter, so the ids of a text are those of its words. Words of letters with a
-    tail of marks go straight to the merge model; all others, and texts with
-    characters on which the rules for white space or case differ, to the tokenizer.
+    letter, so the ids of a text are those of its words, and each different word of many texts
+    is looked up once. Words of letters with a tail of marks go straight to the merge model, head
+    and tail apart; all others, and texts with characters on which the rules for white space or
+    case differ, to the tokenizer. Words are remembered in two generations: when the newer one is
+    full it becomes the older, whose words move on as they are met again.
     """
 
     def __init__(self, path: str):
@@ -61,74 +70,121 @@ class Tokens:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
+        self.shown = "".join(" " if b == 0x20 else letter for b, letter in sorted(_byte_letters().items()))
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn_letters(self, words: list[str]) -> None:
         """Remember the ids of words of letters: one call for many, parted where a token ends a word."""
-        shown = [w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in words]
-        ids = np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, np.int64)
+        shown = " ".join(words)
+        if not shown.isascii():
+            shown = codecs.charmap_decode(shown.encode(), "strict", self.shown)[0]
+        ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int64)
         cuts = (np.flatnonzero(self.ends[ids]) + 1) * 2
         raw, start = ids.astype("<u2").tobytes(), 0
         for word, end in zip(words, cuts.tolist(), strict=True):
-            _KNOWN[word] = raw[start:end]
+            self.known[word] = raw[start:end]
             start = end
 
-    def _learn(self, words: list[str]) -> None:
-        parted, plain = {}, set()
-        for word in words:
-            head = word.rstrip(_MARKS)
-            if head.isalpha():
-                if head not in _KNOWN:
-                    plain.add(head)
-                if head != word:
-                    parted[word] = head
-            elif word not in _KNOWN:
-                _KNOWN[word] = self._encode(word)
-        heads = sorted(plain)
-        for at in range(0, len(heads), 100):
-            self._learn_letters(heads[at : at + 100])
-        for word, head in parted.items():
-            _KNOWN[word] = _KNOWN[head] + self._tail(word[len(head) :])
-
-    def _tail(self, tail: str) -> bytes:
-        if tail not in _KNOWN:
-            _KNOWN[tail] = self._encode(tail)
-        return _KNOWN[tail]
-
-    def __call__(self, text: str) -> bytes:
+    def _met(self, words: list[str]) -> list[str]:
+        """Those of the words that are not remembered; the newer generation has the others from now on."""
+        known, fresh = self.known, []
+        for word in [word for word in words if word not in known]:
+            ids = self.older.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                known[word] = ids
+        return fresh
+
+    def _ids(self, letters: list[str], others: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of different words of letters, and of others."""
+        if len(self.known) > REMEMBER:
+            self.known, self.older = {"": b""}, self.known
+        fresh = self._met(letters)
+        for at in range(0, len(fresh), 200):
+            self._learn_letters(fresh[at : at + 200])
+        for word in self._met(others):
+            self.known[word] = self._encode(word)
+        return list(map(self.known.__getitem__, letters)), list(map(self.known.__getitem__, others))
+
+    @staticmethod
+    def _plain(text: str) -> str | None:
+        """The normal form of a text, or None if only the tokenizer knows it."""
         if text.isascii():
             plain = "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
         else:
             text = unicodedata.normalize("NFC", text) if "<|" not in text else text
             plain = "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1fΣİ")
-        if not plain:
-            return self._encode(text)
-        words = text.lower().split()
-        try:
-            return b"".join(map(_KNOWN.__getitem__, words))
-        except KeyError:
-            pass
-        if len(_KNOWN) > REMEMBER:
-            _KNOWN.clear()
-        self._learn([word for word in words if word not in _KNOWN])
-        return b"".join(map(_KNOWN.__getitem__, words))
+        return text.lower() if plain else None
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        normal = [self._plain(text) for text in texts]
+        split = pc.utf8_split_whitespace(pa.array([n or "" for n in normal], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        trimmed = pc.utf8_rtrim(words.dictionary, characters=_MARKS)
+        heads = trimmed.dictionary_encode()
+        names = heads.dictionary.to_numpy(zero_copy_only=False).tolist()
+        lettered = np.fromiter(map(str.isalpha, names), bool, len(names))
+        codes = heads.indices.to_numpy()
+        tails = pc.subtract(pc.binary_length(words.dictionary), pc.binary_length(trimmed)).to_numpy()
+        odd, tailed = np.flatnonzero(~lettered[codes]), np.flatnonzero(lettered[codes] & (tails > 0))
+        whole = _strings(words.dictionary, odd)
+        marks = [word[-n:] for word, n in zip(_strings(words.dictionary, tailed), tails[tailed].tolist())]
+        parts = [name if plain else "" for name, plain in zip(names, lettered.tolist())]
+        parts, others = self._ids(parts, whole + marks)
+        ids = list(map(parts.__getitem__, codes.tolist()))
+        for k, more in zip(odd.tolist() + tailed.tolist(), others):
+            ids[k] += more
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        codes = words.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        # Where the ids of each word lie among those of the different words, less where they come to lie.
+        moved = (np.cumsum(sizes) - sizes)[codes] - (ends - counts)
+        narrow = np.int32 if ends.size and ends[-1] < 1 << 31 else np.int64
+        source = np.repeat(moved.astype(narrow), counts)
+        source += np.arange(len(source), dtype=narrow)
+        flat = np.frombuffer(b"".join(ids), "<u2")[source]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()].tolist()
+        return [
+            flat[a:b] if n is not None else np.frombuffer(self._encode(text), "<u2")
+            for text, n, a, b in zip(texts, normal, bounds, bounds[1:])
+        ]
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and how often each is there."""
+    ordered = np.sort(ids)
+    last = np.flatnonzero(np.concatenate([ordered[1:] != ordered[:-1], _LAST]))
+    counts = last + 1
+    counts[1:] -= counts[:-1].copy()
+    return ordered[last], counts
+
+
+def _slices(texts: pa.Array) -> Iterator[slice]:
+    """Runs of rows of about ``TEXT_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:]))
+
+
 def _route(ids: np.ndarray) -> int:
     """Most frequent token (high bits) and the least hash of a token pair: alike texts lie side by side."""
-    values, counts = np.unique(ids, return_counts=True)
+    values, counts = _counted(ids)
     pairs = ids[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + ids[1:].astype(np.uint32)
     least = int(((pairs ^ (pairs >> np.uint32(15))) * np.uint32(0x85EBCA6B)).min()) if len(pairs) else 0
     return int(values[np.argmax(counts)]) << 32 | least
@@ -139,10 +195,11 @@ def _cut(path: str, window: int, end: int, keep: bool):
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = Tokens(path)
         tokens = _TOKENIZERS[path]
-        for batch in batches:
+        for batch, part in ((batch, part) for batch in batches for part in _slices(batch.column(1))):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(np.frombuffer(tokens(text.as_py() or ""), "<u2"), np.uint16(end))
+            texts = [text or "" for text in batch.column(1)[part].to_pylist()]
+            for doc_id, ids in zip(batch.column(0)[part].to_pylist(), tokens(texts)):
+                ids = np.append(ids, np.uint16(end))
                 n = len(ids)
                 full = n - n % window
                 wide = ids.astype("<u4")
@@ -166,20 +223,28 @@ class Index:
     def __init__(self, pieces: list[np.ndarray]):
         self.size = len(pieces)
         lengths = np.array([len(p) for p in pieces])
-        owner = np.repeat(np.arange(self.size, dtype=np.int64), lengths)
-        term = np.concatenate(pieces).astype(np.int64)
-        key, tf = np.unique(term * self.size + owner, return_counts=True)
-        self.docs = (key % self.size).astype(np.int32)
-        terms = key // self.size
-        self.starts = np.searchsorted(terms, np.arange(terms[-1] + 2))
-        df = np.diff(self.starts)
+        # One number of a term and its piece, no wider than it must be.
+        wide, bits = (np.uint32, 16) if self.size <= 1 << 16 else (np.uint64, 32)
+        key = np.concatenate(pieces).astype(wide)
+        key <<= wide(bits)
+        key |= np.repeat(np.arange(self.size, dtype=wide), lengths)
+        key, tf = _counted(key)
+        tf = tf.astype(np.int32)
+        self.docs = (key & wide((1 << bits) - 1)).astype(np.int32)
+        term = (key >> wide(bits)).astype(np.uint16)
+        del key
+        df = np.bincount(term)
+        self.starts = np.append(0, np.cumsum(df))
         self.idf = np.log1p((self.size - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        self.weights = (self.idf[terms] * tf * (K1 + 1) / (tf + norm[self.docs])).astype(np.float32)
+        self.weights = np.empty(len(term), np.float32)
+        for at in range(0, len(term), 1 << 17):
+            k = slice(at, at + (1 << 17))
+            self.weights[k] = self.idf[term[k]] * tf[k] * (K1 + 1) / (tf[k] + norm[self.docs[k]])
 
     def scores(self, ids: np.ndarray, most: int) -> np.ndarray:
         """Scores of all pieces for the ``most`` weightiest terms of a seed that others hold too."""
-        terms, tf = np.unique(ids, return_counts=True)
+        terms, tf = _counted(ids)
         terms = terms.astype(np.int64)
         shared = self.starts[terms + 1] - self.starts[terms] > 1
         terms, tf = terms[shared], tf[shared]
@@ -262,8 +327,7 @@ def _rows(chosen: list[tuple], sequence: int | None, keep: bool) -> list[tuple]:
 def _pack_partition(window: int, shard_tokens: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The words are encoded by now, and the index needs the room.
-        if _KNOWN or _TOKENIZERS:
-            _KNOWN.clear()
+        if _TOKENIZERS:
             _TOKENIZERS.clear()
             release()
         number = TaskContext.get().partitionId() << 32
