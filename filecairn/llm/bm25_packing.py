@@ -193,7 +193,10 @@ def _route(ids: np.ndarray) -> int:
 def _cut(path: str, window: int, end: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENIZERS:
+            # What the worker's last task left, and then what reading the vocabulary took, goes back first.
+            release()
             _TOKENIZERS[path] = Tokens(path)
+            release()
         tokens = _TOKENIZERS[path]
         for batch, part in ((batch, part) for batch in batches for part in _slices(batch.column(1))):
             rows = []
